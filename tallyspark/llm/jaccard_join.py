@@ -52,9 +52,26 @@ def prefix_length(n: np.ndarray, num: int, den: int) -> np.ndarray:
     return n - -(-num * n // den) + 1
 
 
-def _parity(text: np.ndarray, h: np.ndarray, n: int) -> np.ndarray:
-    bits = np.bincount(text * BITMAP + (h >> np.uint64(40)).astype(np.int64) % BITMAP, minlength=n * BITMAP).reshape(n, BITMAP) & 1
-    return np.packbits(bits.astype(np.uint8), axis=1)
+def _parity(text: np.ndarray, h: np.ndarray, n: np.ndarray) -> list[bytes]:
+    """Each text's parity bitmap: BITMAP bits, doubled while the set has more than two elements a bit."""
+    bits = BITMAP << np.ceil(np.log2(np.maximum(n / (2 * BITMAP), 1))).astype(np.int64)
+    base = np.concatenate([[0], np.cumsum(bits)])
+    at = base[text] + ((h >> np.uint64(40)).astype(np.int64) & (bits[text] - 1))
+    flat = np.packbits((np.bincount(at, minlength=base[-1]) & 1).astype(np.uint8)).tobytes()
+    return [flat[s:e] for s, e in zip(base[:-1] // 8, base[1:] // 8, strict=True)]
+
+
+def _folded(bitmap: bytes, size: int = BITMAP // 64) -> np.ndarray:
+    """A bitmap folded to so many 64-bit words; parity survives folding."""
+    x = np.frombuffer(bitmap, np.uint64)
+    while len(x) > size:
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    return x
+
+
+def _most(both: np.ndarray, num: int, den: int) -> np.ndarray:
+    """How many shingles two linked sets of so many shingles together can differ by."""
+    return both - 2 * -(-num * both // (num + den))
 
 
 def _features(ngram: int):
@@ -75,9 +92,8 @@ def _features(ngram: int):
                     if full.any():
                         x[full] = fold.reduceat(values, at[full])
                     out[name] = pa.array(X.signed(x))
-                maps = _parity(text, h, c.n)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("id").slice(c.first, c.n), pa.array(np.ones(c.n, bool)), pa.array(n.astype(np.int64)), out["fp1"], out["fp2"], pa.array([m.tobytes() for m in maps], pa.binary()), out["m0"], out["m1"], pa.nulls(c.n, pa.list_(pa.int64())), pa.nulls(c.n, pa.list_(pa.int64()))],
+                    [batch.column("id").slice(c.first, c.n), pa.array(np.ones(c.n, bool)), pa.array(n.astype(np.int64)), out["fp1"], out["fp2"], pa.array(_parity(text, h, n), pa.binary()), out["m0"], out["m1"], pa.nulls(c.n, pa.list_(pa.int64())), pa.nulls(c.n, pa.list_(pa.int64()))],
                     ["id", "is_text", "n", "fp1", "fp2", "bitmap", "m0", "m1", "common", "counts"],
                 )
             h, k = np.unique(np.concatenate(seen), return_counts=True) if seen else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
@@ -147,7 +163,12 @@ def _verify(num: int, den: int):
 
 
 def _pairs(num: int, den: int):
-    """Rows sorted by token and component: pairs of different components within a token that pass the size and bitmap bounds."""
+    """Rows sorted by token and size: pairs of different components within a token that pass the bounds.
+
+    The bounds are on sizes, on the token's places in both orders (what comes
+    before it isn't shared through it), and on the bitmaps. Steps run over all
+    groups at once: the i-th row against the one `step` further.
+    """
 
     def groups(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rest: list[pd.DataFrame] = []
@@ -168,24 +189,21 @@ def _pairs(num: int, den: int):
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in groups(frames):
-            token, doc, comp, n = (f[k].to_numpy() for k in ("token", "id", "comp", "n"))
-            maps = np.frombuffer(b"".join(f["bitmap"]), np.uint64).reshape(len(f), BITMAP // 64)
-            edge = X.runs(token)
-            for s, e in zip(edge[:-1], edge[1:], strict=True):
-                found: list[np.ndarray] = []
-                ends = s + np.searchsorted(comp[s:e], comp[s:e], side="right")
-                for i in range(s, e):
-                    j = ends[i - s]
-                    if j >= e:
-                        break
-                    both = n[j:e] + n[i]
-                    most = both - 2 * -(-num * both // (num + den))
-                    differ = np.bitwise_count(maps[j:e] ^ maps[i]).sum(axis=1)
-                    ok = j + np.flatnonzero((den * np.minimum(n[j:e], n[i]) >= num * np.maximum(n[j:e], n[i])) & (differ <= most))
-                    if len(ok):
-                        found.append(np.stack([np.full(len(ok), doc[i]), doc[ok]]))
-                if found:
-                    x = np.concatenate(found, axis=1)
+            token, doc, comp, n, pos = (f[k].to_numpy() for k in ("token", "id", "comp", "n", "pos"))
+            maps = np.stack([_folded(x) for x in f["bitmap"]])
+            i, step = np.arange(len(f)), 0
+            while len(i):
+                step += 1
+                i = i[i + step < len(f)]
+                # rows go by token and size, so what is over the size bound stays over it
+                i = i[(token[i] == token[i + step]) & (den * n[i] >= num * n[i + step])]
+                j = i + step
+                both = n[i] + n[j]
+                shared = -(-num * both // (num + den))
+                k = np.flatnonzero((comp[i] != comp[j]) & (pos[i] <= n[i] - shared) & (pos[j] <= n[j] - shared))
+                k = k[np.bitwise_count(maps[i[k]] ^ maps[j[k]]).sum(axis=1) <= _most(both[k], num, den)]
+                if len(k):
+                    x = np.stack([doc[i[k]], doc[j[k]]])
                     yield pd.DataFrame({"a": x.min(axis=0), "b": x.max(axis=0)})
 
     return run
@@ -213,9 +231,18 @@ def verified(docs: DataFrame, pairs: DataFrame, ngram: int, num: int, den: int)
     return both.mapInPandas(_verify(num, den), "a long, b long")
 
 
-def _within(num: int, den: int, x: str, y: str) -> F.Column:
-    """The size bound of two structs with n."""
-    return F.expr(f"{den} * least({x}.n, {y}.n) >= {num} * greatest({x}.n, {y}.n)")
+def _bounded(pairs: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs (a, b, sizes n_*, bitmaps map_*) within the size bound and the bitmap bound."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            most = _most((f["n_a"] + f["n_b"]).to_numpy(), num, den)
+            words = [min(len(x), len(y)) // 8 for x, y in zip(f["map_a"], f["map_b"], strict=True)]
+            differ = np.array([np.bitwise_count(_folded(x, w) ^ _folded(y, w)).sum() for x, y, w in zip(f["map_a"], f["map_b"], words, strict=True)], np.int64)
+            yield f.loc[differ <= most, ["a", "b"]]
+
+    near = pairs.where(f"{den} * least(n_a, n_b) >= {num} * greatest(n_a, n_b)")
+    return near.select("a", "b", "n_a", "n_b", "map_a", "map_b").mapInPandas(run, "a long, b long")
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ngram: int = 3, num: int = 90, den: int = 100) -> DataFrame:
@@ -228,8 +255,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     keyed = classes.select("id", "n", "bitmap", F.posexplode(F.array("m0", "m1")).alias("seed", "m"))
     leader = keyed.groupBy("seed", "m").agg(F.min(F.struct("id", "n", "bitmap")).alias("first"), F.count("*").alias("k")).where("k > 1")
-    star = keyed.join(leader, ["seed", "m"]).where("id <> first.id").select(F.col("first.id").alias("a"), F.col("id").alias("b"), F.struct("n").alias("y"), F.col("first").alias("x"), F.col("bitmap"))
-    stars = checkpointed(star.where(_within(num, den, "x", "y")).select("a", "b", "x.n", F.col("y.n").alias("n_b"), F.col("x.bitmap").alias("map_a"), F.col("bitmap").alias("map_b")).mapInPandas(_bound(num, den), "a long, b long").distinct())
+    star = keyed.join(leader, ["seed", "m"]).where("id <> first.id").select(F.col("first.id").alias("a"), F.col("id").alias("b"), F.col("first.n").alias("n_a"), F.col("n").alias("n_b"), F.col("first.bitmap").alias("map_a"), F.col("bitmap").alias("map_b"))
+    stars = checkpointed(_bounded(star, num, den).distinct())
     linked = checkpointed(verified(docs, stars, ngram, num, den))
     near = components(linked)
     classes = checkpointed(classes.join(near.withColumnRenamed("node", "id"), "id", "left").select("id", "n", "bitmap", "fp1", "fp2", F.coalesce("component", "id").alias("comp")))
@@ -242,27 +269,17 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     sketch = spark.sparkContext.broadcast(common)
     first_order = lambda it: _prefixes(ngram, num, den, sketch.value)(it)
     prefixes = docs.where("id is not null").mapInArrow(first_order, "id long, prefix array<long>")
-    rows = prefixes.join(classes.select("id", "comp", "n"), "id").dropDuplicates(["id"]).select(F.explode("prefix").alias("token"), "id", "comp", "n")
+    rows = prefixes.join(classes.select("id", "comp", "n"), "id").dropDuplicates(["id"]).select(F.posexplode("prefix").alias("pos", "token"), "id", "comp", "n")
     of_token = Window.partitionBy("token")
-    met = checkpointed(rows.withColumn("low", F.min("comp").over(of_token)).withColumn("high", F.max("comp").over(of_token)).where("low <> high").select("token", "id", "comp", "n"))
-    met = met.join(classes.select("id", "bitmap"), "id").repartition("token").sortWithinPartitions("token", "comp", "id")
-    pairs = checkpointed(met.mapInPandas(_pairs(num, den), "a long, b long").distinct())
+    met = checkpointed(rows.withColumn("low", F.min("comp").over(of_token)).withColumn("high", F.max("comp").over(of_token)).where("low <> high").select("token", "id", "comp", "n", "pos"))
+    met = met.join(classes.select("id", "bitmap"), "id").repartition("token").sortWithinPartitions("token", "n", "id")
+    pairs = met.mapInPandas(_pairs(num, den), "a long, b long").distinct()
+    sizes = classes.select("id", "n", "bitmap")
+    for end in ("a", "b"):
+        pairs = pairs.join(sizes.select(F.col("id").alias(end), F.col("n").alias(f"n_{end}"), F.col("bitmap").alias(f"map_{end}")), end)
+    pairs = checkpointed(_bounded(pairs, num, den))
     links = linked.unionByName(verified(docs, pairs, ngram, num, den))
     final = components(links)
     classes = classes.join(final.withColumnRenamed("node", "id"), "id", "left").select("fp1", "fp2", "n", F.coalesce("component", "id").alias("component_id"))
     out = texts.select("id", "n", "fp1", "fp2").join(classes, ["fp1", "fp2", "n"], "left")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id")).alias("component_id"))
-
-
-def _bound(num: int, den: int):
-    """Pairs with sizes and bitmaps: those within the bitmap bound."""
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            if len(f):
-                x, y = (np.frombuffer(b"".join(f[k]), np.uint64).reshape(len(f), -1) for k in ("map_a", "map_b"))
-                both = (f["n"] + f["n_b"]).to_numpy()
-                f = f[np.bitwise_count(x ^ y).sum(axis=1) <= both - 2 * -(-num * both // (num + den))]
-            yield f[["a", "b"]]
-
-    return run
