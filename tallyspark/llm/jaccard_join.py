@@ -37,14 +37,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textops as X
-from .spark_util import checkpointed, components
+from .spark_util import checkpointed, components, has_bit, id_slot, wanted_ids
 
 #: Bits of a class's parity bitmap.
 BITMAP = 512
 #: Slots of the sketch of common shingles, one byte each; the bound of what is broadcast for the first order.
 COMMON_SLOTS = 1 << 20
-#: Bits of the sketch of ids whose sets are wanted; a clash only costs a row more in a shuffle.
-WANTED_BITS = 1 << 24
 _SEEDS = (np.uint64(0x243F6A8885A308D3), np.uint64(0x13198A2E03707344), np.uint64(0xA4093822299F31D0))
 
 
@@ -133,7 +131,7 @@ def _sets(ngram: int, wanted: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             slot = batch.column("slot").to_numpy(zero_copy_only=False)
-            keep = np.flatnonzero((wanted[slot >> 6] >> (slot & 63)) & 1 == 1)
+            keep = np.flatnonzero(has_bit(wanted, slot))
             ids, texts = batch.column("id").take(pa.array(keep)), batch.column("text").take(pa.array(keep))
             for c in X.chunks(texts):
                 text, h = X.shingles(X.words(c), c.n, ngram)
@@ -209,23 +207,13 @@ def _pairs(num: int, den: int):
     return run
 
 
-def _wanted(ids: DataFrame) -> np.ndarray:
-    """A bit for each id's slot; WANTED_BITS in all, whatever the number of ids."""
-    slot = F.pmod(F.xxhash64("id"), F.lit(WANTED_BITS)).cast("long")
-    words = ids.select(slot.alias("s")).groupBy(F.shiftright("s", 6).alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(s & 63 as int)))").alias("bits")).toPandas()
-    out = np.zeros(WANTED_BITS // 64, np.int64)
-    out[words["w"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64)
-    return out
-
-
 def verified(docs: DataFrame, pairs: DataFrame, ngram: int, num: int, den: int) -> DataFrame:
     """The pairs (a, b) whose sets link; pairs must be a materialised table."""
     ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
     spark = docs.sparkSession
-    wanted = spark.sparkContext.broadcast(_wanted(ids))
-    slot = F.pmod(F.xxhash64("id"), F.lit(WANTED_BITS)).cast("long")
+    wanted = spark.sparkContext.broadcast(wanted_ids(ids))
     ngram_sets = lambda it: _sets(ngram, wanted.value)(it)
-    sets = docs.select("id", "text", slot.alias("slot")).where("id is not null").mapInArrow(ngram_sets, "id long, hashes array<long>").join(ids, "id", "left_semi").dropDuplicates(["id"])
+    sets = docs.select("id", "text", id_slot("id").alias("slot")).where("id is not null").mapInArrow(ngram_sets, "id long, hashes array<long>").join(ids, "id", "left_semi").dropDuplicates(["id"])
     with_a = pairs.join(sets.select(F.col("id").alias("a"), F.col("hashes").alias("set_a")), "a")
     both = with_a.join(sets.select(F.col("id").alias("b"), F.col("hashes").alias("set_b")), "b").select("a", "b", "set_a", "set_b")
     return both.mapInPandas(_verify(num, den), "a long, b long")

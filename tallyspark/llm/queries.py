@@ -5,9 +5,37 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from .decontaminate import contaminated
 from .jaccard_join import jaccard_components
+from .language_id import identify_documents, identify_pages
+from .packing import packed
 from .spark_util import read_table
+from .suffix_dedup import removal_digest
+
+
+def tokenizer_path(name: str) -> str:
+    """A vocabulary file of the installed public tokenizers."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents: text, declared language and source fused."""
+    return identify_documents(read_table(spark, sf_dir, "documents"))
+
+
+def pages_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages: text, markup language, address suffix and host fused; trigrams learned from documents."""
+    return identify_pages(read_table(spark, sf_dir, "pages"), read_table(spark, sf_dir, "documents"))
+
+
+def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in sequences of at most 2048 tokens."""
+    out = packed(read_table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), capacity=2048, end_id=0)
+    return out.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", F.col("offset"))
 
 
 def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,9 +43,24 @@ def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(read_table(spark, sf_dir, "documents"), ngram=3, num=90, den=100)
 
 
+def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of all documents covered by a 100-byte string that also starts earlier."""
+    return removal_digest(read_table(spark, sf_dir, "documents"), min_length=100)
+
+
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents against all benchmark items; a row for each leak."""
+    return contaminated(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_language_id": op2_language_id,
+        "pages_language_id": pages_language_id,
+        "op6_best_fit_packing": op6_best_fit_packing,
         "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
+        "op9_suffix_array_dedup": op9_suffix_array_dedup,
+        "op10_decontamination": op10_decontamination,
     }
 
 

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -14,17 +15,47 @@ def checkpointed(df: DataFrame) -> DataFrame:
     The folder is the session's; only where none is set (tests, one machine) a
     temporary one is used.
     """
-    spark = df.sparkSession
+    shared_folder(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The session's checkpoint folder, set first where it isn't yet."""
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoints-"))
-    return df.checkpoint(eager=True)
+    return context._jsc.sc().getCheckpointDir().get()
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def slot_bits(slots: DataFrame, bits: int) -> np.ndarray:
+    """A bitmap of so many bits (a power of two) as int64 words, with the bits in column `slot` set; its size doesn't depend on the rows."""
+    words = slots.groupBy(F.shiftright("slot", 6).alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(slot & 63 as int)))").alias("bits")).toPandas()
+    out = np.zeros(bits // 64, np.int64)
+    out[words["w"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64)
+    return out
+
+
+def has_bit(bitmap: np.ndarray, slot: np.ndarray) -> np.ndarray:
+    return (bitmap[slot >> 6].view(np.uint64) >> (slot & 63).astype(np.uint64)) & np.uint64(1) == 1
+
+
+#: Bits of the sketch of wanted ids; a clash only costs a row more in a shuffle.
+WANTED_BITS = 1 << 24
+
+
+def id_slot(column: str) -> Column:
+    return F.pmod(F.xxhash64(column), F.lit(WANTED_BITS)).cast("long")
+
+
+def wanted_ids(ids: DataFrame) -> np.ndarray:
+    """A sketch of fixed size of the column `id`."""
+    return slot_bits(ids.select(id_slot("id").alias("slot")), WANTED_BITS)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) of an undirected edge list (a, b): component is the smallest node reachable.
 

@@ -40,6 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textops as X
+from .spark_util import has_bit, slot_bits
 
 K = 32
 #: Bits of the filter of repeated anchors; broadcast, whatever the corpus.
@@ -110,7 +111,7 @@ def _contexts(min_length: int, seen: np.ndarray):
             for c in X.chunks(batch.column("text")):
                 p, h, total = anchors(c, min_length)
                 slot = (h % np.uint64(FILTER_BITS)).astype(np.int64)
-                p = p[(seen[slot >> 6].view(np.uint64) >> (slot & 63).astype(np.uint64)) & np.uint64(1) == 1]
+                p = p[has_bit(seen, slot)]
                 text = c.text_of(p)
                 low, high = c.offsets[text], c.offsets[text + 1]
                 ids = batch.column("id").slice(c.first, c.n).to_numpy(zero_copy_only=False)
@@ -257,10 +258,7 @@ def repeat_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null")
     counts = docs.mapInArrow(_anchor_hashes(min_length), "h long, k long").groupBy("h").agg(F.sum("k").alias("k")).where("k > 1")
-    slot = F.pmod("h", F.lit(FILTER_BITS))
-    words = counts.select(slot.alias("s")).groupBy(F.shiftright("s", 6).alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(s & 63 as int)))").alias("bits")).toPandas()
-    seen = np.zeros(FILTER_BITS // 64, np.int64)
-    seen[words["w"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64)
+    seen = slot_bits(counts.select(F.pmod("h", F.lit(FILTER_BITS)).alias("slot")), FILTER_BITS)
     shared = spark.sparkContext.broadcast(seen)
     contexts = docs.mapInArrow(lambda it: _contexts(min_length, shared.value)(it), _CONTEXT)
     grouped = contexts.repartition("key").sortWithinPartitions("key")
