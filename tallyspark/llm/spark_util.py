@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,6 +21,13 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """df as a Parquet table in the shared folder, smaller than a checkpoint where there are many narrow rows."""
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The session's checkpoint folder, set first where it isn't yet."""
     context = spark.sparkContext
@@ -31,12 +40,28 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Bits of a bitmap that one task puts together.
+BLOCK_BITS = 1 << 16
+
+
 def slot_bits(slots: DataFrame, bits: int) -> np.ndarray:
-    """A bitmap of so many bits (a power of two) as int64 words, with the bits in column `slot` set; its size doesn't depend on the rows."""
-    words = slots.groupBy(F.shiftright("slot", 6).alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(slot & 63 as int)))").alias("bits")).toPandas()
-    out = np.zeros(bits // 64, np.int64)
-    out[words["w"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64)
-    return out
+    """A bitmap of so many bits (a power of two, BLOCK_BITS at least) as int64 words, with the bits in column `slot` set.
+
+    Tasks build blocks of the bitmap; the driver only gets finished blocks, so
+    what it holds depends on `bits` alone.
+    """
+
+    def block(f: pd.DataFrame) -> pd.DataFrame:
+        flags = np.zeros(BLOCK_BITS, np.uint8)
+        flags[f["at"].to_numpy()] = 1
+        return pd.DataFrame({"block": f["block"].iloc[:1], "bits": [np.packbits(flags, bitorder="little").tobytes()]})
+
+    parts = slots.select(F.expr(f"slot div {BLOCK_BITS}").alias("block"), F.expr(f"slot % {BLOCK_BITS}").alias("at")).distinct()
+    out = np.zeros(bits // 8, np.uint8)
+    for row in parts.groupBy("block").applyInPandas(block, "block long, bits binary").collect():
+        at = row["block"] * BLOCK_BITS // 8
+        out[at : at + BLOCK_BITS // 8] = np.frombuffer(row["bits"], np.uint8)
+    return out.view(np.int64)
 
 
 def has_bit(bitmap: np.ndarray, slot: np.ndarray) -> np.ndarray:

@@ -10,11 +10,13 @@ UTF-8 bytes. Suffixes are sampled, so that the array is spread over tasks:
 2. Anchors whose string occurs once in the corpus are dropped. They are told by
    a Bloom filter of fixed size built from the counts of all anchors; its false
    positives only cost rows.
-3. Each anchor left is a suffix with a bounded context. It goes to the task of
-   its context's 66 or 67 middle bytes (one half of the windows each), so a
-   short common string doesn't gather its surroundings in one task. Equal
-   contexts are combined before the shuffle.
-4. A task sorts its suffixes, takes common-prefix lengths of neighbours, and
+3. Each anchor left is a suffix with a bounded context: all windows it can
+   anchor. Anchors with equal contexts (told by a hash) are one repeat group as
+   they stand; only the first of them goes on, and only if its anchor string
+   has other contexts too. Equal contexts are combined before the shuffle.
+4. These suffixes go, with their contexts' bytes, to the task of the context's
+   66 or 67 middle bytes (one half of the windows each), so a short common
+   string doesn't gather its surroundings in one task. A task sorts its suffixes, takes common-prefix lengths of neighbours, and
    scans them with a stack: every interval is a set of suffixes that share so
    many bytes. Inside an interval, the left contexts get the same scan; an
    interval of theirs is left-diverse where it ends, so each pair of intervals
@@ -32,19 +34,21 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textops as X
-from .spark_util import has_bit, slot_bits
+from .spark_util import checkpointed, has_bit, id_slot, slot_bits, wanted_ids, written
 
 K = 32
-#: Bits of the filter of repeated anchors; broadcast, whatever the corpus.
-FILTER_BITS = 1 << 26
+#: Bits of each filter of anchors; broadcast, whatever the corpus.
+FILTER_BITS = 1 << 27
 _NONE = np.uint64(2**64 - 1)
 _POSITION = np.uint64((1 << 24) - 1)
 _BLOCK = 1 << 22
@@ -97,11 +101,115 @@ def _anchor_hashes(min_length: int):
     return run
 
 
-_CONTEXT = "key long, right_half boolean, id long, at long, whole boolean, l binary, r binary, first_id long, first_at long"
+def _place_slot(own: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The filter's bit for an anchor's place."""
+    return (X.mix(X.mix(own.astype(np.uint64)) + at.astype(np.uint64)) % np.uint64(FILTER_BITS)).astype(np.int64)
 
 
-def _contexts(min_length: int, seen: np.ndarray):
-    """Repeated anchors with their contexts; of equal contexts in a chunk only the first goes on, the others refer to it."""
+@dataclass
+class _Suffixes:
+    """A chunk's repeated anchors: places, hashes, ids and places in their texts; bounds of their texts."""
+
+    at: np.ndarray
+    hash: np.ndarray
+    id: np.ndarray
+    place: np.ndarray
+    low: np.ndarray
+    high: np.ndarray
+    total: np.ndarray
+
+
+def _suffixes(batch: pa.RecordBatch, c: X.Chunk, min_length: int, repeated: np.ndarray) -> _Suffixes:
+    p, h, total = anchors(c, min_length)
+    keep = has_bit(repeated, (h % np.uint64(FILTER_BITS)).astype(np.int64))
+    p, h = p[keep], h[keep]
+    text = c.text_of(p)
+    ids = batch.column("id").slice(c.first, c.n).to_numpy(zero_copy_only=False)
+    return _Suffixes(p, h, ids[text].astype(np.int64), p - c.offsets[text], c.offsets[text], c.offsets[text + 1], total)
+
+
+_SLIM = "h long, same long, id long, place long, back int, size int, first_id long, first_place long"
+
+
+def _slim(min_length: int, repeated: np.ndarray):
+    """Repeated anchors with a hash of their whole context; of equal ones in a chunk only the first has no first_id."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for c in X.chunks(batch.column("text")):
+                x = _suffixes(batch, c, min_length, repeated)
+                if not len(x.at):
+                    continue
+                s, e = np.maximum(x.at - (min_length - K), x.low), np.minimum(x.at + min_length, x.high)
+                same = X.mix((x.total[e] - x.total[s]) * X.powers(len(c.data) + 1, True)[s])
+                same = X.mix(same + (e - s).astype(np.uint64) * X._K[0] + (x.at - s).astype(np.uint64) * X._K[1])
+                order = np.lexsort((x.place, x.id, same, x.hash))
+                new = np.concatenate([[True], same[order][1:] != same[order][:-1]])
+                first = order[np.flatnonzero(new)[np.cumsum(new) - 1]]
+                key = np.where(new, x.hash[order], X.mix(x.id[order].astype(np.uint64) + x.place[order].astype(np.uint64)))
+                none = pa.array(new)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(X.signed(key)), pa.array(X.signed(same[order])), pa.array(x.id[order]), pa.array(x.place[order]), pa.array((x.at - s)[order].astype(np.int32)), pa.array((e - s)[order].astype(np.int32)), pc.if_else(none, None, pa.array(x.id[first])), pc.if_else(none, None, pa.array(x.place[first]))],
+                    ["h", "same", "id", "place", "back", "size", "first_id", "first_place"],
+                )
+
+    return run
+
+
+_CLASSES = "id long, start long, length long, first_id long, first_start long, slot long"
+
+
+def _classes(min_length: int):
+    """Slim rows sorted by all but sizes: later ones of equal contexts as occurrences; the firsts of strings with several contexts by slot."""
+
+    def out(f: pd.DataFrame) -> pd.DataFrame:
+        done = f["first_id"].notna().to_numpy()
+        alone = f[~done]
+        h, same, own, place = (alone[k].to_numpy() for k in ("h", "same", "id", "place"))
+        new = np.ones(len(alone), bool)
+        new[1:] = (h[1:] != h[:-1]) | (same[1:] != same[:-1])
+        first = np.flatnonzero(new)[np.cumsum(new) - 1]
+        later = ~new & ((own != own[first]) | (place != place[first]))
+        again = pd.concat([f[done], alone[later].assign(first_id=own[first][later], first_place=place[first][later])])
+        again = again[again["size"] >= min_length]
+        edge = X.runs(h)
+        kinds = np.add.reduceat(new, edge[:-1]) if len(h) else np.zeros(0, np.int64)
+        reps = new & np.repeat(kinds > 1, np.diff(edge))
+        back = again["back"].to_numpy()
+        found = pd.DataFrame({"id": again["id"], "start": again["place"] - back, "length": again["size"].astype("int64"), "first_id": again["first_id"].astype("int64"), "first_start": again["first_place"].astype("int64") - back, "slot": None})
+        kept = pd.DataFrame({"id": own[reps], "start": None, "length": None, "first_id": None, "first_start": None, "slot": _place_slot(own[reps], place[reps])})
+        return pd.concat([x.astype("Int64") for x in (found, kept)])
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in _whole_groups(frames, "h"):
+            yield out(f)
+
+    return run
+
+
+def _whole_groups(frames: Iterator[pd.DataFrame], key: str) -> Iterator[pd.DataFrame]:
+    """Frames sorted by key, cut anew so that none parts a key's rows."""
+    rest: list[pd.DataFrame] = []
+    for f in frames:
+        if not len(f):
+            continue
+        rest.append(f)
+        if sum(map(len, rest)) < 20_000:
+            continue
+        f = pd.concat(rest)
+        cut = int(np.argmax((f[key] == f[key].iloc[-1]).to_numpy()))
+        if cut:
+            yield f.iloc[:cut]
+        rest = [f.iloc[cut:]]
+    if rest:
+        yield pd.concat(rest)
+
+
+_CONTEXT = "key long, right_half boolean, id long, at long, l binary, r binary"
+
+
+def _contexts(min_length: int, repeated: np.ndarray, wanted: np.ndarray):
+    """The wanted anchors with their contexts' bytes, left ones backwards, for each half of the windows."""
     half = (min_length - K) // 2
     #: (left bytes kept, right bytes kept, left and right bytes of the key) of the windows that start up to half before, and of the others
     sides = ((True, half, min_length, 0, min_length - half), (False, min_length - K, min_length - half - 1, half + 1, K))
@@ -109,38 +217,15 @@ def _contexts(min_length: int, seen: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for c in X.chunks(batch.column("text")):
-                p, h, total = anchors(c, min_length)
-                slot = (h % np.uint64(FILTER_BITS)).astype(np.int64)
-                p = p[has_bit(seen, slot)]
-                text = c.text_of(p)
-                low, high = c.offsets[text], c.offsets[text + 1]
-                ids = batch.column("id").slice(c.first, c.n).to_numpy(zero_copy_only=False)
+                x = _suffixes(batch, c, min_length, repeated)
+                keep = has_bit(wanted, _place_slot(x.id, x.place))
                 for right_half, left, right, key_left, key_right in sides:
-                    fits = (p - key_left >= low) & (p + key_right <= high)
-                    q, s, e = p[fits], np.maximum(p[fits] - left, low[fits]), np.minimum(p[fits] + right, high[fits])
-                    if not len(q):
-                        continue
-                    key = _substring_hashes(c, total, q - key_left, key_left + key_right)
-                    inverse = X.powers(len(c.data) + 1, True)[s]
-                    same = X.mix(X.mix((total[e] - total[s]) * inverse) + (e - s).astype(np.uint64) * X._K[0] + (q - s).astype(np.uint64) * X._K[1])
-                    own, at = ids[text[fits]].astype(np.int64), q - low[fits]
-                    order = np.lexsort((at, own, same))
-                    new = np.concatenate([[True], same[order][1:] != same[order][:-1]])
-                    first = order[np.flatnonzero(new)[np.cumsum(new) - 1]]
-                    l = [c.data[a:b][::-1].tobytes() for a, b in zip(s[order[new]], q[order[new]], strict=True)]  # noqa: E741
-                    r = [c.data[a:b].tobytes() for a, b in zip(q[order[new]], e[order[new]], strict=True)]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(X.signed(key[order[new]])), pa.array(np.full(len(l), right_half)), pa.array(own[order[new]]), pa.array(at[order[new]]), pa.array(np.ones(len(l), bool)), pa.array(l, pa.binary()), pa.array(r, pa.binary()), pa.nulls(len(l), pa.int64()), pa.nulls(len(l), pa.int64())],
-                        ["key", "right_half", "id", "at", "whole", "l", "r", "first_id", "first_at"],
-                    )
-                    again = order[~new]
-                    if len(again):
-                        where = first[~new]
-                        spread = X.signed(X.mix(own[again].astype(np.uint64) + at[again].astype(np.uint64)))
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array(spread), pa.array(np.full(len(again), right_half)), pa.array(own[again]), pa.array(at[again] - (q - s)[again]), pa.array(np.zeros(len(again), bool)), pa.nulls(len(again), pa.binary()), pa.array(np.array((e - s)[again], "S").tolist(), pa.binary()), pa.array(own[where]), pa.array((at - (q - s))[where])],
-                            ["key", "right_half", "id", "at", "whole", "l", "r", "first_id", "first_at"],
-                        )
+                    ok = np.flatnonzero(keep & (x.at - key_left >= x.low) & (x.at + key_right <= x.high))
+                    q = x.at[ok]
+                    key = _substring_hashes(c, x.total, q - key_left, key_left + key_right)
+                    l = [c.data[a:b][::-1].tobytes() for a, b in zip(np.maximum(q - left, x.low[ok]), q, strict=True)]  # noqa: E741
+                    r = [c.data[a:b].tobytes() for a, b in zip(q, np.minimum(q + right, x.high[ok]), strict=True)]
+                    yield pa.RecordBatch.from_arrays([pa.array(X.signed(key)), pa.array(np.full(len(ok), right_half)), pa.array(x.id[ok]), pa.array(x.place[ok]), pa.array(l, pa.binary()), pa.array(r, pa.binary())], ["key", "right_half", "id", "at", "l", "r"])
 
     return run
 
@@ -218,34 +303,10 @@ def _groups(min_length: int):
                 yield own[x], at[x] - more, length + more, own[first], at[first] - more
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = ["id", "start", "length", "first_id", "first_start"]
-        rest: list[pd.DataFrame] = []
-
-        def out(f: pd.DataFrame) -> Iterator[pd.DataFrame]:
-            done = f[~f["whole"]]
-            if len(done):
-                size = done["r"].map(int).to_numpy(np.int64)
-                yield pd.DataFrame({"id": done["id"], "start": done["at"], "length": size, "first_id": done["first_id"].astype("int64"), "first_start": done["first_at"].astype("int64")})
-            f = f[f["whole"]]
-            if len(f) > 1:
-                got = list(found(f))
-                if got:
-                    yield pd.DataFrame(dict(zip(names, map(np.concatenate, zip(*got, strict=True)), strict=True)))
-
-        for f in frames:
-            if not len(f):
-                continue
-            rest.append(f)
-            if sum(map(len, rest)) < 20_000:
-                continue
-            f = pd.concat(rest)
-            last = f["key"].iloc[-1]
-            cut = int(np.argmax((f["key"] == last).to_numpy()))
-            if cut:
-                yield from out(f.iloc[:cut])
-            rest = [f.iloc[cut:]]
-        if rest:
-            yield from out(pd.concat(rest))
+        for f in _whole_groups(frames, "key"):
+            got = list(found(f)) if len(f) > 1 else []
+            if got:
+                yield pd.DataFrame(dict(zip(("id", "start", "length", "first_id", "first_start"), map(np.concatenate, zip(*got, strict=True)), strict=True)))
 
     return run
 
@@ -259,57 +320,86 @@ def repeat_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null")
     counts = docs.mapInArrow(_anchor_hashes(min_length), "h long, k long").groupBy("h").agg(F.sum("k").alias("k")).where("k > 1")
     seen = slot_bits(counts.select(F.pmod("h", F.lit(FILTER_BITS)).alias("slot")), FILTER_BITS)
-    shared = spark.sparkContext.broadcast(seen)
-    contexts = docs.mapInArrow(lambda it: _contexts(min_length, shared.value)(it), _CONTEXT)
-    grouped = contexts.repartition("key").sortWithinPartitions("key")
-    return grouped.mapInPandas(_groups(min_length), "id long, start long, length long, first_id long, first_start long")
+    repeated = spark.sparkContext.broadcast(seen)
+    slim = docs.mapInArrow(lambda it: _slim(min_length, repeated.value)(it), _SLIM)
+    classes = written(slim.repartition("h").sortWithinPartitions("h", "same", "id", "place").mapInPandas(_classes(min_length), _CLASSES))
+    wanted = spark.sparkContext.broadcast(slot_bits(classes.where("slot is not null").select("slot"), FILTER_BITS))
+    contexts = docs.mapInArrow(lambda it: _contexts(min_length, repeated.value, wanted.value)(it), _CONTEXT)
+    groups = contexts.repartition("key").sortWithinPartitions("key").mapInPandas(_groups(min_length), "id long, start long, length long, first_id long, first_start long")
+    return groups.unionByName(classes.where("slot is null").drop("slot"))
+
+
+def _merged(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Each text's spans, those that touch made one."""
+    for f in frames:
+        rows = []
+        for spans in f["spans"]:
+            merged: list[list[int]] = []
+            for s, e in sorted((x["start"], x["end"]) for x in spans):
+                if merged and s <= merged[-1][1]:
+                    merged[-1][1] = max(merged[-1][1], e)
+                else:
+                    merged.append([s, e])
+            rows.append([x for span in merged for x in span])
+        yield pd.DataFrame({"id": f["id"], "spans": rows})
+
 
+Give = Callable[[bytes, int, bytes], tuple]
 
-def _cut(give: Callable[[bytes, list[tuple[int, int]], bytes], tuple], names: list[str], types: list[pa.DataType]):
-    """Applies give(text, merged spans, kept bytes) to each text."""
+
+def _cut(give: Give, fields: list[pa.Field]):
+    """give(text, number of removed runs, kept bytes) of each text; `spans` holds starts and ends in turn."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for text, spans in zip(batch.column("text").cast(pa.binary()).to_pylist(), batch.column("spans").to_pylist(), strict=True):
-                text, merged, kept, at = text or b"", [], [], 0
-                for x in sorted(spans or [], key=lambda x: x["start"]):
-                    if merged and x["start"] <= merged[-1][1]:
-                        merged[-1] = (merged[-1][0], max(merged[-1][1], x["end"]))
-                    else:
-                        merged.append((x["start"], x["end"]))
-                for s, e in merged:
-                    kept.append(text[at:s])
-                    at = e
-                rows.append(give(text, merged, b"".join([*kept, text[at:]])))
-            columns = zip(*rows, strict=True) if rows else [[] for _ in names]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), *(pa.array(x, t) for x, t in zip(columns, types, strict=True))], ["id", *names])
+                text, edges = text or b"", [0, *(spans or [])]
+                kept = b"".join([*(text[a:b] for a, b in zip(edges[::2], edges[1::2], strict=False)), text[edges[-1] :]])
+                rows.append(give(text, len(edges) // 2, kept))
+            columns = zip(*rows, strict=True) if rows else [[] for _ in fields]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), *(pa.array(x, f.type) for x, f in zip(columns, fields, strict=True))], ["id", *(f.name for f in fields)])
 
     return run
 
 
-def _with_spans(docs: DataFrame, id_col: str, text_col: str, min_length: int) -> DataFrame:
+def _without_repeats(docs: DataFrame, id_col: str, text_col: str, min_length: int, give: Give, fields: list[pa.Field], schema: str) -> DataFrame:
+    """give() of every row. Only texts that may have something removed are shuffled; the others are answered where they are read."""
     later = repeat_groups(docs, id_col, text_col, min_length).where("id <> first_id or start <> first_start")
-    spans = later.groupBy("id", "start").agg(F.max(F.col("start") + F.col("length")).alias("end")).groupBy("id").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(spans, "id", "left")
+    spans = later.select("id", "start", (F.col("start") + F.col("length")).alias("end")).groupBy("id").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    spans = checkpointed(spans.mapInPandas(_merged, "id long, spans array<long>"))
+    sketch = docs.sparkSession.sparkContext.broadcast(wanted_ids(spans.select("id")))
+
+    def part(inside: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                slot = batch.column("slot").to_numpy(zero_copy_only=False)
+                yield batch.filter(pa.array(has_bit(sketch.value, slot) == inside))
+
+        return run
+
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), id_slot("id").alias("slot"))
+    same, cut = (rows.mapInArrow(part(x), "id long, text string, slot long").drop("slot") for x in (False, True))
+    both = same.withColumn("spans", F.lit(None).cast("array<long>")).unionByName(cut.join(spans, "id", "left"))
+    return both.mapInArrow(_cut(give, fields), f"id long, {schema}")
 
 
 def removal_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_length: int = 100) -> DataFrame:
     """Bytes covered by a string of min_length bytes that also starts earlier, removed: (id, n_bytes, n_removed, n_spans, kept_sha256)."""
 
-    def give(text: bytes, spans: list[tuple[int, int]], kept: bytes) -> tuple:
-        return len(text), len(text) - len(kept), len(spans), hashlib.sha256(kept).hexdigest()
+    def give(text: bytes, runs: int, kept: bytes) -> tuple:
+        return len(text), len(text) - len(kept), runs, hashlib.sha256(kept).hexdigest()
 
-    names = ["n_bytes", "n_removed", "n_spans", "kept_sha256"]
-    out = _with_spans(docs, id_col, text_col, min_length).mapInArrow(_cut(give, names, [pa.int64()] * 3 + [pa.string()]), "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    fields = [*(pa.field(x, pa.int64()) for x in ("n_bytes", "n_removed", "n_spans")), pa.field("kept_sha256", pa.string())]
+    out = _without_repeats(docs, id_col, text_col, min_length, give, fields, "n_bytes long, n_removed long, n_spans long, kept_sha256 string")
     return out.withColumnRenamed("id", id_col)
 
 
 def removed_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_length: int = 100) -> DataFrame:
     """(id, text, n_removed) without later repeats; a character cut in its middle goes whole."""
 
-    def give(text: bytes, spans: list[tuple[int, int]], kept: bytes) -> tuple:
+    def give(text: bytes, runs: int, kept: bytes) -> tuple:
         return kept.decode("utf-8", "ignore"), len(text) - len(kept)
 
-    out = _with_spans(docs, id_col, text_col, min_length).mapInArrow(_cut(give, ["text", "n_removed"], [pa.string(), pa.int64()]), "id long, text string, n_removed long")
+    out = _without_repeats(docs, id_col, text_col, min_length, give, [pa.field("text", pa.string()), pa.field("n_removed", pa.int64())], "text string, n_removed long")
     return out.withColumnsRenamed({"id": id_col, "text": text_col})
