@@ -78,7 +78,7 @@ def _pieces(path: str, end_id: int, capacity: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = WordEncoder(path, end_id)
         for batch in batches:
-            for c in X.chunks(batch.column("text")):
+            for c in X.chunks(batch.column("text"), 4 << 20):
                 ids, at = encoder.encode(c)
                 n = -(-np.diff(at) // capacity)
                 row = np.repeat(np.arange(c.n), n)

@@ -62,7 +62,7 @@ class Chunk:
         return np.searchsorted(self.offsets, positions, side="right") - 1
 
 
-def chunks(column: pa.Array, limit: int = 4 << 20) -> Iterator[Chunk]:
+def chunks(column: pa.Array, limit: int = 1 << 20) -> Iterator[Chunk]:
     """Cut a string column into chunks of at most `limit` bytes, or of one longer text."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
