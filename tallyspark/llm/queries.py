@@ -7,12 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import chat
+from .context_mixing import score_texts
+from .decision_list import quality_rules
 from .decontaminate import contaminated
+from .html_extract import extract_main_text
 from .jaccard_join import jaccard_components
 from .language_id import identify_documents, identify_pages
 from .packing import packed
 from .spark_util import read_table
 from .suffix_dedup import removal_digest
+from .token_counts import section_tokens
 
 
 def tokenizer_path(name: str) -> str:
@@ -22,6 +27,11 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents' log10 probabilities, learned from those with crc32(doc_id) mod 10 other than 0."""
+    return score_texts(read_table(spark, sf_dir, "documents"))
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents: text, declared language and source fused."""
     return identify_documents(read_table(spark, sf_dir, "documents"))
@@ -32,12 +42,34 @@ def pages_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_pages(read_table(spark, sf_dir, "pages"), read_table(spark, sf_dir, "documents"))
 
 
+def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations that no other one continues, rendered."""
+    return chat.rendered(read_table(spark, sf_dir, "conversations"))
+
+
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents by the base rule and the decision list learned from labels."""
+    return quality_rules(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of all pages by their hosts' style trees."""
+    return extract_main_text(read_table(spark, sf_dir, "pages"))
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in sequences of at most 2048 tokens."""
     out = packed(read_table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), capacity=2048, end_id=0)
     return out.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", F.col("offset"))
 
 
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every line of all documents, each document encoded once; boundary tokens by majority."""
+    import public_tokenizers
+
+    return section_tokens(read_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """3-word shingle sets of all documents, linked at a Jaccard similarity of 0.9 or more."""
     return jaccard_components(read_table(spark, sf_dir, "documents"), ngram=3, num=90, den=100)
@@ -55,9 +87,14 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_lm_scoring": op1_lm_scoring,
         "op2_language_id": op2_language_id,
         "pages_language_id": pages_language_id,
+        "op3_chat_formatting": op3_chat_formatting,
+        "op4_quality_rules": op4_quality_rules,
+        "op5_html_extraction": op5_html_extraction,
         "op6_best_fit_packing": op6_best_fit_packing,
+        "op7_token_counts": op7_token_counts,
         "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
         "op9_suffix_array_dedup": op9_suffix_array_dedup,
         "op10_decontamination": op10_decontamination,
@@ -65,4 +102,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_chat_formatting": chat.ORACLE}
