@@ -48,7 +48,7 @@ from .spark_util import checkpointed, has_bit, id_slot, slot_bits, wanted_ids, w
 
 K = 32
 #: Bits of each filter of anchors; broadcast, whatever the corpus.
-FILTER_BITS = 1 << 27
+FILTER_BITS = 1 << 26
 _NONE = np.uint64(2**64 - 1)
 _POSITION = np.uint64((1 << 24) - 1)
 _BLOCK = 1 << 22
@@ -330,18 +330,14 @@ def repeat_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def _merged(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Each text's spans, those that touch made one."""
-    for f in frames:
-        rows = []
-        for spans in f["spans"]:
-            merged: list[list[int]] = []
-            for s, e in sorted((x["start"], x["end"]) for x in spans):
-                if merged and s <= merged[-1][1]:
-                    merged[-1][1] = max(merged[-1][1], e)
-                else:
-                    merged.append([s, e])
-            rows.append([x for span in merged for x in span])
-        yield pd.DataFrame({"id": f["id"], "spans": rows})
+    """Spans sorted by text and start, those that touch made one."""
+    for f in _whole_groups(frames, "id"):
+        start, end = f["start"].to_numpy(), f.groupby("id", sort=False)["end"].cummax().to_numpy()
+        own = f["id"].to_numpy()
+        new = np.ones(len(f), bool)
+        new[1:] = (own[1:] != own[:-1]) | (start[1:] > end[:-1])
+        last = np.append(np.flatnonzero(new)[1:], len(f)) - 1
+        yield pd.DataFrame({"id": own[new], "start": start[new], "end": end[last]})
 
 
 Give = Callable[[bytes, int, bytes], tuple]
@@ -366,8 +362,9 @@ def _cut(give: Give, fields: list[pa.Field]):
 def _without_repeats(docs: DataFrame, id_col: str, text_col: str, min_length: int, give: Give, fields: list[pa.Field], schema: str) -> DataFrame:
     """give() of every row. Only texts that may have something removed are shuffled; the others are answered where they are read."""
     later = repeat_groups(docs, id_col, text_col, min_length).where("id <> first_id or start <> first_start")
-    spans = later.select("id", "start", (F.col("start") + F.col("length")).alias("end")).groupBy("id").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
-    spans = checkpointed(spans.mapInPandas(_merged, "id long, spans array<long>"))
+    parts = later.select("id", "start", (F.col("start") + F.col("length")).alias("end")).repartition("id").sortWithinPartitions("id", "start")
+    each = parts.mapInPandas(_merged, "id long, start long, end long").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("x"))
+    spans = checkpointed(each.select("id", F.flatten(F.transform("x", lambda x: F.array(x["start"], x["end"]))).alias("spans")))
     sketch = docs.sparkSession.sparkContext.broadcast(wanted_ids(spans.select("id")))
 
     def part(inside: bool):
