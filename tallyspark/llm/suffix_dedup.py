@@ -375,7 +375,7 @@ def _without_repeats(docs: DataFrame, id_col: str, text_col: str, min_length: in
 
         return run
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), id_slot("id").alias("slot"))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).withColumn("slot", id_slot("id"))
     same, cut = (rows.mapInArrow(part(x), "id long, text string, slot long").drop("slot") for x in (False, True))
     both = same.withColumn("spans", F.lit(None).cast("array<long>")).unionByName(cut.join(spans, "id", "left"))
     return both.mapInArrow(_cut(give, fields), f"id long, {schema}")
