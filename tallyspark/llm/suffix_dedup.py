@@ -304,13 +304,29 @@ def _groups(min_length: int):
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in _whole_groups(frames, "key"):
-            got = list(found(f)) if len(f) > 1 else []
-            if got:
-                yield pd.DataFrame(dict(zip(("id", "start", "length", "first_id", "first_start"), map(np.concatenate, zip(*got, strict=True)), strict=True)))
+            held: list[tuple[np.ndarray, ...]] = []
+            n = 0
+            for part in found(f) if len(f) > 1 else ():
+                held.append(part)
+                n += len(part[0])
+                if n > OUT_ROWS:
+                    yield _occurrences(held)
+                    held, n = [], 0
+            if held:
+                yield _occurrences(held)
 
     return run
 
 
+#: Occurrences that a task holds before it hands them on; nested intervals of a large group give far more than its rows.
+OUT_ROWS = 50_000
+
+
+def _occurrences(parts: list[tuple[np.ndarray, ...]]) -> pd.DataFrame:
+    names = ("id", "start", "length", "first_id", "first_start")
+    return pd.DataFrame(dict(zip(names, map(np.concatenate, zip(*parts, strict=True)), strict=True)))
+
+
 def repeat_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_length: int = 100) -> DataFrame:
     """All occurrences of the repeat groups: (id, start, length, first_id, first_start).
 
@@ -329,15 +345,26 @@ def repeat_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return groups.unionByName(classes.where("slot is null").drop("slot"))
 
 
-def _merged(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _joined_spans(f: pd.DataFrame) -> pd.DataFrame:
     """Spans sorted by text and start, those that touch made one."""
+    start, end = f["start"].to_numpy(), f.groupby("id", sort=False)["end"].cummax().to_numpy()
+    own = f["id"].to_numpy()
+    new = np.ones(len(f), bool)
+    new[1:] = (own[1:] != own[:-1]) | (start[1:] > end[:-1])
+    last = np.append(np.flatnonzero(new)[1:], len(f)) - 1
+    return pd.DataFrame({"id": own[new], "start": start[new], "end": end[last]})
+
+
+def _merged(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for f in _whole_groups(frames, "id"):
-        start, end = f["start"].to_numpy(), f.groupby("id", sort=False)["end"].cummax().to_numpy()
-        own = f["id"].to_numpy()
-        new = np.ones(len(f), bool)
-        new[1:] = (own[1:] != own[:-1]) | (start[1:] > end[:-1])
-        last = np.append(np.flatnonzero(new)[1:], len(f)) - 1
-        yield pd.DataFrame({"id": own[new], "start": start[new], "end": end[last]})
+        yield _joined_spans(f)
+
+
+def _merged_here(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Spans of one batch made fewer before they are shuffled."""
+    for f in frames:
+        if len(f):
+            yield _joined_spans(f.sort_values(["id", "start"]))
 
 
 Give = Callable[[bytes, int, bytes], tuple]
@@ -362,7 +389,8 @@ def _cut(give: Give, fields: list[pa.Field]):
 def _without_repeats(docs: DataFrame, id_col: str, text_col: str, min_length: int, give: Give, fields: list[pa.Field], schema: str) -> DataFrame:
     """give() of every row. Only texts that may have something removed are shuffled; the others are answered where they are read."""
     later = repeat_groups(docs, id_col, text_col, min_length).where("id <> first_id or start <> first_start")
-    parts = later.select("id", "start", (F.col("start") + F.col("length")).alias("end")).repartition("id").sortWithinPartitions("id", "start")
+    near = later.select("id", "start", (F.col("start") + F.col("length")).alias("end")).mapInPandas(_merged_here, "id long, start long, end long")
+    parts = near.repartition("id").sortWithinPartitions("id", "start")
     each = parts.mapInPandas(_merged, "id long, start long, end long").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("x"))
     spans = checkpointed(each.select("id", F.flatten(F.transform("x", lambda x: F.array(x["start"], x["end"]))).alias("spans")))
     sketch = docs.sparkSession.sparkContext.broadcast(wanted_ids(spans.select("id")))
