@@ -21,6 +21,8 @@ from __future__ import annotations
 import bisect
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -32,7 +34,7 @@ from pyspark.sql import functions as F
 from . import textops as X
 from .spark_util import checkpointed
 
-#: Words whose ids a task keeps; beyond it starts anew.
+#: Words whose ids a worker keeps from task to task; beyond it starts anew.
 CACHE_WORDS = 1 << 20
 
 
@@ -49,24 +51,29 @@ class WordEncoder:
         self._reset()
 
     def _reset(self) -> None:
-        self.slots: dict[int, int] = {}
+        # hashes in order, and each one's place in ids
+        self.known, self.slots = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         self.ids, self.at = np.array([self.end_id], np.uint32), np.array([0, 1])
 
     def encode(self, c: X.Chunk) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after another, offsets of texts); every text ends with end_id."""
         w = X.words(c, fold=False)
         h, first, inverse = np.unique(w.hash, return_index=True, return_inverse=True)
-        if len(self.slots) > CACHE_WORDS:
+        if len(self.known) > CACHE_WORDS:
             self._reset()
-        new = [i for i, x in enumerate(h.tolist()) if x not in self.slots]
-        if new:
+        place = np.searchsorted(self.known, h)
+        there = place < len(self.known)
+        there[there] = self.known[place[there]] == h[there]
+        new = np.flatnonzero(~there)
+        if len(new):
             raw = c.data.tobytes()
-            texts = [raw[w.start[i] : w.end[i]].decode("utf-8", "replace") for i in first[new]]
+            texts = [raw[a:b].decode("utf-8", "replace") for a, b in zip(w.start[first[new]].tolist(), w.end[first[new]].tolist(), strict=True)]
             found = [x.ids for x in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
-            self.slots |= zip(h[new].tolist(), range(len(self.at) - 1, len(self.at) - 1 + len(new)), strict=True)
-            self.ids = np.concatenate([self.ids, np.fromiter((y for x in found for y in x), np.uint32)])
+            self.known = np.insert(self.known, place[new], h[new])
+            self.slots = np.insert(self.slots, place[new], len(self.at) - 1 + np.arange(len(new)))
+            self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(found), np.uint32)])
             self.at = np.concatenate([self.at, self.at[-1] + np.cumsum([len(x) for x in found])])
-        slot = np.fromiter((self.slots[x] for x in h.tolist()), np.int64, len(h))[inverse]
+        slot = self.slots[np.searchsorted(self.known, h)][inverse]
         slot = np.insert(slot, w.word_offsets[1:], 0)
         size = self.at[slot + 1] - self.at[slot]
         total = np.concatenate([[0], np.cumsum(size)])
@@ -74,9 +81,14 @@ class WordEncoder:
         return ids, total[np.concatenate([[0], w.word_offsets[1:] + np.arange(1, c.n + 1)])]
 
 
+@lru_cache(1)
+def _encoder(path: str, end_id: int) -> WordEncoder:
+    return WordEncoder(path, end_id)
+
+
 def _pieces(path: str, end_id: int, capacity: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordEncoder(path, end_id)
+        encoder = _encoder(path, end_id)
         for batch in batches:
             for c in X.chunks(batch.column("text"), 4 << 20):
                 ids, at = encoder.encode(c)
