@@ -36,6 +36,8 @@ from .spark_util import checkpointed
 
 #: Words whose ids a worker keeps from task to task; beyond it starts anew.
 CACHE_WORDS = 1 << 20
+#: Words encoded at a time; an encoding holds much more than its ids.
+BATCH_WORDS = 4096
 
 
 class WordEncoder:
@@ -67,12 +69,16 @@ class WordEncoder:
         new = np.flatnonzero(~there)
         if len(new):
             raw = c.data.tobytes()
-            texts = [raw[a:b].decode("utf-8", "replace") for a, b in zip(w.start[first[new]].tolist(), w.end[first[new]].tolist(), strict=True)]
-            found = [x.ids for x in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+            ids, sizes = [self.ids], []
+            for some in np.split(first[new], range(BATCH_WORDS, len(new), BATCH_WORDS)):
+                texts = [raw[a:b].decode("utf-8", "replace") for a, b in zip(w.start[some].tolist(), w.end[some].tolist(), strict=True)]
+                found = [x.ids for x in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+                ids.append(np.fromiter(chain.from_iterable(found), np.uint32))
+                sizes += map(len, found)
             self.known = np.insert(self.known, place[new], h[new])
             self.slots = np.insert(self.slots, place[new], len(self.at) - 1 + np.arange(len(new)))
-            self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(found), np.uint32)])
-            self.at = np.concatenate([self.at, self.at[-1] + np.cumsum([len(x) for x in found])])
+            self.ids = np.concatenate(ids)
+            self.at = np.concatenate([self.at, self.at[-1] + np.cumsum(sizes)])
         slot = self.slots[np.searchsorted(self.known, h)][inverse]
         slot = np.insert(slot, w.word_offsets[1:], 0)
         size = self.at[slot + 1] - self.at[slot]
@@ -90,7 +96,7 @@ def _pieces(path: str, end_id: int, capacity: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(path, end_id)
         for batch in batches:
-            for c in X.chunks(batch.column("text"), 4 << 20):
+            for c in X.chunks(batch.column("text")):
                 ids, at = encoder.encode(c)
                 n = -(-np.diff(at) // capacity)
                 row = np.repeat(np.arange(c.n), n)
