@@ -14,9 +14,12 @@ sidebars, notices, adverts, forms, scripts, styles and comments that their
 markup declares go on every page, also where a host has too few pages to tell.
 Inside, only `article` or `main` is kept where a page has one.
 
-Counts are grouped by host, node and text after being combined in each batch,
-so a host with a third of all pages is spread over its nodes and texts. The few
-removed nodes of a host are joined back to its pages.
+Rows of a host with the same blocks count as one page, so a copied page is not
+taken for a text that is spread over pages. Copies are found by host and a hash
+of the blocks, then counts are grouped by host, node and text, both combined
+before their shuffles, so a host with a third of all pages is spread over its
+pages, nodes and texts. The few removed nodes of a host are joined back to all
+its rows.
 
 A null page or one without text gives an empty text and 0 characters. A null or
 unreadable url is a host of its own kind, without tree. Repeated rows come back
@@ -28,11 +31,10 @@ from __future__ import annotations
 import hashlib
 import html
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .spark_util import checkpointed
@@ -115,33 +117,42 @@ def blocks(page: str) -> list[tuple[str, bool, str]]:
 
 
 def _tree(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """(host, node, what, value, pages) of each batch: texts and child sequences of the host's nodes, by how many pages show them."""
+    """(host, page, shows) of each row with text: page tells its blocks, shows are the (node, what, value) of its nodes' texts and child sequences."""
     for f in frames:
-        seen: Counter = Counter()
+        rows = []
         for host, page in zip(f["host"], f["html"], strict=True):
             own, children = set(), {}
-            for path, _, text in blocks(page):
-                own.add((path, "text", _key(text)))
+            found = blocks(page)
+            for path, _, text in found:
+                own.add((_key(path), "text", _key(text)))
                 parent, _, style = path.rpartition("/")
                 children.setdefault(parent, []).append(style)
-            own |= {(path, "look", _key(*styles)) for path, styles in children.items()}
-            seen.update((host, _key(path), what, value) for path, what, value in own)
-        yield pd.DataFrame([(*k, n) for k, n in seen.items()], columns=["host", "node", "what", "value", "pages"])
+            own |= {(_key(path), "look", _key(*styles)) for path, styles in children.items()}
+            if own:
+                rows.append((host, _key(*(y for path, inside, text in found for y in (path, str(inside), text))), [dict(zip(("node", "what", "value"), x, strict=True)) for x in own]))
+        yield pd.DataFrame(rows, columns=["host", "page", "shows"])
 
 
 def importance(pages: DataFrame, least_pages: int = 8) -> DataFrame:
-    """(host, node, importance) of the nodes that least_pages pages of their host show."""
-    counts = pages.select("host", "html").mapInPandas(_tree, "host string, node long, what string, value long, pages long")
-    values = counts.groupBy("host", "node", "what", "value").agg(F.sum("pages").alias("pages"))
-    m = F.sum("pages")
+    """(host, node, importance) of the nodes that least_pages different pages of their host show."""
+    shown = pages.select("host", "html").mapInPandas(_tree, "host string, page long, shows array<struct<node:long,what:string,value:long>>")
+    # rows of one host with the same blocks are one page
+    different = shown.dropDuplicates(["host", "page"]).select("host", F.inline("shows"))
+    values = different.groupBy("host", "node", "what", "value").agg(F.count("*").alias("pages"))
+
+    def of(what: str, value: Column) -> Column:
+        return F.when(F.col("what") == what, value)
+
+    n = F.col("pages")
     # a text on k of the pages has entropy log(k); shown by all it is log(m), a text of one page 0
-    nodes = values.groupBy("host", "node", "what").agg(m.alias("shown"), F.max("pages").alias("most"), F.avg(F.log("pages")).alias("log_pages"), F.sum(F.col("pages") * F.log("pages")).alias("weighed"))
-    text = nodes.where("what = 'text'").select("host", "node", "shown", "most", (1 - F.col("log_pages") / F.log(F.greatest("most", F.lit(2)))).alias("content"), (F.log("shown") - F.col("weighed") / F.col("shown")).alias("spread"))
-    look = nodes.where("what = 'look'").select("host", "node", (F.log("shown") - F.col("weighed") / F.col("shown")).alias("look_entropy"), F.log(F.greatest("shown", F.lit(2))).alias("look_unit"))
-    both = text.join(look, ["host", "node"], "left").where(F.col("most") >= least_pages)
-    presentation = F.coalesce(F.col("look_entropy") / F.col("look_unit"), F.lit(0.0))
-    content = F.least(F.col("content"), F.col("spread") / F.log(F.greatest("shown", F.lit(2))))
-    return both.select("host", "node", (0.1 * presentation + 0.9 * content).alias("importance"))
+    nodes = values.groupBy("host", "node").agg(
+        *(F.sum(of(x, n)).alias(f"{x}_shown") for x in ("text", "look")), *(F.sum(of(x, n * F.log(n))).alias(f"{x}_weighed") for x in ("text", "look")), F.max(of("text", n)).alias("most"), F.avg(of("text", F.log(n))).alias("log_pages")
+    )
+    entropy = {x: F.log(f"{x}_shown") - F.col(f"{x}_weighed") / F.col(f"{x}_shown") for x in ("text", "look")}
+    unit = {x: F.log(F.greatest(f"{x}_shown", F.lit(2))) for x in ("text", "look")}
+    presentation = F.coalesce(entropy["look"] / unit["look"], F.lit(0.0))
+    content = F.least(1 - F.col("log_pages") / F.log(F.greatest("most", F.lit(2))), entropy["text"] / unit["text"])
+    return nodes.where(F.col("most") >= least_pages).select("host", "node", (0.1 * presentation + 0.9 * content).alias("importance"))
 
 
 def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least_importance: float = 0.2, least_pages: int = 8) -> DataFrame:

@@ -213,6 +213,27 @@ def test_html(spark):
     assert got[100]["text"] == "A & B One two three" and got[101]["text"] == "" and got[102]["text"] == "plain text"
 
 
+def test_html_copies_are_one_page(spark):
+    rng = random.Random(8)
+
+    def page(i, nonce):
+        paragraphs = "".join(f"<p>{prose(rng, 12)} {i}</p>" for _ in range(5))
+        return f"<body><script>{nonce}</script><div><p>Read our other stories</p></div><section><h1>title {i}</h1>{paragraphs}</section></body>"
+
+    def texts(html):
+        return " ".join(x[2] for x in blocks(html) if "section" in x[0])
+
+    one, many = page(0, "n"), page(1, "n")
+    rows = [(i, f"http://copied.org/{i}", one) for i in range(30)]
+    # copies also differ in a script, which isn't among the blocks
+    rows += [(i, f"http://mixed.org/{i}", many.replace(">n<", f">n{i % 7}<")) for i in range(100, 1100)]
+    rows += [(i, f"http://mixed.org/{i}", page(i, "n")) for i in range(2000, 2020)]
+    got = {r["page_id"]: r["text"] for r in extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert len(got) == len(rows)
+    for i, url, html in rows:
+        assert got[i] == ("Read our other stories " if "copied" in url else "") + texts(html)
+
+
 def test_token_sections(docs, rows):
     for rule in ("first", "majority", "split"):
         got = section_tokens(docs, tokenizers.path("byte_bpe_50k.tiktoken"), tokenizers.PATTERN, rule=rule).toPandas()
