@@ -4,7 +4,8 @@ The posterior of a row's language multiplies four kinds of evidence:
 
 - the text: byte trigrams under one multinomial per language, learned from
   labelled texts (tempered, as neighbouring trigrams overlap). `und` stands for
-  no known language: trigrams spread as in all languages' mean, flattened;
+  no known language: trigrams spread as in all languages' mean, flattened.
+  Where a row is itself one of those texts, its own counts are left out;
 - the declared markup language: right with probability `declared_right`;
 - the address suffix: P(suffix | language), counted over rows by the language
   their text alone suggests;
@@ -50,6 +51,11 @@ def _trigrams(c: X.Chunk) -> tuple[np.ndarray, np.ndarray]:
     return place, slot[place].astype(np.int64)
 
 
+def _index(label: Column, languages: Sequence[str]) -> Column:
+    """A label's place among the languages, -1 for others and null."""
+    return F.coalesce(F.array_position(F.array(*map(F.lit, languages)), label).cast("int") - 1, F.lit(-1))
+
+
 def trigram_counts(labelled: DataFrame, text_col: str, label_col: str, languages: Sequence[str] = LANGUAGES) -> np.ndarray:
     """Counts by language and slot over all rows whose label is one of the languages."""
 
@@ -64,23 +70,29 @@ def trigram_counts(labelled: DataFrame, text_col: str, label_col: str, languages
         lang, slot = np.nonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(lang), pa.array(slot), pa.array(counts[lang, slot])], ["lang", "slot", "k"])
 
-    index = F.create_map(*(x for i, lang in enumerate(languages) for x in (F.lit(lang), F.lit(i))))
-    rows = labelled.where(F.col(label_col).isin(*languages)).select(F.col(text_col).alias("text"), index[F.col(label_col)].alias("label"))
+    rows = labelled.select(F.col(text_col).alias("text"), _index(F.col(label_col), languages).alias("label")).where("label >= 0")
     out = np.zeros((len(languages), SLOTS), np.int64)
     got = rows.mapInArrow(run, "lang long, slot long, k long").groupBy("lang", "slot").agg(F.sum("k").alias("k")).toPandas()
     out[got["lang"].to_numpy(np.int64), got["slot"].to_numpy(np.int64)] = got["k"].to_numpy(np.int64)
     return out
 
 
+def _probabilities(counts: np.ndarray) -> np.ndarray:
+    return (counts + 0.05) / (counts.sum(axis=1, keepdims=True) + 0.05 * SLOTS)
+
+
 def _log_likelihoods(counts: np.ndarray) -> np.ndarray:
     """Log probabilities by language and slot, the last row for an unknown language."""
-    p = (counts + 0.05) / (counts.sum(axis=1, keepdims=True) + 0.05 * SLOTS)
+    p = _probabilities(counts)
     return np.log(np.vstack([p, 0.5 * p.mean(axis=0) + 0.5 / SLOTS])).astype(np.float32)
 
 
-def _score(table: np.ndarray, passed: list[str]):
+def _score(counts: np.ndarray, passed: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table, p, total_of = _log_likelihoods(counts), _probabilities(counts), counts.sum(axis=1)
+        mean = p.mean(axis=0)
         for batch in batches:
+            label = batch.column("own").to_numpy(zero_copy_only=False)
             for c in X.chunks(batch.column("text")):
                 place, slot = _trigrams(c)
                 at = np.searchsorted(place, c.offsets)
@@ -90,6 +102,17 @@ def _score(table: np.ndarray, passed: list[str]):
                     np.cumsum(row[slot], out=total[1:], dtype=np.float64)
                     sums.append(total[at[1:]] - total[at[:-1]])
                 evidence = np.stack(sums, axis=1)
+                own, size = label[c.first : c.first + c.n], np.diff(at)
+                if (learned := np.flatnonzero((own >= 0) & (size > 0))).size:
+                    # the language that learned from the text is asked without the text's own counts
+                    text = np.repeat(np.arange(c.n), size)
+                    key, k = np.unique((text * SLOTS + slot)[(own >= 0)[text]], return_counts=True)
+                    text, slot = np.divmod(key, SLOTS)
+                    lang = own[text]
+                    q = (counts[lang, slot] - k + 0.05) / (total_of[lang] - size[text] + 0.05 * SLOTS)
+                    unknown = 0.5 * (mean[slot] + (q - p[lang, slot]) / len(counts)) + 0.5 / SLOTS
+                    evidence[learned, own[learned]] = np.bincount(text, k * np.log(q), c.n)[learned]
+                    evidence[learned, -1] = np.bincount(text, k * np.log(unknown), c.n)[learned]
                 letters = np.concatenate([[0], np.cumsum(~X.SPACE[c.data])])
                 solid = letters[c.offsets[1:]] - letters[c.offsets[:-1]]
                 lists = X.list_column(evidence.ravel(), np.arange(c.n + 1) * len(table))
@@ -106,6 +129,7 @@ def identify(
     declared: Column | None = None,
     suffix: Column | None = None,
     levels: Sequence[Column] = (),
+    learned_as: Column | None = None,
     languages: Sequence[str] = LANGUAGES,
     declared_right: float = 0.95,
     temper: float = 0.3,
@@ -114,17 +138,18 @@ def identify(
 ) -> DataFrame:
     """(id, lang, posterior, declared_lang, kept) of every row; lang is null without words, `und` for none of the languages.
 
-    levels are host columns from broad to narrow; kept: a known language with least_posterior or more.
+    levels are host columns from broad to narrow; learned_as is the label under which counts hold the row's own text;
+    kept: a known language with least_posterior or more.
     """
     names = [*languages, UNKNOWN]
     n = len(languages)
     none = F.lit(None).cast("string")
     level_names = [f"level{i}" for i in range(len(levels))]
-    source = rows.select(F.col(id_col).alias("id"), text.alias("text"), (none if declared is None else F.lower(F.trim(declared))).alias("declared"), (none if suffix is None else F.lower(suffix)).alias("suffix"), *(x.alias(k) for x, k in zip(levels, level_names, strict=True)))
+    source = rows.select(F.col(id_col).alias("id"), text.alias("text"), (none if declared is None else F.lower(F.trim(declared))).alias("declared"), (none if suffix is None else F.lower(suffix)).alias("suffix"), (F.lit(-1) if learned_as is None else _index(learned_as, languages)).alias("own"), *(x.alias(k) for x, k in zip(levels, level_names, strict=True)))
     passed = ["id", "declared", "suffix", *level_names]
     kinds = dict(source.dtypes)
     schema = ", ".join([*(f"{x} {kinds[x]}" for x in passed), "text_evidence array<double>, has_words boolean"])
-    table = source.sparkSession.sparkContext.broadcast(_log_likelihoods(counts))
+    table = source.sparkSession.sparkContext.broadcast(counts)
     scored = source.mapInArrow(lambda it: _score(table.value, passed)(it), schema)
     scored = scored.withColumn("text_evidence", F.transform("text_evidence", lambda x: x * temper))
     known = F.slice("text_evidence", 1, n)
@@ -164,9 +189,10 @@ def identify(
 
 
 def identify_documents(docs: DataFrame, labelled: DataFrame | None = None, **options) -> DataFrame:
-    """documents rows: lang is the declared language, source the host; learned from `labelled` (or docs) by its lang."""
+    """documents rows: lang is the declared language, source the host; learned from `labelled` by its lang, or from the other rows of docs."""
+    own = F.col("lang") if labelled is None or labelled is docs else None
     labelled = docs if labelled is None else labelled
-    return identify(docs, trigram_counts(labelled, "text", "lang"), "doc_id", F.col("text"), declared=F.col("lang"), levels=[F.col("source")], **options)
+    return identify(docs, trigram_counts(labelled, "text", "lang"), "doc_id", F.col("text"), declared=F.col("lang"), levels=[F.col("source")], learned_as=own, **options)
 
 
 def identify_pages(pages: DataFrame, labelled: DataFrame, **options) -> DataFrame:

@@ -32,12 +32,12 @@ def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_texts(read_table(spark, sf_dir, "documents"))
 
 
-def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents: text, declared language and source fused."""
+def documents_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents, which have neither markup nor address: text, declared language and source fused, as in the pipeline."""
     return identify_documents(read_table(spark, sf_dir, "documents"))
 
 
-def pages_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pages: text, markup language, address suffix and host fused; trigrams learned from documents."""
     return identify_pages(read_table(spark, sf_dir, "pages"), read_table(spark, sf_dir, "documents"))
 
@@ -89,7 +89,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_lm_scoring": op1_lm_scoring,
         "op2_language_id": op2_language_id,
-        "pages_language_id": pages_language_id,
+        "documents_language_id": documents_language_id,
         "op3_chat_formatting": op3_chat_formatting,
         "op4_quality_rules": op4_quality_rules,
         "op5_html_extraction": op5_html_extraction,

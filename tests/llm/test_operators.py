@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tallyspark.llm.chat import rendered
 from tallyspark.llm.context_mixing import score_texts
@@ -15,6 +16,7 @@ from tallyspark.llm.decontaminate import contaminated, smith_waterman
 from tallyspark.llm.html_extract import blocks, extract_main_text
 from tallyspark.llm.jaccard_join import jaccard_components
 from tallyspark.llm.language_id import identify_documents
+from tallyspark.llm.queries import queries
 from tallyspark.llm.packing import packed, plan
 from tallyspark.llm.suffix_dedup import intervals, removal_digest
 from tallyspark.llm.token_counts import attribute, section_tokens
@@ -193,6 +195,89 @@ def test_language(spark):
     assert got[501]["lang"] is None and not got[501]["kept"] and not got[502]["kept"] and not got[503]["kept"]
 
 
+LANGUAGES = ["de", "en", "es", "fr"]
+
+
+def fused(rows, labelled, own=False):
+    """(language, posterior) of each (text, declared, suffix, levels), by plain loops; own: the rows are the labelled texts."""
+    from collections import Counter
+
+    def slots(text):
+        b = fold(text).encode()
+        return [((b[i] << 16 | b[i + 1] << 8 | b[i + 2]) * 0x9E3779B1 % 2**32) >> 16 for i in range(len(b) - 2)]
+
+    counts = {x: Counter(s for text, lang in labelled if lang == x for s in slots(text)) for x in LANGUAGES}
+    evidence, guess = [], []
+    for i, (text, *_) in enumerate(rows):
+        less = {x: Counter(slots(text)) if own and labelled[i][1] == x else Counter() for x in LANGUAGES}
+        totals = {x: counts[x].total() - less[x].total() + 0.05 * 65536 for x in LANGUAGES}
+        sums = np.zeros(5)
+        for s in slots(text):
+            p = [(counts[x][s] - less[x][s] + 0.05) / totals[x] for x in LANGUAGES]
+            sums += np.log([*p, sum(p) / 8 + 0.5 / 65536])
+        evidence.append(0.3 * sums)
+        guess.append(int(np.argmax(sums[:4])) if (text or "").strip() else None)
+    overall = [guess.count(k) for k in range(4)]
+    out = []
+    for i, (text, declared, suffix, levels) in enumerate(rows):
+        if guess[i] is None:
+            out.append((None, None))
+            continue
+        base = prior = np.array([(n + 1) / (sum(overall) + 4) for n in overall])
+        for level, value in enumerate(levels):
+            n = np.array([sum(guess[j] == k for j, r in enumerate(rows) if j != i and value is not None and r[3][level] == value) for k in range(4)])
+            prior = (n + 20 * prior) / (n.sum() + 20)
+        logs = np.append(np.log(prior), np.log(1e-3))
+        if suffix != "unused":
+            n = np.array([sum(guess[j] == k for j, r in enumerate(rows) if suffix is not None and r[2] == suffix) for k in range(4)])
+            logs[:4] += np.log((n + 20 * base) / (np.array(overall) + 20) / base)
+        if declared in LANGUAGES:
+            logs += np.log([*(0.95 if x == declared else 0.05 / 3 for x in LANGUAGES), 0.25])
+        logs += evidence[i]
+        p = np.exp(logs - logs.max())
+        out.append(([*LANGUAGES, "und"][int(np.argmax(p))], p.max() / p.sum()))
+    return out
+
+
+def test_language_of_whole_pages(spark, tmp_path):
+    rng = random.Random(14)
+    words = {"de": "der und nicht auch schule zwischen über", "en": "the and not also school between over", "es": "el y no también escuela entre sobre señor", "fr": "le et pas aussi école entre dessus être"}
+    documents = [(i, " ".join(rng.choices(words[k].split(), k=20)), k) for i, k in enumerate(LANGUAGES * 5)]
+    cases = [(rng.choice(LANGUAGES), rng.randint(1, 12), rng.choice([None, "xx", *LANGUAGES]), rng.choice(["blog.big.de", "blog.big.de", "www.big.de", "one.es", "two.fr", "a.b.com", f"h{i}.rare{i % 9}", None])) for i in range(150)]
+    # declared wrongly: the text outweighs it, and where the text says nothing a hot host and its suffix do
+    cases += [("de", 30, "fr", "two.fr")] + [("de", 12, None, "blog.big.de")] * 80 + [("none", 1, None, "blog.big.de"), ("none", 1, None, None)]
+    pages, rows = [], []
+    for i, (k, n, declared, host) in enumerate(cases):
+        text = " ".join(rng.choices(words[k].split(), k=n)) if k in words else "7"
+        pages.append((i, f"https://{host}/p/{i}" if host else None, f"<html{f' lang="{declared}-X"' if declared else ''}><script>the and not</script><p class=x>{text}</p></html>"))
+        label = host.split(".") if host else None
+        # each tag is a space
+        rows.append((f"   {text}  ", declared, label[-1] if host else None, (".".join(label[-2:]), host) if host else (None, None)))
+    pages.append((900, "https://one.es/", None))
+    rows.append(("", None, "es", ("one.es", "one.es")))
+    spark.createDataFrame(documents, "doc_id long, text string, lang string").withColumn("source", F.lit("s")).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r["page_id"]: (r["lang"], r["posterior"]) for r in queries()["op2_language_id"](spark, str(tmp_path)).collect()}
+    want = fused(rows, [x[1:] for x in documents])
+    assert len(got) == len(pages)
+    for (i, *_), (lang, posterior) in zip(pages, want, strict=True):
+        assert got[i] == (lang, posterior and pytest.approx(posterior, rel=1e-3)), (i, rows[i] if i < 900 else None)
+    assert got[150][0] == "de" and got[231][0] == "de" and got[231][1] > got[232][1]
+
+
+def test_language_without_a_rows_own_counts(spark):
+    rng = random.Random(15)
+    words = {"de": "der und nicht auch schule zwischen über", "en": "the and not also school between over", "es": "el y no también escuela entre sobre señor", "fr": "le et pas aussi école entre dessus être"}
+    docs = [(i, " ".join(rng.choices(words[k].split(), k=rng.randint(2, 15))), k, f"s{i % 3}") for i, k in enumerate(LANGUAGES * 8)]
+    docs += [(100, "żółw wąż mrówka ćma chrząszcz " * 4, "de", "s0"), (101, "", "en", "s1"), (102, docs[0][1], "fr", None), (103, docs[1][1], "xx", "s2")]
+    got = {r["doc_id"]: (r["lang"], r["posterior"]) for r in identify_documents(spark.createDataFrame(docs, "doc_id long, text string, lang string, source string")).collect()}
+    want = fused([(text, lang, "unused", (source,)) for _, text, lang, source in docs], [x[1:3] for x in docs], own=True)
+    for (i, *_), (lang, posterior) in zip(docs, want, strict=True):
+        assert got[i] == (lang, posterior and pytest.approx(posterior, rel=1e-3))
+    kept_in = fused([(text, lang, "unused", (source,)) for _, text, lang, source in docs], [x[1:3] for x in docs])
+    assert got[100][1] < 0.999 * kept_in[32][1]
+
+
 def test_chat(spark):
     turns = [(1, 0, "user", "hi"), (1, 1, "assistant", "yes"), (2, 0, "user", "hi"), (2, 1, "assistant", "yes"), (2, 2, "user", "more"), (3, 0, "user", "hi"), (3, 1, "assistant", "yes"), (3, 2, "user", "more"), (4, 0, "user", "yes"), (4, 0, "user", "yes"), (5, None, None, None), (None, 0, "user", "x")]
     frame = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
