@@ -1,12 +1,11 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
 Every n-gram of a test item is a seed. Training texts are scanned once for
-seeds (a bitmap of fixed size goes to the tasks, the exact join follows), and
-seeds are ranked by the number of texts they are in. An item's common seeds,
-those in far more texts than its rarest found one, don't start an alignment by
-themselves: `rare_factor` times the rarest and `rare_floor` texts is the limit.
-It follows the item's own rarest seed, so an item copied into many texts keeps
-its seeds. Two seeds near one diagonal start an alignment whatever their rank.
+seeds (a bitmap of fixed size goes to the tasks, the exact join follows). Each
+seed of a text starts an alignment, however many texts it is in, so what is
+found in a text doesn't depend on the others; seeds near one diagonal start one
+together. Only a passage that holds too few of the item's words for any
+alignment to reach `min_score` is not aligned.
 
 Around each seed the passage is aligned with the item, word by word, with
 scores `MATCH`, `MISMATCH` and `GAP`; the score over the best possible one must
@@ -121,27 +120,24 @@ def smith_waterman(items: list[np.ndarray], passages: list[np.ndarray]) -> tuple
 
 
 def _align(min_score: float):
-    """Candidates with both word lists: those whose alignment reaches min_score."""
+    """Candidates with the words of item and passage: those whose alignment reaches min_score."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             f = f.reset_index(drop=True)
-            items, passages, start = [], [], []
-            for low, high, item, words in zip(f["low"], f["high"], f["item_words"], f["words"], strict=True):
-                slack = len(item) // 2 + 4
-                s = max(0, low - slack)
-                items.append(item)
-                passages.append(words[s : high + len(item) + slack])
-                start.append(s)
+            items, passages, start = f["item_words"].tolist(), f["passage"].tolist(), f["start"].to_numpy()
             score, end = np.zeros(len(f)), np.zeros(len(f), np.int64)
+            # a word of the item that the passage lacks can't match
+            may = np.array([np.isin(x, y).sum() / len(x) >= min_score for x, y in zip(items, passages, strict=True)], bool)
             order = np.argsort([max(len(x), len(y)) for x, y in zip(items, passages, strict=True)], kind="stable")
+            order = order[may[order]]
             i = 0
             while i < len(order):
                 widest = len(passages[order[min(i + LANES, len(order)) - 1]])
                 lanes = order[i : i + max(1, min(LANES, CELLS // max(widest, 1)))]
                 best, at = smith_waterman([items[k] for k in lanes], [passages[k] for k in lanes])
                 score[lanes] = best / [MATCH * len(items[k]) for k in lanes]
-                end[lanes] = at + [start[k] for k in lanes]
+                end[lanes] = at + start[lanes]
                 i += len(lanes)
             ok = score >= min_score
             yield pd.DataFrame({"id": f["id"][ok], "item": f["item"][ok], "score": score[ok], "end": end[ok]})
@@ -150,7 +146,7 @@ def _align(min_score: float):
 
 
 def contaminated(
-    docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", ngram: int = 3, min_score: float = 0.4, rare_factor: float = 10.0, rare_floor: int = 20
+    docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", ngram: int = 3, min_score: float = 0.4
 ) -> DataFrame:
     """(id, item id, score, end_word) for each text and item with an alignment of min_score or more.
 
@@ -167,19 +163,18 @@ def contaminated(
     hits = docs.mapInArrow(lambda it: _hits(tuple(sizes), bitmap.value)(it), "id long, place long, seed long")
     found = checkpointed(hits.join(seeds, "seed").select("id", "item", "seed", "m", (F.col("place") - F.col("at")).alias("diagonal")))
 
-    spread = found.select("id", "item", "seed").distinct().groupBy("item", "seed").agg(F.count("*").alias("texts"))
-    rarest = spread.groupBy("item").agg(F.min("texts").alias("fewest"))
-    ranked = spread.join(rarest, "item").select("item", "seed", (F.col("texts") <= F.greatest(F.lit(rare_factor) * F.col("fewest"), F.lit(float(rare_floor)))).alias("rare"))
     # a band of diagonals as wide as half an item; its neighbour overlaps it, so near seeds meet in one of the two
     width = F.greatest(F.col("m") / 2, F.lit(4.0))
     band = F.floor(F.col("diagonal") / width)
-    bands = found.join(ranked, ["item", "seed"]).withColumn("band", F.explode(F.array(band, band + 1)))
-    runs = bands.groupBy("id", "item", "band").agg(F.count_distinct("seed").alias("n_seeds"), F.max(F.col("rare").cast("int")).alias("rare"), F.min("diagonal").alias("low"), F.max("diagonal").alias("high"))
-    runs = checkpointed(runs.where("rare = 1 or n_seeds > 1").groupBy("id", "item", "low", "high").agg(F.max("n_seeds").alias("n_seeds")))
+    bands = found.withColumn("band", F.explode(F.array(band, band + 1)))
+    runs = checkpointed(bands.groupBy("id", "item", "band").agg(F.min("diagonal").alias("low"), F.max("diagonal").alias("high")).select("id", "item", "low", "high").distinct())
     wanted = spark.sparkContext.broadcast(wanted_ids(runs.select("id").distinct()))
     texts = docs.select("id", "text", id_slot("id").alias("slot")).mapInArrow(lambda it: _texts(wanted.value)(it), "id long, words array<long>")
     texts = texts.dropDuplicates(["id"])
     both = runs.join(test.select(F.col("id").alias("item"), F.col("words").alias("item_words")).dropDuplicates(["item"]), "item").join(texts, "id")
-    good = both.select("id", "item", "low", "high", "item_words", "words").mapInPandas(_align(min_score), "id long, item long, score double, end long")
+    slack = F.floor(F.size("item_words") / 2) + 4
+    both = both.withColumn("start", F.greatest(F.lit(0), F.col("low") - slack).cast("int")).withColumn("stop", (F.col("high") + F.size("item_words") + slack).cast("int"))
+    both = both.withColumn("passage", F.slice("words", F.col("start") + 1, F.col("stop") - F.col("start")))
+    good = both.select("id", "item", "start", "item_words", "passage").mapInPandas(_align(min_score), "id long, item long, score double, end long")
     best = good.groupBy("id", "item").agg(F.max(F.struct("score", F.col("end").alias("end_word"))).alias("x"))
     return best.select(F.col("id").alias(id_col), F.col("item").alias(item_id_col), "x.score", "x.end_word")

@@ -143,6 +143,18 @@ def test_decontamination(spark, docs):
     assert set(got) == {(1000, 1), (1001, 1)} and got[1000, 1] == 1 and got[1001, 1] < 1
 
 
+def test_decontamination_does_not_depend_on_other_texts(spark):
+    words = [f"w{i}" for i in range(15)]
+    edited = [x if i not in (3, 6, 9, 12) else f"other{i}" for i, x in enumerate(words)]
+    items = spark.createDataFrame([(1, " ".join(words))], "item_id long, text string")
+    for n in (30, 3000):
+        # the edited copy's one seed is in all texts but one, another seed of the item in one
+        texts = [(i, f"start{i} {' '.join(words[:3])} end{i}") for i in range(n)]
+        texts += [(n, "a b " + " ".join(words[7:10])), (n + 1, f"so {' '.join(edited)} there")]
+        got = [tuple(r) for r in contaminated(spark.createDataFrame(texts, "doc_id long, text string"), items).collect()]
+        assert got == [(n + 1, 1, 0.6, 16)], n
+
+
 def test_smith_waterman_matches_plain_recurrence():
     rng = np.random.default_rng(0)
     a, b = [rng.integers(5, 9, n) for n in (6, 3, 12)], [rng.integers(5, 9, n) for n in (20, 4, 9)]
