@@ -51,8 +51,6 @@ _SYMBOL[97:123] = np.arange(26)
 _SYMBOL[[0x2E, 0x2C, 0x2D, 0xC3]] = [27, 28, 29, 30]
 _SYMBOL = _SYMBOL.tobytes()
 _NODE = np.random.Generator(np.random.PCG64(77)).integers(0, 2**63, 1 << BITS, np.uint64)
-#: Beginnings deeper than this many symbols are taken as new.
-DEEPEST = 64
 
 
 def symbols(word: bytes) -> bytes:
@@ -123,17 +121,13 @@ class _Decisions:
         self.slots = [((X.mix(c)[:, None] ^ node) & np.uint64(SLOTS - 1)).astype(np.int32) for c in (*(contexts[k] for k in ORDERS), begin)]
         # a deeper beginning is told by the first place that has it: words are sorted, so the words that share it are neighbours
         first = np.arange(len(flat))
-        at, shared = np.arange(len(words)), np.arange(len(words)) > 0
-        for depth in range(1, min(int(size.max(initial=1)), DEEPEST)):
-            at = at[size[at] > depth]
-            here = start[at] + depth
-            near = at > 0
-            # the word before shares `depth` symbols if it shared one less and this one
-            shared[at] &= near & (size[at - 1] > depth - 1) & (flat[start[at] + depth - 1] == flat[np.minimum(start[at - 1] + depth - 1, len(flat) - 1)])
-            # a word that ended takes no part, but those around it don't share with each other unless through it
-            new = ~(shared[at] & (size[at - 1] > depth) & (np.concatenate([[-2], at[:-1]]) == at - 1))
-            head = np.maximum.accumulate(np.where(new, np.arange(len(at)), 0))
-            first[here] = here[head] if len(at) else here
+        # symbols each word shares with the word before; its closing place never counts as shared
+        before = np.where(self.word > 0, start[self.word - 1] + place, 0)
+        differs = (flat != flat[before]) | (place == size[self.word] - 1)
+        shared = np.minimum.reduceat(np.where(differs, place, len(flat)), start) if len(words) else size
+        for i in np.flatnonzero((shared > 3) & (np.arange(len(words)) > 0)).tolist():
+            here, last, n = start[i], start[i - 1], shared[i] + 1
+            first[here : here + n] = first[last : last + n]
         self.beginning = first[self.long][:, None] * (1 << BITS) + step[self.long]
 
     def add_to(self, tables: np.ndarray) -> None:

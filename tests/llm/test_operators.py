@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyspark.llm.chat import rendered
-from tallyspark.llm.context_mixing import score_texts
+from tallyspark.llm.context_mixing import _Decisions, score_texts
 from tallyspark.llm.decision_list import quality_rules
 from tallyspark.llm.decontaminate import contaminated, smith_waterman
 from tallyspark.llm.html_extract import blocks, extract_main_text
@@ -183,6 +183,23 @@ def test_scores(docs, rows):
     assert sum(got[i]["score"] for i in held if held[i]) > 1.1 * sum(got[i]["base_score"] for i in held if held[i])
 
 
+def test_scores_of_long_words_sum_to_at_most_one(spark):
+    # 70 and 72 equal symbols (a digit is three), then different ends
+    words = [x + end for x, ends in (("a" * 70, "bcdefghi"), ("1" * 24, "23456789")) for end in ends]
+    docs = [(i, words[i % 16]) for i in range(320)]
+    scores = {docs[r["doc_id"]][1]: r["score"] for r in score_texts(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert len(scores) == 16 and sum(10**x for x in scores.values()) <= 1
+
+
+def test_beginnings_are_shared_at_every_depth():
+    rng = random.Random(3)
+    words = sorted({b"", *(bytes(rng.choices([1, 2], k=3)) * 30 + bytes(rng.choices([1, 2], k=rng.randint(0, 6))) for _ in range(60)), *(bytes(rng.choices([1, 2, 31], k=rng.randint(1, 8))) for _ in range(60))})
+    d = _Decisions(words, np.ones(len(words), np.int64))
+    places = [w[:k] for w in words for k in range(len(w) + 1)]
+    assert [places[i] for i in d.beginning[:, 0] // 32] == [x for x in places if len(x) > 3]
+    assert len(set((d.beginning[:, 0] // 32).tolist())) == len({x for x in places if len(x) > 3})
+
+
 def test_quality_rules(spark):
     rng = random.Random(2)
     texts = [(i, prose(rng, 80) if i % 3 else " ".join(f"{w}###" for w in prose(rng, 80).split())) for i in range(240)]
