@@ -2,24 +2,37 @@
 
 A text is a sequence of words and one end; a word is coded as symbols and a
 closing one, a symbol as five binary decisions (letters and the commonest marks
-are a symbol each, any other byte is three). Four hashed-context predictors
-give each decision a probability: the last two, three and five symbols of the
-word, and its whole beginning. A mixer adds their log odds with weights from a
-set gated by how much the contexts were seen, and weights are refined online,
-by the error of each decision in turn. A match predictor over the words of the
-text itself then adapts to the text: after three words seen before in it, the
-word that came next is expected with the share of such guesses that were right
-so far. The probabilities of all texts sum to one.
-
-At scale: decisions inside a word depend on the word alone, so they are made
-once for each distinct word (a table that grows with the corpus, spread by the
-words' beginnings), and texts are joined with it block by block: a block's own
-dictionary, a few megabytes, meets the block's texts. Context counts of two to
-five symbols have a fixed number of slots; counts of beginnings are exact.
-Mixers are trained where the words lie and averaged by what they saw.
-
-Null and empty texts are one end. Null ids are held out: never learned from.
-Repeated rows count and are scored each. Words are told by 64-bit hashes.
+are a symbol each, any other byte is three). Six predictors give each decision
+log odds: hashed contexts of the last two, three and five symbols, and the
+word's whole beginning counted by distinct words, by all words and by the words
+of one topic. A mixer adds them with weights from a set gated by how much the
+contexts were seen; weights are refined online, by the error of each decision
+in turn, every occurrence predicted as if it were not counted.
+
+Words of context come in twice while a text is scored. The topics' word models
+are weighted by how well each told the text's words so far. Then the token that
+last followed the same three, two or one words in the text is expected: a second
+mixer joins the topic mixture's odds for it with its context's hit rate so far
+in the text; its weights start the same for each text and are refined after
+every few tokens. Probabilities of all texts sum to one.
+
+Topics: a text's three commonest words put it in a bucket; buckets are clustered
+by their hashed word histograms, then texts dealt to topics by theirs, twice.
+All these tables are of fixed size and counted over all texts to learn from.
+
+At scale: decisions inside a word depend on the word and topic alone, so they
+are made once for each distinct word (a table that grows with the corpus, in
+pieces of whole beginnings: words that share their first four symbols, or the
+first twelve where a byte without symbol is among them), and texts are joined
+with it block by block: a block's own dictionary meets the block's texts. Hashed
+contexts have a number of slots that follows the distinct words up to MOST_SLOTS;
+longer beginnings are counted exactly. Mixers are trained where the words lie
+and averaged by what they saw. The words of one first-four-symbols group are in
+one task; beyond it a group of millions would need longer beginnings.
+
+Null and empty texts are one end; very long ones are scored in whole. Null ids
+are held out: never learned from. Repeated rows count and are scored each. No
+rows give no rows. Words are told by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -28,21 +41,27 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.broadcast import Broadcast
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 from . import textops as X
 from .spark_util import written
 
-#: Slots of each table of hashed contexts; TABLES: 2, 3, 5 symbols, and beginnings of up to 3 symbols.
-SLOTS, TABLES = 1 << 18, 4
+#: Least and most slots of a table of hashed contexts (powers of two); the second bounds what is broadcast.
+LEAST_SLOTS, MOST_SLOTS = 1 << 14, 1 << 18
 ORDERS = (2, 3, 5)
-#: Sets of mixer weights: by how often the beginning was seen, then the five symbols.
-LEVELS = 16
-GATES = LEVELS * 4
+#: Topics; buckets of texts and slots of a bucket's histogram; slots of a topic's histogram, passes that refine it.
+TOPICS, BUCKETS, NARROW, WIDE, PASSES = 6, 1024, 256, 4096, 2
+#: Mixer: predictors, and weight sets by how often the topic saw the beginning, how often five symbols were seen, whether one bit only followed.
+INPUTS = len(ORDERS) + 3
+LEVELS = 12
+GATES = LEVELS * 4 * 2
+#: Step of the mixer's training, words of a step, most occurrences of a word in one of them.
+STEP, STEP_WORDS, STEP_COUNT = 0.05, 256, 32
 #: Words looked at together, rows of a block.
-PIECE, BLOCK_ROWS = 8192, 8192
+PIECE, BLOCK_ROWS = 4096, 8192
 END = np.uint64(0x5851F42D4C957F2D)
 #: Symbols: letters 0 to 25, then the closing one, three marks and the first byte of most accented letters; ESCAPE comes before a byte's two halves.
 CLOSE, ESCAPE, BITS = 26, 31, 5
@@ -51,234 +70,491 @@ _SYMBOL[97:123] = np.arange(26)
 _SYMBOL[[0x2E, 0x2C, 0x2D, 0xC3]] = [27, 28, 29, 30]
 _SYMBOL = _SYMBOL.tobytes()
 _NODE = np.random.Generator(np.random.PCG64(77)).integers(0, 2**63, 1 << BITS, np.uint64)
+#: Beginnings of fewer symbols are in the table, others counted in their piece; the second where a byte without symbol is among the first.
+SHORT, SHORT_ESCAPED = 4, 12
 
 
 def symbols(word: bytes) -> bytes:
-    """A word's symbols, without the closing one."""
+    """A word's symbols, with the closing one."""
     out = word.translate(_SYMBOL)
     if ESCAPE in out:
-        return b"".join(bytes([x]) if x != ESCAPE else bytes([ESCAPE, y >> 4, y & 15]) for x, y in zip(out, word, strict=True))
-    return out
+        out = b"".join(bytes([x]) if x != ESCAPE else bytes([ESCAPE, y >> 4, y & 15]) for x, y in zip(out, word, strict=True))
+    return out + bytes([CLOSE])
 
 
 def first_weights() -> np.ndarray:
     """Where mixers start: the more a beginning was seen, the more it says."""
-    own = np.arange(LEVELS) / (np.arange(LEVELS) + 1.0)
-    own = np.repeat(own, 4)[:, None]
-    return np.hstack([(1 - own) * 0.15, (1 - own) * 0.3, (1 - own) * 0.55, own, np.zeros_like(own)]).astype(np.float32)
+    seen = np.repeat(np.arange(LEVELS) / (np.arange(LEVELS) + 1.0), 8)[:, None]
+    rest = 1 - seen
+    return np.hstack([rest * 0.1, rest * 0.25, rest * 0.35, rest * 0.3, seen * 0.4, seen * 0.6, np.zeros_like(seen)]).astype(np.float32)
+
+
+def _bucket(w: X.Words, n_texts: int) -> np.ndarray:
+    """A bucket for each text, by its three commonest words (the smallest hashes on a tie)."""
+    key = np.zeros(n_texts, np.uint64)
+    if len(w.hash):
+        order = np.lexsort((w.hash, w.text))
+        t, h = w.text[order], w.hash[order]
+        at = np.flatnonzero(np.concatenate([[True], (t[1:] != t[:-1]) | (h[1:] != h[:-1])]))
+        k = np.diff(np.append(at, len(t)))
+        t, h = t[at], h[at]
+        best = np.lexsort((h, -k, t))
+        t, h = t[best], h[best]
+        rank = np.arange(len(t)) - np.searchsorted(t, t)
+        np.add.at(key, t[rank < 3], X.mix(h[rank < 3]))
+    return (key >> np.uint64(20)).astype(np.int64) % BUCKETS
+
+
+def _slot(h: np.ndarray, slots: int) -> np.ndarray:
+    return (h >> np.uint64(32)).astype(np.int64) % slots
+
+
+def _topic(w: X.Words, n_texts: int, centres: np.ndarray) -> np.ndarray:
+    """The topic of each text whose histogram (log probabilities) tells its words best."""
+    log = centres[:, _slot(w.hash, centres.shape[1])]
+    total = np.zeros((len(centres), len(w.hash) + 1))
+    np.cumsum(log, axis=1, out=total[:, 1:])
+    return (total[:, w.word_offsets[1:]] - total[:, w.word_offsets[:-1]]).argmax(axis=0)
+
+
+def _histograms(centres: np.ndarray | None):
+    """Word histograms of the buckets of a task's texts, or of their topics and after them the topics' texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        slots, kinds = (NARROW, BUCKETS) if centres is None else (WIDE, TOPICS)
+        total = np.zeros(kinds * (slots + 1), np.int64)
+        for batch in batches:
+            for c in X.chunks(batch.column("text")):
+                w = X.words(c)
+                kind = _bucket(w, c.n) if centres is None else _topic(w, c.n, centres)
+                total += np.bincount(np.append(kind[w.text] * slots + _slot(w.hash, slots), kinds * slots + kind), minlength=len(total))
+        slot = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(total[slot])], ["slot", "n"])
+
+    return run
+
+
+def _logs(histograms: np.ndarray) -> np.ndarray:
+    rows = histograms + 0.5
+    return np.log(rows / rows.sum(axis=1, keepdims=True))
+
+
+def clustered(histograms: np.ndarray, topics: int = TOPICS) -> np.ndarray:
+    """Log probabilities of topics by slot: k-means of multinomials, the farthest heavy buckets as first centres."""
+    x = histograms[histograms.sum(axis=1) > 0].astype(float)
+    rows = np.zeros((topics, histograms.shape[1]))
+    if len(x):
+        p = np.sqrt(x / x.sum(axis=1, keepdims=True))
+        weight = x.sum(axis=1)
+        centres = [int(weight.argmax())]
+        while len(centres) < min(topics, len(x)):
+            far = np.min([1 - p @ p[c] for c in centres], axis=0)
+            centres.append(int((far * weight).argmax()))
+        rows[: len(centres)] = x[centres]
+        for _ in range(20):
+            label = (x @ _logs(rows).T).argmax(axis=1)
+            rows = np.stack([x[label == k].sum(axis=0) for k in range(topics)])
+    return _logs(rows)
+
+
+def _topics(texts: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(log probabilities by topic and slot, words and texts of each topic) of the column `text`; tables of fixed size."""
+
+    def gathered(centres: np.ndarray | None, kinds: int, slots: int) -> tuple[np.ndarray, np.ndarray]:
+        tally = np.zeros(kinds * (slots + 1), np.int64)
+        got = texts.mapInArrow(_histograms(centres), "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
+        tally[got["slot"].to_numpy(np.int64)] = got["n"].to_numpy(np.int64)
+        return tally[: kinds * slots].reshape(kinds, slots), tally[kinds * slots :]
+
+    centres = clustered(gathered(None, BUCKETS, NARROW)[0])
+    for _ in range(PASSES - 1):
+        centres = _logs(gathered(centres, TOPICS, WIDE)[0])
+    words, n = gathered(centres, TOPICS, WIDE)
+    return centres, words.sum(axis=1), n
+
+
+def _dictionary(centres: np.ndarray):
+    """(block, hash, word as symbols, topic, count in texts to learn from) of each batch's distinct words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            block = batch.column("block").to_numpy(zero_copy_only=False)
+            learn = batch.column("learn").to_numpy(zero_copy_only=False)
+            found: dict[int, list[tuple]] = {}
+            for c in X.chunks(batch.column("text")):
+                w = X.words(c)
+                data = X.LOWER[c.data]
+                here, topic = learn[c.first : c.first + c.n], _topic(w, c.n, centres)
+                own = block[c.first : c.first + c.n][w.text]
+                for b in np.unique(own):
+                    rows = np.flatnonzero(own == b)
+                    h, first, inverse = np.unique(w.hash[rows], return_index=True, return_inverse=True)
+                    weighted = here[w.text[rows]]
+                    kind, n = np.unique(inverse[weighted] * TOPICS + topic[w.text[rows][weighted]], return_counts=True)
+                    start, end = w.start[rows[first]], w.end[rows[first]]
+                    found.setdefault(int(b), []).append((h, data, start, end, h[kind // TOPICS], kind % TOPICS, n))
+            for b, parts in found.items():
+                h, first = np.unique(np.concatenate([x[0] for x in parts]), return_index=True)
+                text, at = np.empty(len(h), object), 0
+                for x in parts:
+                    place = np.flatnonzero((first >= at) & (first < at + len(x[0])))
+                    mine, raw = first[place] - at, x[1].tobytes()
+                    text[place] = [symbols(raw[i:j]) for i, j in zip(x[2][mine].tolist(), x[3][mine].tolist(), strict=True)]
+                    at += len(x[0])
+                key = np.searchsorted(h, np.concatenate([x[4] for x in parts])) * TOPICS + np.concatenate([x[5] for x in parts])
+                key, inverse = np.unique(key, return_inverse=True)
+                n = np.bincount(inverse, np.concatenate([x[6] for x in parts])).astype(np.int64) if len(key) else np.zeros(0, np.int64)
+                alone = np.setdiff1d(np.arange(len(h)), key // TOPICS)  # words of held-out texts only
+                row, topic, n = np.append(key // TOPICS, alone), np.append(key % TOPICS, np.zeros(len(alone), np.int64)), np.append(n, np.zeros(len(alone), np.int64))
+                words = pa.array(text, pa.binary()).take(pa.array(row))
+                for i in range(0, len(row), 65536):
+                    cut = slice(i, i + 65536)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(row[cut]), b)), pa.array(X.signed(h[row[cut]])), words[cut], pa.array(topic[cut].astype(np.int8)), pa.array(n[cut].astype(np.int32))], ["block", "hash", "word", "topic", "n"])
+
+    return run
+
+
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by head and word made pieces of whole heads: (hashes, words one after another, counts by word and topic)."""
+    rest: list[pa.RecordBatch] = []
+    held, enough = 0, PIECE
 
+    def piece(t: pa.Table) -> pa.RecordBatch:
+        h = t.column("hash").to_numpy()
+        new = np.concatenate([[True], h[1:] != h[:-1]])
+        word = np.cumsum(new) - 1
+        counts = np.bincount(word * TOPICS + t.column("topic").to_numpy(), t.column("n").to_numpy(), (word[-1] + 1) * TOPICS).astype(np.int64)
+        blob = b"".join(t.column("word").take(pa.array(np.flatnonzero(new))).to_pylist())
+        by_word = counts.reshape(-1, TOPICS).sum(axis=1)
+        return pa.RecordBatch.from_arrays([pa.array([h[new]]), pa.array([blob], pa.binary()), pa.array([counts]), pa.array([by_word.sum()]), pa.array([np.count_nonzero(by_word)])], ["hashes", "words", "counts", "n", "known"])
 
-def _dictionary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(block, hash, word as symbols, count in texts to learn from) of each batch's distinct words."""
     for batch in batches:
-        block = batch.column("block").to_numpy(zero_copy_only=False)
-        learn = batch.column("learn").to_numpy(zero_copy_only=False).astype(np.int64)
-        found: dict[int, list[tuple]] = {}
-        for c in X.chunks(batch.column("text")):
-            w = X.words(c)
-            data = X.LOWER[c.data]
-            own = block[c.first : c.first + c.n][w.text]
-            weight = learn[c.first : c.first + c.n][w.text]
-            for b in np.unique(own):
-                rows = np.flatnonzero(own == b)
-                h, first, inverse = np.unique(w.hash[rows], return_index=True, return_inverse=True)
-                found.setdefault(int(b), []).append((h, data, w.start[rows[first]], w.end[rows[first]], np.bincount(inverse, weight[rows])))
-        for b, parts in found.items():
-            h = np.concatenate([x[0] for x in parts])
-            h, first, inverse = np.unique(h, return_index=True, return_inverse=True)
-            count = np.bincount(inverse, np.concatenate([x[4] for x in parts])).astype(np.int64)
-            text, at = np.empty(len(h), object), 0
-            for x in parts:
-                here = np.flatnonzero((first >= at) & (first < at + len(x[0])))
-                mine, raw = first[here] - at, x[1].tobytes()
-                text[here] = [symbols(raw[i:j]) for i, j in zip(x[2][mine], x[3][mine], strict=True)]
-                at += len(x[0])
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), b)), pa.array(X.signed(h)), pa.array(text, pa.binary()), pa.array(count)], ["block", "hash", "word", "n"])
-
-
-class _Decisions:
-    """All binary decisions of some words (ascending symbol strings), as arrays of (symbols, BITS)."""
-
-    def __init__(self, words: list[bytes], counts: np.ndarray):
-        close = bytes([CLOSE])
-        flat = np.frombuffer(close.join([*words, b""]), np.uint8)
-        size = np.fromiter((len(x) + 1 for x in words), np.int64, len(words))
-        start = np.cumsum(size) - size
-        self.word = np.repeat(np.arange(len(words)), size)
-        place = np.arange(len(flat)) - start[self.word]
+        rest.append(batch)
+        held += len(batch)
+        if held < enough:
+            continue
+        t = pa.Table.from_batches(rest).combine_chunks()
+        head = t.column("head").to_numpy()
+        cut = int(np.argmax(head == head[-1]))
+        if cut:
+            yield piece(t[:cut])
+            t = t[cut:]
+        rest, held = t.to_batches(), len(t)
+        enough = max(PIECE, 2 * held)
+    if held:
+        yield piece(pa.Table.from_batches(rest).combine_chunks())
+
+
+_PIECES = "hashes array<long>, words binary, counts array<long>, n long, known long"
+
+
+class Decisions:
+    """All binary decisions of some words (symbol strings one after another, ascending), in rows of BITS for each symbol."""
+
+    def __init__(self, words: bytes, counts: np.ndarray):
+        flat = np.frombuffer(words, np.uint8)
+        stop = np.flatnonzero(flat == CLOSE) + 1
+        self.size = np.diff(stop, prepend=0)
+        self.start = stop - self.size
+        n = len(stop)
+        self.word = np.repeat(np.arange(n), self.size)
+        place = np.arange(len(flat)) - self.start[self.word]
         level = np.arange(BITS)
         self.bit = ((flat[:, None] >> (BITS - 1 - level)) & 1).astype(bool)
-        step = (1 << level) | (flat[:, None].astype(np.int64) >> (BITS - level))
-        node = _NODE[step]
-        self.weight = counts[self.word].astype(np.float32)
-        self.long = place > 3
+        node = _NODE[(1 << level) | (flat[:, None].astype(np.int64) >> (BITS - level))]
+        self.counts = counts.reshape(n, TOPICS)
         context, contexts = np.zeros(len(flat), np.uint64), {}
         for k in range(1, max(ORDERS) + 1):
             before = np.where(place >= k, np.concatenate([np.zeros(k, np.uint8), flat])[: len(flat)] + 1, 0).astype(np.uint64)
             context = context | before << np.uint64(6 * (k - 1))
             contexts[k] = context | np.uint64(k << 40)
-        begin = contexts[3] | np.minimum(place, 4).astype(np.uint64) << np.uint64(48)
-        self.slots = [((X.mix(c)[:, None] ^ node) & np.uint64(SLOTS - 1)).astype(np.int32) for c in (*(contexts[k] for k in ORDERS), begin)]
-        # a deeper beginning is told by the first place that has it: words are sorted, so the words that share it are neighbours
-        first = np.arange(len(flat))
-        # symbols each word shares with the word before; its closing place never counts as shared
-        before = np.where(self.word > 0, start[self.word - 1] + place, 0)
-        differs = (flat != flat[before]) | (place == size[self.word] - 1)
-        shared = np.minimum.reduceat(np.where(differs, place, len(flat)), start) if len(words) else size
-        for i in np.flatnonzero((shared > 3) & (np.arange(len(words)) > 0)).tolist():
-            here, last, n = start[i], start[i - 1], shared[i] + 1
-            first[here : here + n] = first[last : last + n]
-        self.beginning = first[self.long][:, None] * (1 << BITS) + step[self.long]
-
-    def add_to(self, tables: np.ndarray) -> None:
-        for i, slot in enumerate(self.slots):
-            keep = ~self.long if i == TABLES - 1 else slice(None)
-            s, b = slot[keep].ravel(), self.bit[keep].ravel()
-            w = np.repeat(self.weight[keep], BITS)
-            tables[i, 0] += np.bincount(s[~b], w[~b], SLOTS)
-            tables[i, 1] += np.bincount(s[b], w[b], SLOTS)
-
-    def inputs(self, tables: np.ndarray, leave_out: bool) -> tuple[list[np.ndarray], np.ndarray]:
-        """(log odds of each predictor, gates) of all decisions; leave_out: as if one of the word's occurrences were not counted."""
-        out, gate = [], None
-        one = np.minimum(self.weight, 1)[:, None] if leave_out else None
-        for i, slot in enumerate(self.slots):
-            n0, n1 = tables[i, 0][slot], tables[i, 1][slot]
-            if i == TABLES - 1 and len(self.beginning):
-                key, b = self.beginning.ravel(), self.bit[self.long].ravel()
-                w = np.repeat(self.weight[self.long], BITS)
-                kinds = int(key.max()) + 1
-                n0[self.long] = np.bincount(key[~b], w[~b], kinds).astype(np.float32)[self.beginning]
-                n1[self.long] = np.bincount(key[b], w[b], kinds).astype(np.float32)[self.beginning]
-            if leave_out:
-                n0, n1 = np.maximum(np.where(self.bit, n0, n0 - one), 0), np.maximum(np.where(self.bit, n1 - one, n1), 0)
-            small = np.float32(0.02 if i == TABLES - 1 else 0.1)
-            out.append(np.log((n1 + small) / (n0 + small)))
-            if i == TABLES - 2:
-                gate = np.minimum(np.log2(n0 + n1 + 1) / 3, 3).astype(np.int32)
-            elif i == TABLES - 1:
-                gate += 4 * np.minimum(np.log2(n0 + n1 + 1), LEVELS - 1).astype(np.int32)
-        return out, gate
-
-
-def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, list[bytes], np.ndarray]]:
-    """(hashes, words, counts) in pieces that never part words of one beginning; rows are sorted by it."""
-    rest: list[tuple] = []
-    for batch in batches:
-        rest += zip(batch.column("head").to_pylist(), batch.column("hash").to_pylist(), batch.column("word").to_pylist(), batch.column("n").to_pylist(), strict=True)
-        while len(rest) > PIECE:
-            cut = PIECE
-            while cut < len(rest) and rest[cut][0] == rest[cut - 1][0]:
-                cut += 1
-            if cut == len(rest):
-                break
-            yield _unzipped(rest[:cut])
-            rest = rest[cut:]
-    if rest:
-        yield _unzipped(rest)
-
-
-def _unzipped(rows: list[tuple]) -> tuple[np.ndarray, list[bytes], np.ndarray]:
-    _, h, words, n = zip(*sorted(rows, key=lambda x: x[2]), strict=True)
-    return np.array(h, np.int64), list(words), np.array(n, np.int64)
-
-
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    tables = np.zeros((TABLES, 2, SLOTS))
+        self.hashes = [X.mix(contexts[k])[:, None] ^ node for k in ORDERS]
+        # where a byte without symbol is among the first, longer beginnings are in the table too
+        first = np.minimum.reduceat(np.where(flat == ESCAPE, place, 1 << 40), self.start) if n else place
+        short = np.where(first < SHORT, SHORT_ESCAPED, SHORT)[self.word]
+        self.short = place < short
+        begin = np.full(len(flat), 7, np.uint64)
+        for k in range(1, SHORT_ESCAPED):
+            more = np.where(place >= k, np.concatenate([np.zeros(k, np.uint8), flat])[: len(flat)] + 1, 0).astype(np.uint64)
+            begin = X.mix(begin + more * X._K[k % 5])
+        self.begin = (X.mix(begin + place.astype(np.uint64)))[:, None] ^ node
+        self._count_long(flat, place)
+
+    def _count_long(self, flat: np.ndarray, place: np.ndarray) -> None:
+        """Zeros and ones after each longer beginning among these words: by distinct words, then by topic."""
+        n = len(self.size)
+        weights = np.vstack([(self.counts.sum(axis=1) > 0), self.counts.T]).astype(np.float32)
+        own = weights[:, self.word]
+        # bits each word shares with the word before
+        before = np.where(self.word > 0, self.start[self.word - 1] + place, 0)
+        other = np.where((self.word > 0) & (place < self.size[self.word - 1]), flat[np.minimum(before, len(flat) - 1)], 255)
+        lead = BITS - np.ceil(np.log2((flat ^ other).astype(float) + 1)).astype(np.int64)
+        differs = np.where(flat != other, place * BITS + np.maximum(lead, 0), 1 << 40)
+        shared = np.minimum.reduceat(differs, self.start) if n else differs
+        shared = np.where(np.arange(n) > 0, shared, -1)
+        after = np.append(shared[1:], -1)
+        deepest = np.maximum(shared, after)
+        # alone below what it shares: its own counts
+        self.n = np.zeros((2, len(weights), len(flat), BITS), np.float32)
+        for b in (0, 1):
+            self.n[b] = own[:, :, None] * (self.bit == bool(b))
+        flat_n = self.n.reshape(2, len(weights), -1)
+        bit = self.bit.reshape(-1)
+        for q in range(SHORT * BITS, int(deepest.max(initial=-1)) + 1):
+            act = np.flatnonzero(deepest >= q)
+            at = self.start[act] * BITS + q
+            group = np.flatnonzero(shared[act] < q)
+            of = np.repeat(np.arange(len(group)), np.diff(np.append(group, len(act))))
+            w, ones = weights[:, act], bit[at]
+            flat_n[1][:, at] = np.add.reduceat(w * ones, group, axis=1)[:, of]
+            flat_n[0][:, at] = np.add.reduceat(w * ~ones, group, axis=1)[:, of]
+
+    def slots(self, table: int, slots: int) -> np.ndarray:
+        return ((self.hashes[table] if table < len(ORDERS) else self.begin) & np.uint64(slots - 1)).astype(np.int64)
+
+    def seen_by(self, table: int, rows: np.ndarray, slots: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(place among the table's counts, slots, counts) of both bits of the words that count: contexts by distinct words, short beginnings by all."""
+        known = self.counts.sum(axis=1) > 0
+        keep = rows & known[self.word]
+        slot = self.slots(table, slots)[keep].ravel()
+        bit = self.bit[keep].ravel()
+        kinds = [known, *self.counts.T] if table == len(ORDERS) else [known]
+        for i, weight in enumerate(kinds):
+            w = np.repeat(weight[self.word[keep]].astype(float), BITS)
+            for b in (0, 1):
+                here = (bit == bool(b)) & (w > 0)
+                yield 2 * i + b, slot[here], w[here]
+
+
+#: Counts of each slot: a zero and a one for each context, then for short beginnings by distinct words and by topic.
+KINDS = 2 * len(ORDERS) + 2 * (1 + TOPICS)
+
+
+def _counted(slots: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables = np.zeros((KINDS, slots), np.float32)
+        for d, _ in _decisions(batches):
+            for table in range(len(ORDERS) + 1):
+                rows = d.short if table == len(ORDERS) else np.ones(len(d.word), bool)
+                for kind, slot, n in d.seen_by(table, rows, slots):
+                    tables[2 * table + kind] += np.bincount(slot, n, slots).astype(np.float32)
+        kind, slot = np.nonzero(tables)
+        n = tables[kind, slot].astype(np.float64)
+        for i in range(0, len(kind), 1 << 18):
+            cut = slice(i, i + (1 << 18))
+            yield pa.RecordBatch.from_arrays([pa.array((kind[cut] * slots + slot[cut]).astype(np.int32)), pa.array(n[cut])], ["at", "n"])
+
+    return run
+
+
+def _decisions(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Decisions, np.ndarray]]:
     for batch in batches:
-        words, n = batch.column("word").to_pylist(), batch.column("n").to_numpy()
-        order = sorted(range(len(words)), key=words.__getitem__)
-        for at in range(0, len(words), PIECE):
-            some = order[at : at + PIECE]
-            _Decisions([words[i] for i in some], n[some]).add_to(tables)
-    table, slot = np.nonzero(tables.sum(axis=1))
-    yield pa.RecordBatch.from_arrays([pa.array(table * SLOTS + slot), pa.array(tables[table, 0, slot]), pa.array(tables[table, 1, slot])], ["slot", "n0", "n1"])
+        for hashes, words, counts in zip(batch.column("hashes"), batch.column("words"), batch.column("counts"), strict=True):
+            yield Decisions(words.as_py(), counts.values.to_numpy()), hashes.values.to_numpy()
+
+
+def _odds(n0: np.ndarray, n1: np.ndarray, small: float) -> np.ndarray:
+    return np.log((n1 + np.float32(small)) / (n0 + np.float32(small)))
+
+
+class Predictors:
+    """Log odds of each predictor for some decisions, and the gates; `without`: topics to leave one occurrence out of, or None."""
+
+    def __init__(self, d: Decisions, tables: np.ndarray, without: np.ndarray | None):
+        self.d, slots = d, tables.shape[1]
+        first = 2 * len(ORDERS)
+        self.out = None if without is None else d.bit
+        alone = None if without is None else (d.counts.sum(axis=1) == 1).astype(np.float32)[d.word][:, None]
+        one = None if without is None else np.ones((len(d.word), 1), np.float32)
+        self.shared = []
+        for i in range(len(ORDERS)):
+            slot = d.slots(i, slots)
+            n0, n1 = self._left_out(tables[2 * i][slot], tables[2 * i + 1][slot], alone)
+            self.shared.append(_odds(n0, n1, 0.1))
+        self.five = np.minimum(np.log2(n0 + n1 + 1) / 2, 3).astype(np.int32)
+        begin = d.slots(len(ORDERS), slots)
+        short = d.short[:, None]
+        self.begin = [[np.where(short, tables[first + 2 * i + b][begin], d.n[b, i]) for b in (0, 1)] for i in range(1 + TOPICS)]
+        self.shared.append(_odds(*self._left_out(*self.begin[0], alone), 0.3))
+        total = [sum(self.begin[1 + k][b] for k in range(TOPICS)) for b in (0, 1)]
+        self.shared.append(_odds(*self._left_out(*total, one), 0.02))
+        self.without = without
+
+    def _left_out(self, n0: np.ndarray, n1: np.ndarray, less: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+        if less is None:
+            return n0, n1
+        return np.maximum(np.where(self.out, n0, n0 - less), 0), np.maximum(np.where(self.out, n1 - less, n1), 0)
+
+    def of_topic(self, k: int | np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(log odds by the topic's beginnings, gates) for one topic, or a topic for each word."""
+        if isinstance(k, int):
+            n0, n1 = self.begin[1 + k]
+        else:
+            rows = k[self.d.word]
+            n0, n1 = (np.choose(rows[:, None], [self.begin[1 + i][b] for i in range(TOPICS)]) for b in (0, 1))
+        n0, n1 = self._left_out(n0, n1, None if self.without is None else np.ones((len(n0), 1), np.float32))
+        gate = 8 * np.minimum(np.log2(n0 + n1 + 1), LEVELS - 1).astype(np.int32) + 2 * self.five + (np.minimum(n0, n1) == 0)
+        return _odds(n0, n1, 0.02), gate
 
 
 def mixed(x: list[np.ndarray], gate: np.ndarray, weights: np.ndarray) -> np.ndarray:
     """The mixer's log odds."""
-    out = weights[:, TABLES][gate]
-    for i in range(TABLES):
+    out = weights[:, INPUTS][gate]
+    for i in range(INPUTS):
         out += weights[:, i][gate] * x[i]
-    return out
-
-
-def train(d: _Decisions, tables: np.ndarray, order: np.ndarray, weights: np.ndarray, square: np.ndarray, seen: np.ndarray) -> None:
-    """Refine weights online over a piece's words in the given order, some hundred at a step."""
-    x, gate = d.inputs(tables, True)
-    step_of = np.empty(len(order), np.int64)
-    step_of[order] = np.arange(len(order)) // 256
-    by_step = np.argsort(step_of[d.word], kind="stable")
-    edge = X.runs(step_of[d.word][by_step])
-    for s, e in zip(edge[:-1], edge[1:], strict=True):
-        rows = by_step[s:e]
-        g, w = gate[rows].ravel(), np.repeat(d.weight[rows], BITS)
+    return np.clip(out, -16, 16)
+
+
+def train(d: Decisions, tables: np.ndarray, hashes: np.ndarray, weights: np.ndarray, square: np.ndarray, seen: np.ndarray) -> None:
+    """Refine weights online over the occurrences of a piece's words, mixed, some hundred words at a step."""
+    topic = d.counts.argmax(axis=1)
+    predictors = Predictors(d, tables, topic)
+    own, gate = predictors.of_topic(topic)
+    x = [*predictors.shared, own]
+    total = d.counts.sum(axis=1)
+    # a frequent word comes in several steps, so that each step is like the texts
+    times = -(-total // STEP_COUNT)
+    turn = np.repeat(np.arange(len(total)), times)
+    turn = turn[np.argsort(X.mix(hashes[turn] + np.arange(len(turn), dtype=np.uint64) * X._K[0]), kind="stable")]
+    weight = (total / np.maximum(times, 1)).astype(np.float32)
+    for s in range(0, len(turn), STEP_WORDS):
+        words = turn[s : s + STEP_WORDS]
+        size = d.size[words]
+        rows = np.repeat(d.start[words] - np.cumsum(size) + size, size) + np.arange(size.sum())
+        g, w = gate[rows].ravel(), np.repeat(weight[d.word[rows]], BITS)
         xs = [y[rows].ravel() for y in x]
         error = (1 / (1 + np.exp(-mixed(xs, g, weights))) - d.bit[rows].ravel()) * w
         mass = np.bincount(g, w, GATES)
         slope = np.stack([*(np.bincount(g, error * y, GATES) for y in xs), np.bincount(g, error, GATES)], axis=1) / np.maximum(mass, 1)[:, None]
         square += slope**2
-        weights -= (0.03 * slope / np.sqrt(square)).astype(np.float32)
+        weights -= (STEP * slope / np.sqrt(square)).astype(np.float32)
         seen += mass
 
 
-def _trained(tables):
+def _trained(tables: Broadcast):
     """Weights by gate after one pass over a partition's words, online in small steps, with what each gate saw."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights = first_weights()
         square, seen = np.full(weights.shape, 1e-3), np.zeros(GATES)
-        for h, words, n in _pieces(batches):
-            keep = np.flatnonzero(n > 0)
-            if len(keep):
-                train(_Decisions([words[i] for i in keep], n[keep]), tables.value, np.argsort(X.mix(X.unsigned(h[keep]))), weights, square, seen)
-        gates = np.repeat(np.arange(GATES), TABLES + 1)
-        yield pa.RecordBatch.from_arrays([pa.array(gates), pa.array(np.tile(np.arange(TABLES + 1), GATES)), pa.array(weights.ravel().astype(np.float64) * seen[gates]), pa.array(seen[gates])], ["gate", "input", "total", "seen"])
+        for d, h in _decisions(batches):
+            train(d, tables.value, X.unsigned(h), weights, square, seen)
+        gates = np.repeat(np.arange(GATES), INPUTS + 1)
+        yield pa.RecordBatch.from_arrays([pa.array(gates), pa.array(np.tile(np.arange(INPUTS + 1), GATES)), pa.array(weights.ravel().astype(np.float64) * seen[gates]), pa.array(seen[gates])], ["gate", "input", "total", "seen"])
 
     return run
 
 
-def _word_scores(tables, weights: np.ndarray):
-    """(hash, n, log10 probability) of each word."""
+def word_log10(d: Decisions, tables: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """log10 probability of each word under each topic."""
+    out = np.zeros((len(d.size), TOPICS))
+    predictors = Predictors(d, tables, None)
+    sign = np.where(d.bit, np.float32(-1), np.float32(1))
+    for k in range(TOPICS):
+        own, gate = predictors.of_topic(k)
+        bits = np.log1p(np.exp(sign * mixed([*predictors.shared, own], gate, weights)))
+        out[:, k] = np.add.reduceat(bits.sum(axis=1), d.start) / -np.log(10) if len(d.size) else 0
+    return out
+
+
+def _word_scores(tables: Broadcast, weights: np.ndarray):
+    """(hash, n, log10 probabilities by topic in thousandths, as 32-bit integers) of each word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for h, words, n in _pieces(batches):
-            d = _Decisions(words, n)
-            x, gate = d.inputs(tables.value, False)
-            odds = np.clip(mixed(x, gate, weights), -16, 16)
-            bits = -np.log1p(np.exp(np.where(d.bit, -odds, odds))).sum(axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(n), pa.array(np.bincount(d.word, bits, len(words)) / np.log(10))], ["hash", "n", "logp"])
+        for d, h in _decisions(batches):
+            raw = np.round(word_log10(d, tables.value, weights) * 1000).astype("<i4")
+            yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(d.counts.sum(axis=1)), pa.array([x.tobytes() for x in raw], pa.binary())], ["hash", "n", "logp"])
 
     return run
 
 
-def adapted(h: np.ndarray, text: np.ndarray, logp: np.ndarray, order: int = 3) -> np.ndarray:
-    """Token log10 probabilities after the match predictor; tokens of a text are next to each other."""
+def topic_mixture(logp: np.ndarray, text: np.ndarray, prior: np.ndarray) -> np.ndarray:
+    """Weights of the topics before each token: the prior, times the topics' probabilities of the text's tokens so far."""
+    nat = logp * np.log(10)
+    total = np.vstack([np.zeros(nat.shape[1]), np.cumsum(nat, axis=0)])
+    first = np.searchsorted(text, text)
+    told = np.log(prior) + total[:-1] - total[first]
+    told -= told.max(axis=1, keepdims=True)
+    weight = np.exp(told)
+    return weight / weight.sum(axis=1, keepdims=True)
+
+
+#: The match mixer: window of tokens after which a text's weights are refined, rate, first weights of (odds without match, hit rate's odds, one) by order 1, 2, 3.
+WINDOW, RATE = 16, 0.02
+MATCH = np.array([[1.0, 0.05, 0.0], [0.6, 0.4, 0.0], [0.2, 0.9, 0.0]])
+
+
+def matched(h: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place of the token that followed the longest context of up to three words when it was last in the text, or -1; that context's order)."""
     n = len(h)
-    if n <= order:
-        return logp
-    context = np.zeros(n - order, np.uint64)
-    for k in range(order):
-        context = X.mix(context + h[k : n - order + k] * X._K[k])
-    at = np.arange(order, n)
-    inside = text[: n - order] == text[order:]
-    at, context = at[inside], context[inside]
-    sort = np.lexsort((at, context, text[at]))
-    a, c = at[sort], context[sort]
-    again = np.zeros(len(a), bool)
-    again[1:] = (c[1:] == c[:-1]) & (text[a[1:]] == text[a[:-1]])
-    where = a[again]
-    right = h[where] == h[a[np.flatnonzero(again) - 1]]
-    tries, hits = np.zeros(n + 1), np.zeros(n + 1)
-    tries[where + 1], hits[where + 1] = 1, right
-    tries, hits = np.cumsum(tries), np.cumsum(hits)
-    first = np.searchsorted(text, text[where])
-    sure = (hits[where] - hits[first] + 0.4) / (tries[where] - tries[first] + 2)
-    out = logp.copy()
-    out[where] = np.log10((1 - sure) * 10.0 ** logp[where] + sure * right)
+    last, order = np.full(n, -1), np.zeros(n, np.int64)
+    for k in range(1, min(len(MATCH) + 1, n)):
+        context = np.zeros(n - k, np.uint64)
+        for i in range(k):
+            context = X.mix(context + h[i : n - k + i] * X._K[i])
+        at = np.arange(k, n)
+        inside = text[: n - k] == text[k:]
+        a, c = at[inside], context[inside]
+        sort = np.lexsort((a, c, text[a]))
+        a, c = a[sort], c[sort]
+        again = np.flatnonzero((c[1:] == c[:-1]) & (text[a[1:]] == text[a[:-1]])) + 1
+        last[a[again]], order[a[again]] = a[again - 1], k
+    return last, order
+
+
+def adapted(h: np.ndarray, text: np.ndarray, logp: np.ndarray, prior: np.ndarray) -> np.ndarray:
+    """Token log10 probabilities, by topic mixture and match mixer; tokens of a text are next to each other."""
+    weight = topic_mixture(logp, text, prior)
+    p = 10.0**logp
+    alone = np.maximum((weight * p).sum(axis=1), 1e-300)
+    out = np.log10(alone)
+    last, order = matched(h, text)
+    where = np.flatnonzero(last >= 0)
+    if not len(where):
+        return out
+    guess = np.clip((weight[where] * p[last[where]]).sum(axis=1), 1e-12, 1 - 1e-6)
+    right = h[where] == h[last[where]]
+    kind = order[where] - 1
+    own = text[where]
+    rate = np.empty(len(where))
+    for k in range(len(MATCH)):
+        mine = np.flatnonzero(kind == k)
+        tries, hits = np.arange(len(mine)), np.concatenate([[0], np.cumsum(right[mine])])[:-1]
+        first = np.searchsorted(own[mine], own[mine])
+        rate[mine] = (hits - hits[first] + 0.4) / (tries - first + 2) if len(mine) else 0
+    x = np.stack([np.log(guess / (1 - guess)), np.log(rate / (1 - rate)), np.ones(len(where))], axis=1)
+    _, lane = np.unique(own, return_inverse=True)
+    rank = np.arange(len(where)) - np.searchsorted(own, own)
+    weights = np.tile(MATCH, (int(lane[-1]) + 1, 1, 1)).reshape(-1, 3)
+    key = lane * len(MATCH) + kind
+    sure = np.empty(len(where))
+    window = rank // WINDOW
+    by_window = np.argsort(window, kind="stable")
+    edge = X.runs(window[by_window])
+    for s, e in zip(edge[:-1], edge[1:], strict=True):
+        rows = by_window[s:e]
+        y = 1 / (1 + np.exp(-np.clip((weights[key[rows]] * x[rows]).sum(axis=1), -14, 14)))
+        sure[rows] = y
+        error = (right[rows] - y)[:, None] * x[rows] * RATE
+        slot, inverse = np.unique(key[rows], return_inverse=True)
+        for i in range(3):
+            weights[slot, i] += np.bincount(inverse, error[:, i])
+    # what is not guessed right shares the rest in its own proportions
+    missed = np.log10(1 - sure) + out[where] - np.log10(1 - guess)
+    out[where] = np.where(right, np.log10(sure), missed)
     return out
 
 
+def _blocks(docs: DataFrame, id_col: str, text_col: str) -> Column:
+    """Rows that lie together share words; any other stable division that follows the row count would do."""
+    try:
+        place = F.xxhash64(F.col("_metadata.file_path"), F.expr(f"_metadata.row_index div {BLOCK_ROWS}"))
+        docs.select(place)
+    except AnalysisException:
+        place = F.pmod(F.xxhash64(F.col(id_col), F.crc32(F.col(text_col).cast("binary"))), F.lit(docs.count() // BLOCK_ROWS + 8))
+    return place
+
+
 def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte) of every row; see the module.
 
@@ -286,44 +562,38 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     is the add-0.1 unigram score; score the mixed model's log10 probability.
     """
     spark = docs.sparkSession
-    context = spark.sparkContext
-    try:  # rows that lie together share words; any stable division would do
-        place = F.xxhash64(F.col("_metadata.file_path"), F.expr(f"_metadata.row_index div {BLOCK_ROWS}"))
-        docs.select(place)
-    except AnalysisException:
-        place = F.pmod(F.xxhash64(F.col(id_col)), F.lit(64))
     held = F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 10 == 0, F.lit(True))
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), place.alias("block"), held.alias("held"))
-    local = written(rows.select("text", "block", (~F.col("held")).alias("learn")).mapInArrow(_dictionary, "block long, hash long, word binary, n long"))
-    end = F.expr(f"{int(X.signed(np.array([END]))[0])}L")
-    n_texts = rows.where("not held").count()
-    ends = spark.createDataFrame([(b"", n_texts)], "word binary, n long").select(end.alias("hash"), "word", "n")
-    head = F.xxhash64(F.substring("word", 1, 4)).alias("head")
-    words = written(local.groupBy("hash").agg(F.max("word").alias("word"), F.sum("n").alias("n")).unionByName(ends).select("hash", "word", "n", head))
-    total = words.agg(F.sum("n").alias("n"), F.count_if(F.col("n") > 0).alias("kinds")).first()
-    n_train, kinds = total["n"] or 0, total["kinds"] or 0
-
-    counted = words.select("word", "n").where("n > 0").mapInArrow(_counted, "slot long, n0 double, n1 double").groupBy("slot").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).toPandas()
-    flat = np.zeros((2, TABLES * SLOTS), np.float32)
-    flat[:, counted["slot"].to_numpy(np.int64)] = counted[["n0", "n1"]].to_numpy().T
-    tables = context.broadcast(np.ascontiguousarray(flat.reshape(2, TABLES, SLOTS).transpose(1, 0, 2)))
-    spread = words.repartition("head").sortWithinPartitions("head", "hash")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), _blocks(docs, id_col, text_col).alias("block"), held.alias("held"))
+    # the topics' texts are their ends, which count like words
+    centres, by_topic, ends = _topics(rows.where("not held").select("text"))
+    local = written(rows.select("text", "block", (~F.col("held")).alias("learn")).mapInArrow(_dictionary(centres), "block long, hash long, word binary, topic byte, n int"))
+    end_rows = spark.createDataFrame([(int(X.signed(np.array([END]))[0]), bytes([CLOSE]), k, int(n)) for k, n in enumerate(ends)], "hash long, word binary, topic byte, n int")
+    head = F.when(F.instr(F.substring("word", 1, SHORT).cast("string"), chr(ESCAPE)) > 0, F.substring("word", 1, SHORT_ESCAPED)).otherwise(F.substring("word", 1, SHORT))
+    sorted_ = local.select("hash", "word", "topic", "n").unionByName(end_rows).withColumn("head", F.xxhash64(head)).repartition("head").sortWithinPartitions("head", "word")
+    pieces = written(sorted_.mapInArrow(_pieces, _PIECES))
+    total = pieces.agg(F.sum("n").alias("n"), F.sum("known").alias("known"), F.sum(F.size("hashes")).alias("words")).first()
+    n_train, kinds = total["n"] or 0, total["known"] or 0
+
+    slots = 1 << max(min(total["words"] // 4, MOST_SLOTS), LEAST_SLOTS).bit_length() - 1
+    flat = np.zeros(KINDS * slots, np.float32)
+    counted = pieces.mapInArrow(_counted(slots), "at int, n double").groupBy("at").agg(F.sum("n").alias("n")).toPandas()
+    flat[counted["at"].to_numpy()] = counted["n"].to_numpy()
+    tables = spark.sparkContext.broadcast(flat.reshape(KINDS, slots))
     weights = first_weights()
-    for r in spread.mapInArrow(_trained(tables), "gate long, input long, total double, seen double").groupBy("gate", "input").agg(F.try_divide(F.sum("total"), F.sum("seen")).alias("w")).collect():
+    for r in pieces.mapInArrow(_trained(tables), "gate long, input long, total double, seen double").groupBy("gate", "input").agg(F.try_divide(F.sum("total"), F.sum("seen")).alias("w")).collect():
         if r["w"] is not None and r["w"] == r["w"]:
             weights[r["gate"], r["input"]] = round(r["w"], 4)
-    scores = spread.mapInArrow(_word_scores(tables, weights), "hash long, n long, logp double")
-    last = words.where(F.col("hash") == end).repartition(1).mapInArrow(_word_scores(tables, weights), "hash long, n long, logp double").first()
-    lookup = local.select("block", "hash").join(scores, "hash").select("block", "hash", "n", "logp")
+    scores = pieces.mapInArrow(_word_scores(tables, weights), "hash long, n long, logp binary")
+    lookup = local.select("block", "hash").distinct().join(scores, "hash").select("block", "hash", "n", "logp")
+    end_logp = word_log10(Decisions(bytes([CLOSE]), ends), tables.value, weights)
+    prior = (by_topic + 1) / (by_topic + 1).sum()
     unit = n_train + 0.1 * (kinds + 1)
 
     def score(texts: pa.Table, found: pa.Table) -> pa.Table:
         h = X.unsigned(found["hash"].to_numpy())
-        sort = np.argsort(h)
-        h = h[sort]
-        keep = np.concatenate([[True], h[1:] != h[:-1]]) if len(h) else np.zeros(0, bool)
-        h, n, logp = h[keep], found["n"].to_numpy()[sort][keep], found["logp"].to_numpy()[sort][keep]
-        h, n, logp = np.append(h, END), np.append(n, n_texts), np.append(logp, last["logp"])
+        raw = found["logp"].combine_chunks().cast(pa.binary())
+        logp = np.frombuffer(b"".join(raw.to_pylist()), "<i4").reshape(-1, TOPICS) / 1000
+        h, n, logp = np.append(h, END), np.append(found["n"].to_numpy(), ends.sum()), np.vstack([logp, end_logp])
         sort = np.argsort(h)
         h, n, logp = h[sort], n[sort], logp[sort]
         base = np.log10((n + 0.1) / unit)
@@ -333,12 +603,9 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             token = np.insert(w.hash, w.word_offsets[1:], END)
             size = np.diff(w.word_offsets) + 1
             text = np.repeat(np.arange(c.n), size)
-            kind, inverse = np.unique(token, return_inverse=True)
-            at = np.searchsorted(h, kind)[inverse]
-            final = adapted(token, text, logp[at])
-            value = np.bincount(text, final, c.n)
-            bytes_ = np.maximum(np.diff(c.offsets), 1)
-            parts.append((size, np.bincount(text, n[at] > 0, c.n).astype(np.int64), np.full(c.n, n_train), np.bincount(text, base[at], c.n), value, -value * np.log2(10) / bytes_))
+            at = np.searchsorted(h, token)
+            value = np.bincount(text, adapted(token, text, logp[at], prior), c.n)
+            parts.append((size, np.bincount(text, n[at] > 0, c.n).astype(np.int64), np.full(c.n, n_train), np.bincount(text, base[at], c.n), value, value / -np.log10(2) / np.maximum(np.diff(c.offsets), 1)))
         columns = [np.concatenate(x) for x in zip(*parts, strict=True)] if parts else [np.zeros(0)] * 6
         return pa.table([texts["id"], texts["held"], *(pa.array(x, t) for x, t in zip(columns, [pa.int64()] * 3 + [pa.float64()] * 3, strict=True))], ["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte"])
 

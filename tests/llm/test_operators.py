@@ -10,7 +10,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyspark.llm.chat import rendered
-from tallyspark.llm.context_mixing import _Decisions, score_texts
+from tallyspark.llm import context_mixing as mixing
+from tallyspark.llm.context_mixing import score_texts
 from tallyspark.llm.decision_list import quality_rules
 from tallyspark.llm.decontaminate import contaminated, smith_waterman
 from tallyspark.llm.html_extract import blocks, extract_main_text
@@ -191,13 +192,102 @@ def test_scores_of_long_words_sum_to_at_most_one(spark):
     assert len(scores) == 16 and sum(10**x for x in scores.values()) <= 1
 
 
-def test_beginnings_are_shared_at_every_depth():
+def symbol_words(rng, n):
+    out = {bytes(rng.choices([1, 2], k=3)) * 8 + bytes(rng.choices([1, 2], k=rng.randint(0, 6))) for _ in range(n)}
+    out |= {bytes(rng.choices([1, 2, 31, 3], k=rng.randint(1, 14))) for _ in range(n)}
+    return sorted(x + bytes([mixing.CLOSE]) for x in {*out, b""})
+
+
+def begun(words, counts, i, place, level):
+    """Zeros and ones after a beginning, by distinct words and by topic, counted plainly."""
+    bits = lambda w: [w[place] >> (4 - k) & 1 for k in range(5)]
+    out = np.zeros((2, 1 + mixing.TOPICS))
+    for w, c in zip(words, counts, strict=True):
+        if len(w) > place and w[:place] == words[i][:place] and bits(w)[:level] == bits(words[i])[:level]:
+            out[bits(w)[level]] += [c.sum() > 0, *c]
+    return out
+
+
+def test_longer_beginnings_are_counted_exactly():
     rng = random.Random(3)
-    words = sorted({b"", *(bytes(rng.choices([1, 2], k=3)) * 30 + bytes(rng.choices([1, 2], k=rng.randint(0, 6))) for _ in range(60)), *(bytes(rng.choices([1, 2, 31], k=rng.randint(1, 8))) for _ in range(60))})
-    d = _Decisions(words, np.ones(len(words), np.int64))
-    places = [w[:k] for w in words for k in range(len(w) + 1)]
-    assert [places[i] for i in d.beginning[:, 0] // 32] == [x for x in places if len(x) > 3]
-    assert len(set((d.beginning[:, 0] // 32).tolist())) == len({x for x in places if len(x) > 3})
+    words = symbol_words(rng, 40)
+    counts = np.random.default_rng(1).integers(0, 3, (len(words), mixing.TOPICS))
+    d = mixing.Decisions(b"".join(words), counts)
+    for i, w in enumerate(words):
+        for place in range(mixing.SHORT_ESCAPED if 31 in w[:4] else mixing.SHORT, len(w)):
+            for level in range(5):
+                assert (d.n[:, :, d.start[i] + place, level] == begun(words, counts, i, place, level)).all(), (w, place, level)
+
+
+def test_word_scores_match_a_plain_mixer():
+    rng = random.Random(4)
+    words = symbol_words(rng, 7)
+    counts = np.random.default_rng(2).integers(0, 3, (len(words), mixing.TOPICS))
+    d, slots = mixing.Decisions(b"".join(words), counts), 1 << 22
+    tables = np.zeros((mixing.KINDS, slots), np.float32)
+    for table in range(len(mixing.ORDERS) + 1):
+        for kind, slot, n in d.seen_by(table, d.short if table == len(mixing.ORDERS) else np.ones(len(d.word), bool), slots):
+            np.add.at(tables[2 * table + kind], slot, n)
+    weights = np.random.default_rng(5).random((mixing.GATES, mixing.INPUTS + 1)).astype(np.float32) / 4
+    got = mixing.word_log10(d, tables, weights)
+
+    def context(w, place, k):
+        return (min(place, k), w[max(place - k, 0) : place])
+
+    def odds(n, small):
+        return np.log((n[1] + small) / (n[0] + small))
+
+    for i, w in enumerate(words):
+        for topic in range(mixing.TOPICS):
+            total = 0.0
+            for place in range(len(w)):
+                for level in range(5):
+                    x, five = [], None
+                    for k in mixing.ORDERS:
+                        n = np.zeros(2)
+                        for v, c in zip(words, counts, strict=True):
+                            for p in range(len(v)):
+                                if c.sum() and context(v, p, k) == context(w, place, k) and v[p] >> (5 - level) == w[place] >> (5 - level):
+                                    n[v[p] >> (4 - level) & 1] += 1
+                        x.append(odds(n, 0.1))
+                        five = n.sum()
+                    n = begun(words, counts, i, place, level)
+                    own = n[:, 1 + topic]
+                    x += [odds(n[:, 0], 0.3), odds(n[:, 1:].sum(axis=1), 0.02), odds(own, 0.02), 1.0]
+                    gate = 8 * min(int(np.log2(own.sum() + 1)), mixing.LEVELS - 1) + 2 * int(min(np.log2(five + 1) / 2, 3)) + (own.min() == 0)
+                    p = 1 / (1 + np.exp(-np.clip(np.dot(weights[gate], x), -16, 16)))
+                    total += np.log10(p if w[place] >> (4 - level) & 1 else 1 - p)
+            assert got[i, topic] == pytest.approx(total, rel=1e-3), w
+
+
+def test_probabilities_of_what_comes_next_sum_to_one():
+    # tokens 1, 2, 3 under two topics: whatever came before, the adapted probabilities of the next one sum to one
+    logp = np.log10(np.array([[0.5, 0.2], [0.3, 0.1], [0.2, 0.7]]))
+    rng = np.random.default_rng(6)
+    for n in (0, 1, 5, 40):
+        before = rng.integers(0, 3, n)
+        total = 0.0
+        for last in range(3):
+            token = np.append(before, last)
+            total += 10 ** mixing.adapted((token + 1).astype(np.uint64), np.zeros(n + 1, np.int64), logp[token], np.array([0.4, 0.6]))[-1]
+        assert total == pytest.approx(1)
+
+
+def test_scores_beat_the_base_on_texts_of_two_topics(spark):
+    rng = random.Random(7)
+    parts = [["".join(rng.choices(letters, k=3)) for _ in range(30)] for letters in ("aeiostrn", "ouklmpbd")]
+    docs = [(i, " ".join(rng.choice(parts[i % 2]) + rng.choice(parts[i % 2][:5] + [""] * 5) for _ in range(rng.randint(30, 120)))) for i in range(400)]
+    got = score_texts(spark.createDataFrame(docs, "doc_id long, text string")).where("held_out").toPandas()
+    assert got.score.sum() > 0.97 * got.base_score.sum() and (got.score > got.base_score).mean() > 0.8
+    assert np.allclose(got.bits_per_byte, [-s * np.log2(10) / len(docs[i][1]) for i, s in zip(got.doc_id, got.score, strict=True)])
+
+
+def test_scores_of_no_rows_and_of_unlearned_rows(spark):
+    empty = spark.createDataFrame([], "doc_id long, text string")
+    assert score_texts(empty).count() == 0
+    rows = score_texts(spark.createDataFrame([(None, "a b"), (None, None)], "doc_id long, text string")).collect()
+    assert sorted((r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) for r in rows) == [(True, 1, 0, 0), (True, 3, 0, 0)]
+    assert all(r["score"] < 0 for r in rows)
 
 
 def test_quality_rules(spark):
