@@ -47,7 +47,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 from . import textops as X
-from .spark_util import written
+from .spark_util import dense, written
 
 #: Least and most slots of a table of hashed contexts (powers of two); the second bounds what is broadcast.
 LEAST_SLOTS, MOST_SLOTS = 1 << 14, 1 << 18
@@ -575,10 +575,8 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     n_train, kinds = total["n"] or 0, total["known"] or 0
 
     slots = 1 << max(min(total["words"] // 4, MOST_SLOTS), LEAST_SLOTS).bit_length() - 1
-    flat = np.zeros(KINDS * slots, np.float32)
-    counted = pieces.mapInArrow(_counted(slots), "at int, n double").groupBy("at").agg(F.sum("n").alias("n")).toPandas()
-    flat[counted["at"].to_numpy()] = counted["n"].to_numpy()
-    tables = spark.sparkContext.broadcast(flat.reshape(KINDS, slots))
+    counted = pieces.mapInArrow(_counted(slots), "at int, n double").groupBy("at").agg(F.sum("n").alias("n"))
+    tables = spark.sparkContext.broadcast(dense(counted, KINDS * slots).reshape(KINDS, slots))
     weights = first_weights()
     for r in pieces.mapInArrow(_trained(tables), "gate long, input long, total double, seen double").groupBy("gate", "input").agg(F.try_divide(F.sum("total"), F.sum("seen")).alias("w")).collect():
         if r["w"] is not None and r["w"] == r["w"]:

@@ -64,6 +64,20 @@ def slot_bits(slots: DataFrame, bits: int) -> np.ndarray:
     return out.view(np.int64)
 
 
+def dense(sums: DataFrame, size: int) -> np.ndarray:
+    """Column `n` by column `at` (each once, below size) as float32 array; tasks build its blocks, the driver only gets those."""
+
+    def block(f: pd.DataFrame) -> pd.DataFrame:
+        values = np.zeros(BLOCK_BITS, np.float32)
+        values[f["at"].to_numpy() % BLOCK_BITS] = f["n"].to_numpy()
+        return pd.DataFrame({"block": f["block"].iloc[:1], "values": [values.tobytes()]})
+
+    out = np.zeros(-(-size // BLOCK_BITS) * BLOCK_BITS, np.float32)
+    for row in sums.withColumn("block", F.expr(f"at div {BLOCK_BITS}")).groupBy("block").applyInPandas(block, "block long, values binary").toLocalIterator():
+        out[row["block"] * BLOCK_BITS :][:BLOCK_BITS] = np.frombuffer(row["values"], np.float32)
+    return out[:size]
+
+
 def has_bit(bitmap: np.ndarray, slot: np.ndarray) -> np.ndarray:
     return (bitmap[slot >> 6].view(np.uint64) >> (slot & 63).astype(np.uint64)) & np.uint64(1) == 1
 
