@@ -17,7 +17,7 @@ in the text; its weights start the same for each text and are refined after
 every few tokens. Probabilities of all texts sum to one.
 
 Topics: a text's three commonest words put it in a bucket; buckets are clustered
-by their hashed word histograms, then texts dealt to topics by theirs, twice.
+by their hashed word histograms, then texts dealt to topics by theirs.
 All these tables are of fixed size and counted over all texts to learn from.
 
 At scale: decisions inside a word depend on the word and topic alone, so they
@@ -52,34 +52,43 @@ from .spark_util import dense, written
 #: Least and most slots of a table of hashed contexts (powers of two); the second bounds what is broadcast.
 LEAST_SLOTS, MOST_SLOTS = 1 << 14, 1 << 18
 ORDERS = (2, 3, 5)
-#: Topics; buckets of texts and slots of a bucket's histogram; slots of a topic's histogram, passes that refine it.
-TOPICS, BUCKETS, NARROW, WIDE, PASSES = 6, 1024, 256, 4096, 2
+#: Topics, buckets of texts, slots of a bucket's histogram.
+TOPICS, BUCKETS, HISTOGRAM = 5, 1024, 256
 #: Mixer: predictors, and weight sets by how often the topic saw the beginning, how often five symbols were seen, whether one bit only followed.
 INPUTS = len(ORDERS) + 3
 LEVELS = 12
 GATES = LEVELS * 4 * 2
-#: Step of the mixer's training, words of a step, most occurrences of a word in one of them.
-STEP, STEP_WORDS, STEP_COUNT = 0.05, 256, 32
+#: Step of the mixer's training, rows of a step, most occurrences in one of its rows.
+STEP, STEP_ROWS, STEP_COUNT = 0.05, 8192, 256
 #: Words looked at together, rows of a block.
-PIECE, BLOCK_ROWS = 4096, 8192
+PIECE, BLOCK_ROWS = 8192, 8192
 END = np.uint64(0x5851F42D4C957F2D)
 #: Symbols: letters 0 to 25, then the closing one, three marks and the first byte of most accented letters; ESCAPE comes before a byte's two halves.
 CLOSE, ESCAPE, BITS = 26, 31, 5
 _SYMBOL = np.full(256, ESCAPE, np.uint8)
 _SYMBOL[97:123] = np.arange(26)
 _SYMBOL[[0x2E, 0x2C, 0x2D, 0xC3]] = [27, 28, 29, 30]
-_SYMBOL = _SYMBOL.tobytes()
 _NODE = np.random.Generator(np.random.PCG64(77)).integers(0, 2**63, 1 << BITS, np.uint64)
 #: Beginnings of fewer symbols are in the table, others counted in their piece; the second where a byte without symbol is among the first.
 SHORT, SHORT_ESCAPED = 4, 12
 
 
-def symbols(word: bytes) -> bytes:
-    """A word's symbols, with the closing one."""
-    out = word.translate(_SYMBOL)
-    if ESCAPE in out:
-        out = b"".join(bytes([x]) if x != ESCAPE else bytes([ESCAPE, y >> 4, y & 15]) for x, y in zip(out, word, strict=True))
-    return out + bytes([CLOSE])
+def symbols(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.Array:
+    """Words (spans of bytes) as symbols with the closing one, as a binary column."""
+    size = end - start
+    base = np.cumsum(size) - size
+    raw = data[np.repeat(start - base, size) + np.arange(size.sum())]
+    out = _SYMBOL[raw]
+    width = np.where(out == ESCAPE, 3, 1)
+    at = np.concatenate([[0], np.cumsum(width)])
+    # a closing symbol goes after each word
+    first = at[np.append(base, len(raw))] + np.arange(len(size) + 1)
+    place = at[:-1] + np.repeat(np.arange(len(size)), size)
+    flat = np.full(at[-1] + len(size), CLOSE, np.uint8)
+    flat[place] = out
+    long = np.flatnonzero(width == 3)
+    flat[place[long] + 1], flat[place[long] + 2] = raw[long] >> 4, raw[long] & 15
+    return pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(first.astype(np.int32)), pa.py_buffer(flat)])
 
 
 def first_weights() -> np.ndarray:
@@ -90,48 +99,44 @@ def first_weights() -> np.ndarray:
 
 
 def _bucket(w: X.Words, n_texts: int) -> np.ndarray:
-    """A bucket for each text, by its three commonest words (the smallest hashes on a tie)."""
+    """A bucket for each text, by the three commonest of its repeated words (the smallest hashes on a tie), or one word where none repeats."""
     key = np.zeros(n_texts, np.uint64)
     if len(w.hash):
-        order = np.lexsort((w.hash, w.text))
-        t, h = w.text[order], w.hash[order]
-        at = np.flatnonzero(np.concatenate([[True], (t[1:] != t[:-1]) | (h[1:] != h[:-1])]))
-        k = np.diff(np.append(at, len(t)))
-        t, h = t[at], h[at]
+        # text and 40 bits of the word in one number
+        both = np.sort((w.text.astype(np.uint64) << np.uint64(40)) | (w.hash >> np.uint64(24)))
+        at = np.flatnonzero(np.concatenate([[True], both[1:] != both[:-1]]))
+        k = np.diff(np.append(at, len(both)))
+        both = both[at]
+        often = np.flatnonzero((k > 1) | np.concatenate([[True], (both[1:] ^ both[:-1]) >> np.uint64(40) > 0]))
+        t, h, k = (both[often] >> np.uint64(40)).astype(np.int64), both[often], k[often]
         best = np.lexsort((h, -k, t))
         t, h = t[best], h[best]
         rank = np.arange(len(t)) - np.searchsorted(t, t)
-        np.add.at(key, t[rank < 3], X.mix(h[rank < 3]))
+        np.add.at(key, t[rank < 3], X.mix(h[rank < 3] << np.uint64(24)))
     return (key >> np.uint64(20)).astype(np.int64) % BUCKETS
 
 
-def _slot(h: np.ndarray, slots: int) -> np.ndarray:
-    return (h >> np.uint64(32)).astype(np.int64) % slots
+def _slot(h: np.ndarray) -> np.ndarray:
+    return (h >> np.uint64(32)).astype(np.int64) % HISTOGRAM
 
 
 def _topic(w: X.Words, n_texts: int, centres: np.ndarray) -> np.ndarray:
     """The topic of each text whose histogram (log probabilities) tells its words best."""
-    log = centres[:, _slot(w.hash, centres.shape[1])]
+    log = centres[:, _slot(w.hash)]
     total = np.zeros((len(centres), len(w.hash) + 1))
     np.cumsum(log, axis=1, out=total[:, 1:])
     return (total[:, w.word_offsets[1:]] - total[:, w.word_offsets[:-1]]).argmax(axis=0)
 
 
-def _histograms(centres: np.ndarray | None):
-    """Word histograms of the buckets of a task's texts, or of their topics and after them the topics' texts."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        slots, kinds = (NARROW, BUCKETS) if centres is None else (WIDE, TOPICS)
-        total = np.zeros(kinds * (slots + 1), np.int64)
-        for batch in batches:
-            for c in X.chunks(batch.column("text")):
-                w = X.words(c)
-                kind = _bucket(w, c.n) if centres is None else _topic(w, c.n, centres)
-                total += np.bincount(np.append(kind[w.text] * slots + _slot(w.hash, slots), kinds * slots + kind), minlength=len(total))
-        slot = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(total[slot])], ["slot", "n"])
-
-    return run
+def _histograms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Word histograms of the buckets of a task's texts."""
+    total = np.zeros(BUCKETS * HISTOGRAM, np.int64)
+    for batch in batches:
+        for c in X.chunks(batch.column("text")):
+            w = X.words(c)
+            total += np.bincount(_bucket(w, c.n)[w.text] * HISTOGRAM + _slot(w.hash), minlength=len(total))
+    slot = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(total[slot])], ["slot", "n"])
 
 
 def _logs(histograms: np.ndarray) -> np.ndarray:
@@ -157,24 +162,16 @@ def clustered(histograms: np.ndarray, topics: int = TOPICS) -> np.ndarray:
     return _logs(rows)
 
 
-def _topics(texts: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(log probabilities by topic and slot, words and texts of each topic) of the column `text`; tables of fixed size."""
-
-    def gathered(centres: np.ndarray | None, kinds: int, slots: int) -> tuple[np.ndarray, np.ndarray]:
-        tally = np.zeros(kinds * (slots + 1), np.int64)
-        got = texts.mapInArrow(_histograms(centres), "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
-        tally[got["slot"].to_numpy(np.int64)] = got["n"].to_numpy(np.int64)
-        return tally[: kinds * slots].reshape(kinds, slots), tally[kinds * slots :]
-
-    centres = clustered(gathered(None, BUCKETS, NARROW)[0])
-    for _ in range(PASSES - 1):
-        centres = _logs(gathered(centres, TOPICS, WIDE)[0])
-    words, n = gathered(centres, TOPICS, WIDE)
-    return centres, words.sum(axis=1), n
+def _topics(texts: DataFrame) -> np.ndarray:
+    """Log probabilities by topic and slot, of the column `text`; tables of fixed size."""
+    tally = np.zeros(BUCKETS * HISTOGRAM, np.int64)
+    got = texts.mapInArrow(_histograms, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
+    tally[got["slot"].to_numpy(np.int64)] = got["n"].to_numpy(np.int64)
+    return clustered(tally.reshape(BUCKETS, HISTOGRAM))
 
 
 def _dictionary(centres: np.ndarray):
-    """(block, hash, word as symbols, topic, count in texts to learn from) of each batch's distinct words."""
+    """(block, hash, word as symbols, topic, count in texts to learn from) of each batch's distinct words; lead: a word's first row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -185,31 +182,30 @@ def _dictionary(centres: np.ndarray):
                 w = X.words(c)
                 data = X.LOWER[c.data]
                 here, topic = learn[c.first : c.first + c.n], _topic(w, c.n, centres)
-                own = block[c.first : c.first + c.n][w.text]
+                # each text's end is a word of no symbols
+                none = np.zeros(c.n, np.int64)
+                hashes, texts = np.append(w.hash, np.full(c.n, END)), np.append(w.text, np.arange(c.n))
+                starts, stops = np.append(w.start, none), np.append(w.end, none)
+                own = block[c.first : c.first + c.n][texts]
                 for b in np.unique(own):
                     rows = np.flatnonzero(own == b)
-                    h, first, inverse = np.unique(w.hash[rows], return_index=True, return_inverse=True)
-                    weighted = here[w.text[rows]]
-                    kind, n = np.unique(inverse[weighted] * TOPICS + topic[w.text[rows][weighted]], return_counts=True)
-                    start, end = w.start[rows[first]], w.end[rows[first]]
-                    found.setdefault(int(b), []).append((h, data, start, end, h[kind // TOPICS], kind % TOPICS, n))
+                    h, first, inverse = np.unique(hashes[rows], return_index=True, return_inverse=True)
+                    weighted = here[texts[rows]]
+                    kind, n = np.unique(inverse[weighted] * TOPICS + topic[texts[rows][weighted]], return_counts=True)
+                    start, end = starts[rows[first]], stops[rows[first]]
+                    found.setdefault(int(b), []).append((h, symbols(data, start, end), h[kind // TOPICS], kind % TOPICS, n))
             for b, parts in found.items():
                 h, first = np.unique(np.concatenate([x[0] for x in parts]), return_index=True)
-                text, at = np.empty(len(h), object), 0
-                for x in parts:
-                    place = np.flatnonzero((first >= at) & (first < at + len(x[0])))
-                    mine, raw = first[place] - at, x[1].tobytes()
-                    text[place] = [symbols(raw[i:j]) for i, j in zip(x[2][mine].tolist(), x[3][mine].tolist(), strict=True)]
-                    at += len(x[0])
-                key = np.searchsorted(h, np.concatenate([x[4] for x in parts])) * TOPICS + np.concatenate([x[5] for x in parts])
+                key = np.searchsorted(h, np.concatenate([x[2] for x in parts])) * TOPICS + np.concatenate([x[3] for x in parts])
                 key, inverse = np.unique(key, return_inverse=True)
-                n = np.bincount(inverse, np.concatenate([x[6] for x in parts])).astype(np.int64) if len(key) else np.zeros(0, np.int64)
+                n = np.bincount(inverse, np.concatenate([x[4] for x in parts])).astype(np.int64) if len(key) else np.zeros(0, np.int64)
                 alone = np.setdiff1d(np.arange(len(h)), key // TOPICS)  # words of held-out texts only
                 row, topic, n = np.append(key // TOPICS, alone), np.append(key % TOPICS, np.zeros(len(alone), np.int64)), np.append(n, np.zeros(len(alone), np.int64))
-                words = pa.array(text, pa.binary()).take(pa.array(row))
+                words, lead = pa.concat_arrays([x[1] for x in parts]).take(pa.array(first[row])), np.zeros(len(row), bool)
+                lead[np.unique(row, return_index=True)[1]] = True
                 for i in range(0, len(row), 65536):
                     cut = slice(i, i + 65536)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(row[cut]), b)), pa.array(X.signed(h[row[cut]])), words[cut], pa.array(topic[cut].astype(np.int8)), pa.array(n[cut].astype(np.int32))], ["block", "hash", "word", "topic", "n"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(row[cut]), b)), pa.array(X.signed(h[row[cut]])), words[cut], pa.array(topic[cut].astype(np.int8)), pa.array(n[cut].astype(np.int32)), pa.array(lead[cut])], ["block", "hash", "word", "topic", "n", "lead"])
 
     return run
 
@@ -235,10 +231,12 @@ def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             continue
         t = pa.Table.from_batches(rest).combine_chunks()
         head = t.column("head").to_numpy()
-        cut = int(np.argmax(head == head[-1]))
-        if cut:
-            yield piece(t[:cut])
-            t = t[cut:]
+        edge, done = np.flatnonzero(head[1:] != head[:-1]) + 1, 0
+        for at, cut in zip(edge, np.append(edge[1:], len(head)), strict=True):
+            if at - done > 0 and cut - done > PIECE or cut == len(head):
+                yield piece(t[done:at])
+                done = at
+        t = t[done:]
         rest, held = t.to_batches(), len(t)
         enough = max(PIECE, 2 * held)
     if held:
@@ -248,184 +246,183 @@ def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 _PIECES = "hashes array<long>, words binary, counts array<long>, n long, known long"
 
 
-class Decisions:
-    """All binary decisions of some words (symbol strings one after another, ascending), in rows of BITS for each symbol."""
+class Trie:
+    """The binary decisions of some words (symbol strings one after another, ascending), one node for each distinct beginning.
+
+    Each node has zeros and ones by distinct words and by topic after its
+    beginning among these words: columns of `counts`, zeros first. A word's
+    decisions are nodes `node` with the bits `bit`, from `start` on.
+    """
 
     def __init__(self, words: bytes, counts: np.ndarray):
         flat = np.frombuffer(words, np.uint8)
         stop = np.flatnonzero(flat == CLOSE) + 1
-        self.size = np.diff(stop, prepend=0)
-        self.start = stop - self.size
+        size = np.diff(stop, prepend=0)
+        begin = stop - size
         n = len(stop)
-        self.word = np.repeat(np.arange(n), self.size)
-        place = np.arange(len(flat)) - self.start[self.word]
-        level = np.arange(BITS)
-        self.bit = ((flat[:, None] >> (BITS - 1 - level)) & 1).astype(bool)
-        node = _NODE[(1 << level) | (flat[:, None].astype(np.int64) >> (BITS - level))]
-        self.counts = counts.reshape(n, TOPICS)
-        context, contexts = np.zeros(len(flat), np.uint64), {}
-        for k in range(1, max(ORDERS) + 1):
-            before = np.where(place >= k, np.concatenate([np.zeros(k, np.uint8), flat])[: len(flat)] + 1, 0).astype(np.uint64)
-            context = context | before << np.uint64(6 * (k - 1))
-            contexts[k] = context | np.uint64(k << 40)
-        self.hashes = [X.mix(contexts[k])[:, None] ^ node for k in ORDERS]
-        # where a byte without symbol is among the first, longer beginnings are in the table too
-        first = np.minimum.reduceat(np.where(flat == ESCAPE, place, 1 << 40), self.start) if n else place
-        short = np.where(first < SHORT, SHORT_ESCAPED, SHORT)[self.word]
-        self.short = place < short
-        begin = np.full(len(flat), 7, np.uint64)
-        for k in range(1, SHORT_ESCAPED):
-            more = np.where(place >= k, np.concatenate([np.zeros(k, np.uint8), flat])[: len(flat)] + 1, 0).astype(np.uint64)
-            begin = X.mix(begin + more * X._K[k % 5])
-        self.begin = (X.mix(begin + place.astype(np.uint64)))[:, None] ^ node
-        self._count_long(flat, place)
-
-    def _count_long(self, flat: np.ndarray, place: np.ndarray) -> None:
-        """Zeros and ones after each longer beginning among these words: by distinct words, then by topic."""
-        n = len(self.size)
-        weights = np.vstack([(self.counts.sum(axis=1) > 0), self.counts.T]).astype(np.float32)
-        own = weights[:, self.word]
+        counts = counts.reshape(n, TOPICS)
+        self.total, self.start = counts.sum(axis=1), begin * BITS
+        word = np.repeat(np.arange(n), size)
+        place = np.arange(len(flat)) - begin[word]
+        self.bit = ((flat[:, None] >> (BITS - 1 - np.arange(BITS))) & 1).astype(bool).ravel()
         # bits each word shares with the word before
-        before = np.where(self.word > 0, self.start[self.word - 1] + place, 0)
-        other = np.where((self.word > 0) & (place < self.size[self.word - 1]), flat[np.minimum(before, len(flat) - 1)], 255)
-        lead = BITS - np.ceil(np.log2((flat ^ other).astype(float) + 1)).astype(np.int64)
+        other = np.where((word > 0) & (place < size[word - 1]), flat[np.minimum(np.where(word > 0, begin[word - 1] + place, 0), len(flat) - 1)], 255)
+        lead = BITS - np.ceil(np.log2((flat ^ other).astype(np.float32) + 1)).astype(np.int64)
         differs = np.where(flat != other, place * BITS + np.maximum(lead, 0), 1 << 40)
-        shared = np.minimum.reduceat(differs, self.start) if n else differs
-        shared = np.where(np.arange(n) > 0, shared, -1)
-        after = np.append(shared[1:], -1)
-        deepest = np.maximum(shared, after)
-        # alone below what it shares: its own counts
-        self.n = np.zeros((2, len(weights), len(flat), BITS), np.float32)
-        for b in (0, 1):
-            self.n[b] = own[:, :, None] * (self.bit == bool(b))
-        flat_n = self.n.reshape(2, len(weights), -1)
-        bit = self.bit.reshape(-1)
-        for q in range(SHORT * BITS, int(deepest.max(initial=-1)) + 1):
+        shared = np.where(np.arange(n) > 0, np.minimum.reduceat(differs, begin), -1)
+        deepest = np.maximum(shared, np.append(shared[1:], -1))
+        depth = (place[:, None] * BITS + np.arange(BITS)).ravel()
+        new = np.flatnonzero(depth > np.repeat(shared[word], BITS))
+        self.node = np.empty(len(depth), np.int32)
+        self.node[new] = np.arange(len(new))
+        # words first to last share the beginning, those from middle on go on with a one
+        first = word[new // BITS]
+        middle, last = first + ~self.bit[new], first + 1
+        for q in range(int(deepest.max(initial=-1)) + 1):
             act = np.flatnonzero(deepest >= q)
-            at = self.start[act] * BITS + q
+            at = self.start[act] + q
             group = np.flatnonzero(shared[act] < q)
-            of = np.repeat(np.arange(len(group)), np.diff(np.append(group, len(act))))
-            w, ones = weights[:, act], bit[at]
-            flat_n[1][:, at] = np.add.reduceat(w * ones, group, axis=1)[:, of]
-            flat_n[0][:, at] = np.add.reduceat(w * ~ones, group, axis=1)[:, of]
+            length = np.diff(np.append(group, len(act)))
+            own = self.node[at[group]]
+            middle[own] = act[group] + np.add.reduceat(~self.bit[at], group, dtype=np.int64)
+            last[own] = act[group] + length
+            self.node[at] = np.repeat(own, length)
+        weights = np.column_stack([self.total > 0, counts])
+        total = np.vstack([np.zeros((1, weights.shape[1]), np.int64), np.cumsum(weights, axis=0, dtype=np.int64)])
+        part = total[middle]
+        self.counts = np.hstack([part - total[first], total[last] - part]).astype(np.float32)
+
+        symbol, level = np.divmod(new, BITS)
+        within = _NODE[(1 << level) | (flat[symbol].astype(np.int64) >> (BITS - level))]
+        context, self.hashes = np.zeros(len(flat), np.uint64), []
+        for k in range(1, max(ORDERS) + 1):
+            before = np.where(place >= k, np.concatenate([np.zeros(k, np.uint8), flat])[: len(flat)] + 1, 0).astype(np.uint64)
+            context = context | before << np.uint64(6 * (k - 1))
+            if k in ORDERS:
+                self.hashes.append(X.mix(context | np.uint64(k << 40))[symbol] ^ within)
+        # where a byte without symbol is among the first, longer beginnings are in the table too
+        escape = np.minimum.reduceat(np.where(flat == ESCAPE, place, 1 << 40), begin)
+        self.short = (place < np.where(escape < SHORT, SHORT_ESCAPED, SHORT)[word])[symbol]
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((flat + np.uint64(1)) * X.powers(len(flat)))])
+        whole = X.mix((sums[:-1] - sums[begin][word]) * X.powers(len(flat) + 1, True)[begin][word] + place.astype(np.uint64))
+        self.hashes.append(whole[symbol[self.short]] ^ within[self.short])
 
     def slots(self, table: int, slots: int) -> np.ndarray:
-        return ((self.hashes[table] if table < len(ORDERS) else self.begin) & np.uint64(slots - 1)).astype(np.int64)
-
-    def seen_by(self, table: int, rows: np.ndarray, slots: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """(place among the table's counts, slots, counts) of both bits of the words that count: contexts by distinct words, short beginnings by all."""
-        known = self.counts.sum(axis=1) > 0
-        keep = rows & known[self.word]
-        slot = self.slots(table, slots)[keep].ravel()
-        bit = self.bit[keep].ravel()
-        kinds = [known, *self.counts.T] if table == len(ORDERS) else [known]
-        for i, weight in enumerate(kinds):
-            w = np.repeat(weight[self.word[keep]].astype(float), BITS)
+        """Slots of the nodes in a table of contexts, or of the short nodes in the last one."""
+        return (self.hashes[table] & np.uint64(slots - 1)).astype(np.int64)
+
+    def add_to(self, tables: np.ndarray) -> None:
+        """Count contexts by distinct words, short beginnings also by topic."""
+        slots, width = len(tables) // KINDS, 1 + TOPICS
+        for table in range(len(ORDERS)):
+            part = tables[2 * table * slots : 2 * (table + 1) * slots].reshape(slots, 2)
             for b in (0, 1):
-                here = (bit == bool(b)) & (w > 0)
-                yield 2 * i + b, slot[here], w[here]
+                part[:, b] += np.bincount(self.slots(table, slots), self.counts[:, b * width], slots).astype(np.float32)
+        part, at = tables[2 * len(ORDERS) * slots :].reshape(slots, -1), self.slots(len(ORDERS), slots)
+        for i in range(2 * width):
+            part[:, i] += np.bincount(at, self.counts[self.short, i], slots).astype(np.float32)
 
 
-#: Counts of each slot: a zero and a one for each context, then for short beginnings by distinct words and by topic.
+#: Counts of each slot in the tables, which lie one after another: a zero and a one for each context; for short beginnings zeros by distinct words and by topic, then ones.
 KINDS = 2 * len(ORDERS) + 2 * (1 + TOPICS)
 
 
 def _counted(slots: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = np.zeros((KINDS, slots), np.float32)
-        for d, _ in _decisions(batches):
-            for table in range(len(ORDERS) + 1):
-                rows = d.short if table == len(ORDERS) else np.ones(len(d.word), bool)
-                for kind, slot, n in d.seen_by(table, rows, slots):
-                    tables[2 * table + kind] += np.bincount(slot, n, slots).astype(np.float32)
-        kind, slot = np.nonzero(tables)
-        n = tables[kind, slot].astype(np.float64)
-        for i in range(0, len(kind), 1 << 18):
-            cut = slice(i, i + (1 << 18))
-            yield pa.RecordBatch.from_arrays([pa.array((kind[cut] * slots + slot[cut]).astype(np.int32)), pa.array(n[cut])], ["at", "n"])
+        tables = np.zeros(KINDS * slots, np.float32)
+        for trie, _ in _tries(batches):
+            trie.add_to(tables)
+        at = np.flatnonzero(tables)
+        for i in range(0, len(at), 1 << 18):
+            some = at[i : i + (1 << 18)]
+            yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(tables[some])], ["at", "n"])
 
     return run
 
 
-def _decisions(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Decisions, np.ndarray]]:
+def _tries(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Trie, np.ndarray]]:
     for batch in batches:
         for hashes, words, counts in zip(batch.column("hashes"), batch.column("words"), batch.column("counts"), strict=True):
-            yield Decisions(words.as_py(), counts.values.to_numpy()), hashes.values.to_numpy()
+            yield Trie(words.as_py(), counts.values.to_numpy()), hashes.values.to_numpy()
 
 
 def _odds(n0: np.ndarray, n1: np.ndarray, small: float) -> np.ndarray:
     return np.log((n1 + np.float32(small)) / (n0 + np.float32(small)))
 
 
+def _level(n: np.ndarray) -> np.ndarray:
+    """log2(n + 1), rounded down."""
+    return ((n + np.float32(1)).view(np.int32) >> 23) - 127
+
+
 class Predictors:
-    """Log odds of each predictor for some decisions, and the gates; `without`: topics to leave one occurrence out of, or None."""
-
-    def __init__(self, d: Decisions, tables: np.ndarray, without: np.ndarray | None):
-        self.d, slots = d, tables.shape[1]
-        first = 2 * len(ORDERS)
-        self.out = None if without is None else d.bit
-        alone = None if without is None else (d.counts.sum(axis=1) == 1).astype(np.float32)[d.word][:, None]
-        one = None if without is None else np.ones((len(d.word), 1), np.float32)
-        self.shared = []
-        for i in range(len(ORDERS)):
-            slot = d.slots(i, slots)
-            n0, n1 = self._left_out(tables[2 * i][slot], tables[2 * i + 1][slot], alone)
-            self.shared.append(_odds(n0, n1, 0.1))
-        self.five = np.minimum(np.log2(n0 + n1 + 1) / 2, 3).astype(np.int32)
-        begin = d.slots(len(ORDERS), slots)
-        short = d.short[:, None]
-        self.begin = [[np.where(short, tables[first + 2 * i + b][begin], d.n[b, i]) for b in (0, 1)] for i in range(1 + TOPICS)]
-        self.shared.append(_odds(*self._left_out(*self.begin[0], alone), 0.3))
-        total = [sum(self.begin[1 + k][b] for k in range(TOPICS)) for b in (0, 1)]
-        self.shared.append(_odds(*self._left_out(*total, one), 0.02))
-        self.without = without
-
-    def _left_out(self, n0: np.ndarray, n1: np.ndarray, less: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
-        if less is None:
-            return n0, n1
-        return np.maximum(np.where(self.out, n0, n0 - less), 0), np.maximum(np.where(self.out, n1 - less, n1), 0)
-
-    def of_topic(self, k: int | np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(log odds by the topic's beginnings, gates) for one topic, or a topic for each word."""
-        if isinstance(k, int):
-            n0, n1 = self.begin[1 + k]
-        else:
-            rows = k[self.d.word]
-            n0, n1 = (np.choose(rows[:, None], [self.begin[1 + i][b] for i in range(TOPICS)]) for b in (0, 1))
-        n0, n1 = self._left_out(n0, n1, None if self.without is None else np.ones((len(n0), 1), np.float32))
-        gate = 8 * np.minimum(np.log2(n0 + n1 + 1), LEVELS - 1).astype(np.int32) + 2 * self.five + (np.minimum(n0, n1) == 0)
-        return _odds(n0, n1, 0.02), gate
+    """Log odds of each predictor at a trie's nodes, and the gates."""
+
+    def __init__(self, trie: Trie, tables: np.ndarray):
+        slots = len(tables) // KINDS
+        self.contexts = [tables[2 * i * slots : 2 * (i + 1) * slots].reshape(slots, 2)[trie.slots(i, slots)].T.copy() for i in range(len(ORDERS))]
+        begin = trie.counts.copy()
+        begin[trie.short] = tables[2 * len(ORDERS) * slots :].reshape(slots, -1)[trie.slots(len(ORDERS), slots)]
+        self.begin = np.ascontiguousarray(begin.T).reshape(2, 1 + TOPICS, -1)
+        self.total = self.begin[:, 1:].sum(axis=1)
+        self.five = 2 * np.minimum(_level(self.contexts[-1][0] + self.contexts[-1][1]) >> 1, 3)
+
+    def shared(self) -> list[np.ndarray]:
+        """Log odds that don't depend on the topic."""
+        return [*(_odds(*n, 0.1) for n in self.contexts), _odds(*self.begin[:, 0], 0.3), _odds(*self.total, 0.02)]
+
+    def gate(self, n0: np.ndarray, n1: np.ndarray, five: np.ndarray) -> np.ndarray:
+        return 8 * np.minimum(_level(n0 + n1), LEVELS - 1) + five + (np.minimum(n0, n1) == 0)
+
+    def of_topic(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """(log odds by the topic's beginnings, gates)."""
+        n0, n1 = self.begin[:, 1 + k]
+        return _odds(n0, n1, 0.02), self.gate(n0, n1, self.five)
+
+    def left_out(self, node: np.ndarray, bit: np.ndarray, topic: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+        """(log odds that the bit is right, gates) of decisions of the given nodes and topics as if one such occurrence were not counted."""
+        size = self.begin.shape[2]
+        right, wrong = bit * size + node, (1 - bit) * size + node
+        many = self.total.ravel()[right]
+        # a distinct word goes where its occurrence is the only one
+        alone = (many == 1).astype(np.float32)
+        kinds = self.begin[:, 0].ravel()
+        own = [self.begin[b, 1 + topic, node] for b in (bit, 1 - bit)]
+        own[0] = np.maximum(own[0] - 1, 0)
+        x = [_odds(n.ravel()[wrong], np.maximum(n.ravel()[right] - alone, 0), 0.1) for n in self.contexts]
+        x += [_odds(kinds[wrong], kinds[right] - alone, 0.3), _odds(self.total.ravel()[wrong], many - 1, 0.02), _odds(own[1], own[0], 0.02)]
+        return x, self.gate(*own, self.five[node])
 
 
 def mixed(x: list[np.ndarray], gate: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    """The mixer's log odds."""
-    out = weights[:, INPUTS][gate]
-    for i in range(INPUTS):
-        out += weights[:, i][gate] * x[i]
+    """The mixer's log odds; the last of x is what stands for one, or is left out."""
+    columns = np.ascontiguousarray(weights.T)
+    out = columns[0][gate] * x[0]
+    for i in range(1, len(x)):
+        out += columns[i][gate] * x[i]
+    if len(x) == INPUTS:
+        out += columns[INPUTS][gate]
     return np.clip(out, -16, 16)
 
 
-def train(d: Decisions, tables: np.ndarray, hashes: np.ndarray, weights: np.ndarray, square: np.ndarray, seen: np.ndarray) -> None:
-    """Refine weights online over the occurrences of a piece's words, mixed, some hundred words at a step."""
-    topic = d.counts.argmax(axis=1)
-    predictors = Predictors(d, tables, topic)
-    own, gate = predictors.of_topic(topic)
-    x = [*predictors.shared, own]
-    total = d.counts.sum(axis=1)
-    # a frequent word comes in several steps, so that each step is like the texts
-    times = -(-total // STEP_COUNT)
+def train(trie: Trie, tables: np.ndarray, weights: np.ndarray, square: np.ndarray, seen: np.ndarray) -> None:
+    """Refine weights online over the occurrences that pass a piece's nodes, mixed, some thousand decisions at a step."""
+    predictors, n = Predictors(trie, tables), trie.counts.reshape(-1, 2, 1 + TOPICS)[:, :, 1:]
+    node, bit, topic = np.nonzero(n)
+    total = n[node, bit, topic]
+    # frequent ones come in several steps, so that each step is like the texts
+    times = np.ceil(total / STEP_COUNT).astype(np.int64)
     turn = np.repeat(np.arange(len(total)), times)
-    turn = turn[np.argsort(X.mix(hashes[turn] + np.arange(len(turn), dtype=np.uint64) * X._K[0]), kind="stable")]
-    weight = (total / np.maximum(times, 1)).astype(np.float32)
-    for s in range(0, len(turn), STEP_WORDS):
-        words = turn[s : s + STEP_WORDS]
-        size = d.size[words]
-        rows = np.repeat(d.start[words] - np.cumsum(size) + size, size) + np.arange(size.sum())
-        g, w = gate[rows].ravel(), np.repeat(weight[d.word[rows]], BITS)
-        xs = [y[rows].ravel() for y in x]
-        error = (1 / (1 + np.exp(-mixed(xs, g, weights))) - d.bit[rows].ravel()) * w
-        mass = np.bincount(g, w, GATES)
-        slope = np.stack([*(np.bincount(g, error * y, GATES) for y in xs), np.bincount(g, error, GATES)], axis=1) / np.maximum(mass, 1)[:, None]
+    turn = turn[np.argsort(X.mix(np.arange(len(turn), dtype=np.uint64)))]
+    weight = (total / times).astype(np.float32)
+    for s in range(0, len(turn), STEP_ROWS):
+        rows = turn[s : s + STEP_ROWS]
+        b, w = bit[rows], weight[rows]
+        x, gate = predictors.left_out(node[rows], b, topic[rows])
+        x.append((2 * b - 1).astype(np.float32))
+        error = (1 / (1 + np.exp(-mixed(x, gate, weights))) - 1) * w
+        mass = np.bincount(gate, w, GATES)
+        slope = np.stack([np.bincount(gate, error * y, GATES) for y in x], axis=1) / np.maximum(mass, 1)[:, None]
         square += slope**2
         weights -= (STEP * slope / np.sqrt(square)).astype(np.float32)
         seen += mass
@@ -437,23 +434,26 @@ def _trained(tables: Broadcast):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights = first_weights()
         square, seen = np.full(weights.shape, 1e-3), np.zeros(GATES)
-        for d, h in _decisions(batches):
-            train(d, tables.value, X.unsigned(h), weights, square, seen)
+        for trie, _ in _tries(batches):
+            train(trie, tables.value, weights, square, seen)
         gates = np.repeat(np.arange(GATES), INPUTS + 1)
         yield pa.RecordBatch.from_arrays([pa.array(gates), pa.array(np.tile(np.arange(INPUTS + 1), GATES)), pa.array(weights.ravel().astype(np.float64) * seen[gates]), pa.array(seen[gates])], ["gate", "input", "total", "seen"])
 
     return run
 
 
-def word_log10(d: Decisions, tables: np.ndarray, weights: np.ndarray) -> np.ndarray:
+def word_log10(trie: Trie, tables: np.ndarray, weights: np.ndarray) -> np.ndarray:
     """log10 probability of each word under each topic."""
-    out = np.zeros((len(d.size), TOPICS))
-    predictors = Predictors(d, tables, None)
-    sign = np.where(d.bit, np.float32(-1), np.float32(1))
+    out = np.zeros((len(trie.start), TOPICS))
+    predictors = Predictors(trie, tables)
+    shared, at = predictors.shared(), trie.node * 2 + trie.bit
+    bits = np.empty((len(trie.counts), 2), np.float32)
     for k in range(TOPICS):
         own, gate = predictors.of_topic(k)
-        bits = np.log1p(np.exp(sign * mixed([*predictors.shared, own], gate, weights)))
-        out[:, k] = np.add.reduceat(bits.sum(axis=1), d.start) / -np.log(10) if len(d.size) else 0
+        odds = mixed([*shared, own], gate, weights)
+        bits[:, 0] = np.log1p(np.exp(odds))
+        bits[:, 1] = bits[:, 0] - odds
+        out[:, k] = np.add.reduceat(bits.ravel()[at], trie.start, dtype=np.float64) / -np.log(10)
     return out
 
 
@@ -461,9 +461,9 @@ def _word_scores(tables: Broadcast, weights: np.ndarray):
     """(hash, n, log10 probabilities by topic in thousandths, as 32-bit integers) of each word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for d, h in _decisions(batches):
-            raw = np.round(word_log10(d, tables.value, weights) * 1000).astype("<i4")
-            yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(d.counts.sum(axis=1)), pa.array([x.tobytes() for x in raw], pa.binary())], ["hash", "n", "logp"])
+        for trie, h in _tries(batches):
+            raw = np.round(word_log10(trie, tables.value, weights) * 1000).astype("<i4")
+            yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(trie.total), pa.array([x.tobytes() for x in raw], pa.binary())], ["hash", "n", "logp"])
 
     return run
 
@@ -564,39 +564,37 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     spark = docs.sparkSession
     held = F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 10 == 0, F.lit(True))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), _blocks(docs, id_col, text_col).alias("block"), held.alias("held"))
-    # the topics' texts are their ends, which count like words
-    centres, by_topic, ends = _topics(rows.where("not held").select("text"))
-    local = written(rows.select("text", "block", (~F.col("held")).alias("learn")).mapInArrow(_dictionary(centres), "block long, hash long, word binary, topic byte, n int"))
-    end_rows = spark.createDataFrame([(int(X.signed(np.array([END]))[0]), bytes([CLOSE]), k, int(n)) for k, n in enumerate(ends)], "hash long, word binary, topic byte, n int")
+    centres = _topics(rows.where("not held").select("text"))
+    local = written(rows.select("text", "block", (~F.col("held")).alias("learn")).mapInArrow(_dictionary(centres), "block long, hash long, word binary, topic byte, n int, lead boolean"))
     head = F.when(F.instr(F.substring("word", 1, SHORT).cast("string"), chr(ESCAPE)) > 0, F.substring("word", 1, SHORT_ESCAPED)).otherwise(F.substring("word", 1, SHORT))
-    sorted_ = local.select("hash", "word", "topic", "n").unionByName(end_rows).withColumn("head", F.xxhash64(head)).repartition("head").sortWithinPartitions("head", "word")
+    sorted_ = local.select("hash", "word", "topic", "n").withColumn("head", F.xxhash64(head)).repartition("head").sortWithinPartitions("head", "word")
     pieces = written(sorted_.mapInArrow(_pieces, _PIECES))
-    total = pieces.agg(F.sum("n").alias("n"), F.sum("known").alias("known"), F.sum(F.size("hashes")).alias("words")).first()
+    by_topic = F.array(*(F.aggregate(F.sequence(F.lit(k), F.size("counts") - 1, F.lit(TOPICS)), F.lit(0).cast("long"), lambda s, i: s + F.get("counts", i)) for k in range(TOPICS)))
+    total = pieces.select("n", "known", F.size("hashes").alias("words"), by_topic.alias("k")).agg(F.sum("n").alias("n"), F.sum("known").alias("known"), F.sum("words").alias("words"), *(F.sum(F.col("k")[k]).alias(f"k{k}") for k in range(TOPICS))).first()
     n_train, kinds = total["n"] or 0, total["known"] or 0
 
-    slots = 1 << max(min(total["words"] // 4, MOST_SLOTS), LEAST_SLOTS).bit_length() - 1
-    counted = pieces.mapInArrow(_counted(slots), "at int, n double").groupBy("at").agg(F.sum("n").alias("n"))
-    tables = spark.sparkContext.broadcast(dense(counted, KINDS * slots).reshape(KINDS, slots))
+    slots = 1 << max(min((total["words"] or 0) // 4, MOST_SLOTS), LEAST_SLOTS).bit_length() - 1
+    counted = pieces.mapInArrow(_counted(slots), "at int, n float").groupBy("at").agg(F.sum("n").alias("n"))
+    tables = spark.sparkContext.broadcast(dense(counted, KINDS * slots))
     weights = first_weights()
     for r in pieces.mapInArrow(_trained(tables), "gate long, input long, total double, seen double").groupBy("gate", "input").agg(F.try_divide(F.sum("total"), F.sum("seen")).alias("w")).collect():
         if r["w"] is not None and r["w"] == r["w"]:
             weights[r["gate"], r["input"]] = round(r["w"], 4)
     scores = pieces.mapInArrow(_word_scores(tables, weights), "hash long, n long, logp binary")
-    lookup = local.select("block", "hash").distinct().join(scores, "hash").select("block", "hash", "n", "logp")
-    end_logp = word_log10(Decisions(bytes([CLOSE]), ends), tables.value, weights)
-    prior = (by_topic + 1) / (by_topic + 1).sum()
+    lookup = local.where("lead").select("block", "hash").join(scores, "hash").select("block", "hash", "n", "logp")
+    prior = np.array([(total[f"k{k}"] or 0) + 1.0 for k in range(TOPICS)])
+    prior /= prior.sum()
     unit = n_train + 0.1 * (kinds + 1)
 
     def score(texts: pa.Table, found: pa.Table) -> pa.Table:
         h = X.unsigned(found["hash"].to_numpy())
-        raw = found["logp"].combine_chunks().cast(pa.binary())
-        logp = np.frombuffer(b"".join(raw.to_pylist()), "<i4").reshape(-1, TOPICS) / 1000
-        h, n, logp = np.append(h, END), np.append(found["n"].to_numpy(), ends.sum()), np.vstack([logp, end_logp])
-        sort = np.argsort(h)
-        h, n, logp = h[sort], n[sort], logp[sort]
+        logp = [np.frombuffer(x.buffers()[2] or b"", "<i4")[np.frombuffer(x.buffers()[1], np.int32)[x.offset] // 4 :][: len(x) * TOPICS] for x in found["logp"].chunks if len(x)]
+        logp = np.concatenate([*logp, np.zeros(0, "<i4")]).reshape(-1, TOPICS) / np.float32(1000)
+        h, sort = np.unique(h, return_index=True)
+        n, logp = found["n"].to_numpy()[sort], logp[sort]
         base = np.log10((n + 0.1) / unit)
         parts = []
-        for c in X.chunks(texts["text"]):
+        for c in X.chunks(texts["text"], 1 << 19):
             w = X.words(c)
             token = np.insert(w.hash, w.word_offsets[1:], END)
             size = np.diff(w.word_offsets) + 1

@@ -208,28 +208,31 @@ def begun(words, counts, i, place, level):
     return out
 
 
-def test_longer_beginnings_are_counted_exactly():
+def test_beginnings_are_counted_exactly():
     rng = random.Random(3)
     words = symbol_words(rng, 40)
     counts = np.random.default_rng(1).integers(0, 3, (len(words), mixing.TOPICS))
-    d = mixing.Decisions(b"".join(words), counts)
+    trie = mixing.Trie(b"".join(words), counts)
+    nodes = set()
     for i, w in enumerate(words):
-        for place in range(mixing.SHORT_ESCAPED if 31 in w[:4] else mixing.SHORT, len(w)):
+        for place in range(len(w)):
             for level in range(5):
-                assert (d.n[:, :, d.start[i] + place, level] == begun(words, counts, i, place, level)).all(), (w, place, level)
+                at = trie.start[i] + 5 * place + level
+                assert (trie.counts[trie.node[at]].reshape(2, -1) == begun(words, counts, i, place, level)).all(), (w, place, level)
+                assert trie.bit[at] == w[place] >> (4 - level) & 1
+                nodes.add((w[:place], level, w[place] >> (5 - level)))
+    assert len(nodes) == len(trie.counts)
 
 
 def test_word_scores_match_a_plain_mixer():
     rng = random.Random(4)
     words = symbol_words(rng, 7)
     counts = np.random.default_rng(2).integers(0, 3, (len(words), mixing.TOPICS))
-    d, slots = mixing.Decisions(b"".join(words), counts), 1 << 22
-    tables = np.zeros((mixing.KINDS, slots), np.float32)
-    for table in range(len(mixing.ORDERS) + 1):
-        for kind, slot, n in d.seen_by(table, d.short if table == len(mixing.ORDERS) else np.ones(len(d.word), bool), slots):
-            np.add.at(tables[2 * table + kind], slot, n)
+    trie = mixing.Trie(b"".join(words), counts)
+    tables = np.zeros(mixing.KINDS << 22, np.float32)
+    trie.add_to(tables)
     weights = np.random.default_rng(5).random((mixing.GATES, mixing.INPUTS + 1)).astype(np.float32) / 4
-    got = mixing.word_log10(d, tables, weights)
+    got = mixing.word_log10(trie, tables, weights)
 
     def context(w, place, k):
         return (min(place, k), w[max(place - k, 0) : place])
@@ -273,10 +276,16 @@ def test_probabilities_of_what_comes_next_sum_to_one():
         assert total == pytest.approx(1)
 
 
+def test_symbols():
+    data = np.frombuffer("ab9é .x".encode(), np.uint8)
+    assert mixing.symbols(data, np.array([0, 6, 0]), np.array([5, 8, 0])).to_pylist() == [bytes([0, 1, 31, 3, 9, 30, 31, 10, 9, 26]), bytes([27, 23, 26]), bytes([26])]
+
+
 def test_scores_beat_the_base_on_texts_of_two_topics(spark):
     rng = random.Random(7)
-    parts = [["".join(rng.choices(letters, k=3)) for _ in range(30)] for letters in ("aeiostrn", "ouklmpbd")]
-    docs = [(i, " ".join(rng.choice(parts[i % 2]) + rng.choice(parts[i % 2][:5] + [""] * 5) for _ in range(rng.randint(30, 120)))) for i in range(400)]
+    parts = [["".join(rng.choices(letters, k=rng.randint(2, 4))) for _ in range(40)] for letters in ("aeiostrn", "ouklmpbd")]
+    # as in languages, a few words are half of a text
+    docs = [(i, " ".join(rng.choice(parts[i % 2][:4] if rng.random() < 0.5 else parts[i % 2]) + rng.choice(["", "", parts[i % 2][5]]) for _ in range(rng.randint(40, 120)))) for i in range(400)]
     got = score_texts(spark.createDataFrame(docs, "doc_id long, text string")).where("held_out").toPandas()
     assert got.score.sum() > 0.97 * got.base_score.sum() and (got.score > got.base_score).mean() > 0.8
     assert np.allclose(got.bits_per_byte, [-s * np.log2(10) / len(docs[i][1]) for i, s in zip(got.doc_id, got.score, strict=True)])
