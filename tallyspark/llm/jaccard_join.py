@@ -12,7 +12,8 @@ n-word shingles. The plan:
    different provisional components that pass the size and parity-bitmap
    bounds are candidates. Pairs inside a component are never made.
 4. The candidates must also share a prefix shingle under two more orders (by
-   two independent hashes); those left are verified on the whole sets.
+   two independent hashes). Only prefixes are shipped for that; the whole sets
+   go only to the pairs left, which are verified on them.
 5. Components over star links and verified links.
 
 Both bounds are exact (they never drop a link): the bitmap holds the parity of
@@ -77,10 +78,12 @@ def _features(ngram: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            seen = []
+            often: list[tuple[np.ndarray, np.ndarray]] = []
             for c in X.chunks(batch.column("text")):
                 text, h = X.shingles(X.words(c), c.n, ngram)
-                seen.append(h)
+                if len(h):
+                    again, k = np.unique(h, return_counts=True)
+                    often.append((again[k > 1], k[k > 1]))
                 n = np.bincount(text, minlength=c.n)
                 at = np.concatenate([[0], np.cumsum(n)])[:-1]
                 full = n > 0
@@ -94,7 +97,8 @@ def _features(ngram: int):
                     [batch.column("id").slice(c.first, c.n), pa.array(np.ones(c.n, bool)), pa.array(n.astype(np.int64)), out["fp1"], out["fp2"], pa.array(_parity(text, h, n), pa.binary()), out["m0"], out["m1"], pa.nulls(c.n, pa.list_(pa.int64())), pa.nulls(c.n, pa.list_(pa.int64()))],
                     ["id", "is_text", "n", "fp1", "fp2", "bitmap", "m0", "m1", "common", "counts"],
                 )
-            h, k = np.unique(np.concatenate(seen), return_counts=True) if seen else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+            h, which = np.unique(np.concatenate([np.zeros(0, np.uint64), *(x[0] for x in often)]), return_inverse=True)
+            k = np.bincount(which, np.concatenate([np.zeros(0), *(x[1] for x in often)]), len(h))
             h, k = h[k > 3], k[k > 3]
             null = pa.nulls(1, pa.int64())
             yield pa.RecordBatch.from_arrays(
@@ -135,26 +139,41 @@ def _sets(ngram: int, wanted: np.ndarray):
             ids, texts = batch.column("id").take(pa.array(keep)), batch.column("text").take(pa.array(keep))
             for c in X.chunks(texts):
                 text, h = X.shingles(X.words(c), c.n, ngram)
-                yield pa.RecordBatch.from_arrays([ids.slice(c.first, c.n), X.list_column(X.signed(h), np.concatenate([[0], np.cumsum(np.bincount(text, minlength=c.n))]))], ["id", "hashes"])
+                yield pa.RecordBatch.from_arrays([ids.slice(c.first, c.n), X.list_column(X.signed(h), np.concatenate([[0], np.cumsum(np.bincount(text, minlength=c.n))]))], ["id", "set"])
+
+    return run
+
+
+def _orders(ngram: int, num: int, den: int, wanted: np.ndarray):
+    """(id, prefixes under the second and third order) of the texts whose id may be wanted."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = pa.array(np.flatnonzero(has_bit(wanted, batch.column("slot").to_numpy(zero_copy_only=False))))
+            ids, texts = batch.column("id").take(keep), batch.column("text").take(keep)
+            for c in X.chunks(texts):
+                text, h = X.shingles(X.words(c), c.n, ngram)
+                n = np.bincount(text, minlength=c.n)
+                size = np.where(n > 0, prefix_length(n, num, den), 0)
+                rank = np.arange(len(h)) - np.concatenate([[0], np.cumsum(n)])[text]
+                out = []
+                for seed in _SEEDS[:2]:
+                    key = X.mix(h ^ seed)
+                    out.append(X.list_column(X.signed(h[np.lexsort((key, text))][rank < size[text]]), np.concatenate([[0], np.cumsum(size)])))
+                yield pa.RecordBatch.from_arrays([ids.slice(c.first, c.n), *out], ["id", "second", "third"])
 
     return run
 
 
 def _verify(num: int, den: int):
-    """Candidate pairs with their sets: shared prefix shingles under two hash orders first, then the whole sets."""
+    """Candidate pairs with their whole sets: those that link."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             good = np.zeros(len(f), bool)
             for i, (a, b) in enumerate(zip(f["set_a"], f["set_b"], strict=True)):
-                a, b = X.unsigned(a), X.unsigned(b)
-                for seed in _SEEDS[:2]:
-                    x, y = (np.sort(X.mix(s ^ seed))[: prefix_length(len(s), num, den)] for s in (a, b))
-                    if not len(np.intersect1d(x, y, True)):
-                        break
-                else:
-                    both = len(np.intersect1d(a, b, True))
-                    good[i] = den * both >= num * (len(a) + len(b) - both)
+                both = len(np.intersect1d(a, b, True))
+                good[i] = den * both >= num * (len(a) + len(b) - both)
             yield f.loc[good, ["a", "b"]]
 
     return run
@@ -209,14 +228,24 @@ def _pairs(num: int, den: int):
 
 def verified(docs: DataFrame, pairs: DataFrame, ngram: int, num: int, den: int) -> DataFrame:
     """The pairs (a, b) whose sets link; pairs must be a materialised table."""
-    ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    spark = docs.sparkSession
-    wanted = spark.sparkContext.broadcast(wanted_ids(ids))
-    ngram_sets = lambda it: _sets(ngram, wanted.value)(it)
-    sets = docs.select("id", "text", id_slot("id").alias("slot")).where("id is not null").mapInArrow(ngram_sets, "id long, hashes array<long>").join(ids, "id", "left_semi").dropDuplicates(["id"])
-    with_a = pairs.join(sets.select(F.col("id").alias("a"), F.col("hashes").alias("set_a")), "a")
-    both = with_a.join(sets.select(F.col("id").alias("b"), F.col("hashes").alias("set_b")), "b").select("a", "b", "set_a", "set_b")
-    return both.mapInPandas(_verify(num, den), "a long, b long")
+
+    def of_texts(pairs: DataFrame, give, columns: str) -> DataFrame:
+        """give(sketch of wanted ids) over the texts of the pairs, one row an id."""
+        ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+        wanted = docs.sparkSession.sparkContext.broadcast(wanted_ids(ids))
+        rows = docs.where("id is not null").select("id", "text", id_slot("id").alias("slot"))
+        return rows.mapInArrow(lambda it: give(wanted.value)(it), f"id long, {columns}").join(ids, "id", "left_semi").dropDuplicates(["id"])
+
+    def both(pairs: DataFrame, table: DataFrame, *columns: str) -> DataFrame:
+        for end in ("a", "b"):
+            pairs = pairs.join(table.select(F.col("id").alias(end), *(F.col(x).alias(f"{x}_{end}") for x in columns)), end)
+        return pairs
+
+    prefixes = of_texts(pairs, lambda wanted: _orders(ngram, num, den, wanted), "second array<long>, third array<long>")
+    near = both(pairs.select("a", "b"), prefixes, "second", "third").where("arrays_overlap(second_a, second_b) and arrays_overlap(third_a, third_b)")
+    near = checkpointed(near.select("a", "b"))
+    sets = of_texts(near, lambda wanted: _sets(ngram, wanted), "set array<long>")
+    return both(near, sets, "set").select("a", "b", "set_a", "set_b").mapInPandas(_verify(num, den), "a long, b long")
 
 
 def _bounded(pairs: DataFrame, num: int, den: int) -> DataFrame:

@@ -52,6 +52,8 @@ FILTER_BITS = 1 << 26
 _NONE = np.uint64(2**64 - 1)
 _POSITION = np.uint64((1 << 24) - 1)
 _BLOCK = 1 << 22
+#: Bytes of texts looked at together; what repeats among them is combined before it is shuffled.
+CHUNK = 1 << 20
 
 
 def _substring_hashes(c: X.Chunk, total: np.ndarray, start: np.ndarray, size: int) -> np.ndarray:
@@ -94,7 +96,7 @@ def anchors(c: X.Chunk, min_length: int) -> tuple[np.ndarray, np.ndarray, np.nda
 def _anchor_hashes(min_length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for c in X.chunks(batch.column("text")):
+            for c in X.chunks(batch.column("text"), CHUNK):
                 h, k = np.unique(anchors(c, min_length)[1], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(X.signed(h)), pa.array(k.astype(np.int64))], ["h", "k"])
 
@@ -136,7 +138,7 @@ def _slim(min_length: int, repeated: np.ndarray):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for c in X.chunks(batch.column("text")):
+            for c in X.chunks(batch.column("text"), CHUNK):
                 x = _suffixes(batch, c, min_length, repeated)
                 if not len(x.at):
                     continue
@@ -216,7 +218,7 @@ def _contexts(min_length: int, repeated: np.ndarray, wanted: np.ndarray):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for c in X.chunks(batch.column("text")):
+            for c in X.chunks(batch.column("text"), CHUNK):
                 x = _suffixes(batch, c, min_length, repeated)
                 keep = has_bit(wanted, _place_slot(x.id, x.place))
                 for right_half, left, right, key_left, key_right in sides:

@@ -31,7 +31,7 @@ def powers(n: int, inverse: bool = False) -> np.ndarray:
     """The first n powers of the hash base (or its inverse) modulo 2**64."""
     key = "inv" if inverse else "fwd"
     if key not in _powers or len(_powers[key]) < n:
-        size = max(n, 1 << 20)
+        size = max(n, 1 << 19)
         p = np.full(size, _M_INV if inverse else _M, np.uint64)
         p[0] = 1
         _powers[key] = np.multiply.accumulate(p)
@@ -62,7 +62,7 @@ class Chunk:
         return np.searchsorted(self.offsets, positions, side="right") - 1
 
 
-def chunks(column: pa.Array, limit: int = 1 << 20) -> Iterator[Chunk]:
+def chunks(column: pa.Array, limit: int = 1 << 18) -> Iterator[Chunk]:
     """Cut a string column into chunks of at most `limit` bytes, or of one longer text."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
