@@ -232,7 +232,7 @@ def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = pa.Table.from_batches(rest).combine_chunks()
         head = t.column("head").to_numpy()
         edge, done = np.flatnonzero(head[1:] != head[:-1]) + 1, 0
-        for at, cut in zip(edge, np.append(edge[1:], len(head)), strict=True):
+        for at, cut in zip(edge, np.append(edge, len(head))[1:], strict=True):
             if at - done > 0 and cut - done > PIECE or cut == len(head):
                 yield piece(t[done:at])
                 done = at
