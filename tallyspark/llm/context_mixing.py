@@ -315,12 +315,13 @@ class Trie:
         """Count contexts by distinct words, short beginnings also by topic."""
         slots, width = len(tables) // KINDS, 1 + TOPICS
         for table in range(len(ORDERS)):
-            part = tables[2 * table * slots : 2 * (table + 1) * slots].reshape(slots, 2)
             for b in (0, 1):
-                part[:, b] += np.bincount(self.slots(table, slots), self.counts[:, b * width], slots).astype(np.float32)
-        part, at = tables[2 * len(ORDERS) * slots :].reshape(slots, -1), self.slots(len(ORDERS), slots)
-        for i in range(2 * width):
-            part[:, i] += np.bincount(at, self.counts[self.short, i], slots).astype(np.float32)
+                n = self.counts[:, b * width]
+                some = np.flatnonzero(n)
+                np.add.at(tables, (2 * table * slots + b) + 2 * self.slots(table, slots)[some], n[some])
+        at, n = self.slots(len(ORDERS), slots), self.counts[self.short]
+        row, column = np.nonzero(n)
+        np.add.at(tables, 2 * len(ORDERS) * slots + at[row] * (2 * width) + column, n[row, column])
 
 
 #: Counts of each slot in the tables, which lie one after another: a zero and a one for each context; for short beginnings zeros by distinct words and by topic, then ones.
@@ -495,9 +496,11 @@ def matched(h: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         at = np.arange(k, n)
         inside = text[: n - k] == text[k:]
         a, c = at[inside], context[inside]
-        sort = np.lexsort((a, c, text[a]))
-        a, c = a[sort], c[sort]
-        again = np.flatnonzero((c[1:] == c[:-1]) & (text[a[1:]] == text[a[:-1]])) + 1
+        # one key for text and context; equal ones stay in the order of the text
+        key = X.mix(c ^ X.mix(text[a].astype(np.uint64)))
+        sort = np.argsort(key, kind="stable")
+        a, key = a[sort], key[sort]
+        again = np.flatnonzero(key[1:] == key[:-1]) + 1
         last[a[again]], order[a[again]] = a[again - 1], k
     return last, order
 
