@@ -12,14 +12,15 @@ A node that shows the same few texts on most pages gets low importance, and its
 branch is removed from each page of the host. Menus, headers, footers,
 sidebars, notices, adverts, forms, scripts, styles and comments that their
 markup declares go on every page, also where a host has too few pages to tell.
-Inside, only `article` or `main` is kept where a page has one.
+Inside, only `article` or `main` is kept where a page has one; there a class
+declares only as a whole name, so the heading in `article-header` stays.
 
 Rows of a host with the same blocks count as one page, so a copied page is not
 taken for a text that is spread over pages. Copies are found by host and a hash
 of the blocks, then counts are grouped by host, node and text, both combined
 before their shuffles, so a host with a third of all pages is spread over its
-pages, nodes and texts. The few removed nodes of a host are joined back to all
-its rows.
+pages, nodes and texts. The few removed nodes are broadcast to all rows, or, past
+BROADCAST_NODES of them, joined with salted hosts; html is not shuffled by host.
 
 A null page or one without text gives an empty text and 0 characters. A null or
 unreadable url is a host of its own kind, without tree. Repeated rows come back
@@ -53,6 +54,10 @@ _CLOSES = {x: ({x} if x in ("li", "option", "tr") else {"dt", "dd"} if x in ("dt
 _HOLDS = frozenset("ul ol dl table article section main body div td blockquote select nav aside header footer".split())
 _SPACE = re.compile(r"\s+")
 _WORD = re.compile(r"[A-Za-z]+")
+#: What follows a name without changing it: digits.
+_PART = re.compile(r"[0-9]+(?=\s|$)")
+#: Removed nodes of all hosts that are broadcast at most (16 MB); beyond, hosts are salted into so many parts.
+BROADCAST_NODES, SALTS = 1_000_000, 32
 
 
 def _key(*parts: str) -> int:
@@ -108,7 +113,11 @@ def blocks(page: str) -> list[tuple[str, bool, str]]:
             continue
         _, path, dropped, inside = stack[-1]
         names = " ".join(x[1].strip("\"'") for x in _ATTRIBUTE.findall(m[4])).lower() if m[4] else ""
-        dropped = dropped or tag in _DROPPED or tag == "header" and not inside or bool(names) and tag not in ("html", "body", "article", "main") and not _DECLARED.isdisjoint(_WORD.findall(names))
+        if not dropped and tag in _DROPPED or tag == "header" and not inside:
+            dropped = True
+        elif not dropped and names and tag not in ("html", "body", "article", "main"):
+            # inside the article only a whole name declares: its parts may be the article's own words
+            dropped = not _DECLARED.isdisjoint(_PART.sub(" ", names).split() if inside else _WORD.findall(names))
         style = f"{tag}.{re.sub('[0-9]+', '', names)}" if names else tag
         stack.append((tag, f"{path}/{style}" if tag not in _INLINE else path, dropped, inside or tag in ("article", "main")))
     add(page[at:])
@@ -175,5 +184,10 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
                 texts.append(" ".join(x[2] for x in found))
             yield pd.DataFrame({"id": f["id"], "url": f["url"], "text": texts})
 
-    out = rows.join(low, "host", "left").select("id", "url", "html", "low").mapInPandas(cut, f"id {dict(rows.dtypes)['id']}, url string, text string")
+    if (low.agg(F.sum(F.size("low"))).first()[0] or 0) + low.count() <= BROADCAST_NODES:
+        both = rows.join(F.broadcast(low), "host", "left")
+    else:
+        salt = F.pmod(F.xxhash64("id", "url", "html"), F.lit(SALTS)).alias("salt")
+        both = rows.select("*", salt).join(low.withColumn("salt", F.explode(F.array(*(F.lit(i).cast("long") for i in range(SALTS))))), ["host", "salt"], "left")
+    out = both.select("id", "url", "html", "low").mapInPandas(cut, f"id {dict(rows.dtypes)['id']}, url string, text string")
     return out.select(F.col("id").alias(id_col), F.col("url").alias(url_col), "text", F.length("text").cast("long").alias("n_chars"))

@@ -426,6 +426,23 @@ def test_html(spark):
     assert got[100]["text"] == "A & B One two three" and got[101]["text"] == "" and got[102]["text"] == "plain text"
 
 
+def test_html_keeps_article_parts_with_telling_names():
+    page = '<body><div class="social-links">tell</div><article><div class="article-header"><h1>Title</h1></div><p class="social-science">One</p><div class="ad">buy</div><div class="share7">tell</div></article></body>'
+    assert [x[2] for x in blocks(page)] == ["Title", "One"]
+
+
+def test_html_broadcast_and_salted_join_agree(spark, monkeypatch):
+    rows = [(i, f"http://h{i % 3}.org/{i}", f"<body><div><p>Read our other stories</p></div><section><p>text number {i * 7919}</p></section></body>") for i in range(60)]
+    rows += [(60, None, "<p>x</p>"), (61, "http://h0.org/61", None), (None, "http://h0.org/0", rows[0][2])]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({x: F.lit("x") for x in ("host", "low", "salt", "node", "text", "id")})
+    got = [sorted(map(tuple, extract_main_text(frame).collect()), key=str)]
+    monkeypatch.setattr("tallyspark.llm.html_extract.BROADCAST_NODES", -1)
+    got.append(sorted(map(tuple, extract_main_text(frame).collect()), key=str))
+    assert got[0] == got[1] and len(got[0]) == 63
+    assert sum("other stories" in x[2] for x in got[0]) == 0
+    assert extract_main_text(frame.limit(0)).count() == 0
+
+
 def test_html_copies_are_one_page(spark):
     rng = random.Random(8)
 
