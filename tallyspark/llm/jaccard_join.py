@@ -175,6 +175,7 @@ def _verify(num: int, den: int):
                 both = len(np.intersect1d(a, b, True))
                 good[i] = den * both >= num * (len(a) + len(b) - both)
             yield f.loc[good, ["a", "b"]]
+            X.release_memory()
 
     return run
 

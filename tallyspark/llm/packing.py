@@ -35,7 +35,7 @@ from . import textops as X
 from .spark_util import checkpointed
 
 #: Words whose ids a worker keeps from task to task; beyond it starts anew.
-CACHE_WORDS = 1 << 20
+CACHE_WORDS = 1 << 18
 #: Words encoded at a time; an encoding holds much more than its ids.
 BATCH_WORDS = 4096
 
@@ -250,6 +250,7 @@ def packed(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
             at = np.searchsorted(table["key"], (f["length"].to_numpy() << 48) + rank, side="right") - 1
             f = f.assign(sequence_id=table["sequence"][at] + rank - table["rank"][at], offset=table["offset"][at])
             yield f[["id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]]
+        X.release_memory()
 
     out = ranked.join(base, ["part", "length"]).mapInPandas(deal, "id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
     return out.withColumnRenamed("id", id_col)

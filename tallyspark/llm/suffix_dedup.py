@@ -203,8 +203,10 @@ def _whole_groups(frames: Iterator[pd.DataFrame], key: str) -> Iterator[pd.DataF
         if cut:
             yield f.iloc[:cut]
         rest = [f.iloc[cut:]]
+        X.release_memory()
     if rest:
         yield pd.concat(rest)
+    X.release_memory()
 
 
 _CONTEXT = "key long, right_half boolean, id long, at long, l binary, r binary"
@@ -382,6 +384,7 @@ def _cut(give: Give, fields: list[pa.Field]):
                 text, edges = text or b"", [0, *(spans or [])]
                 kept = b"".join([*(text[a:b] for a, b in zip(edges[::2], edges[1::2], strict=False)), text[edges[-1] :]])
                 rows.append(give(text, len(edges) // 2, kept))
+            X.release_memory()
             columns = zip(*rows, strict=True) if rows else [[] for _ in fields]
             yield pa.RecordBatch.from_arrays([batch.column("id"), *(pa.array(x, f.type) for x, f in zip(columns, fields, strict=True))], ["id", *(f.name for f in fields)])
 

@@ -8,6 +8,7 @@ Nulls are treated as empty texts.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -38,6 +39,15 @@ def powers(n: int, inverse: bool = False) -> np.ndarray:
     return _powers[key][:n]
 
 
+def release_memory() -> None:
+    """Give back what this process no longer uses; Python workers live on between tasks, and an executor holds several."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective finaliser of 64-bit values (splitmix64)."""
     x = x.astype(np.uint64, copy=True)
@@ -79,6 +89,7 @@ def chunks(column: pa.Array, limit: int = 1 << 18) -> Iterator[Chunk]:
         last = min(max(last, first + 1), n)
         yield Chunk(first, last - first, raw[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first])
         first = last
+    release_memory()
 
 
 @dataclass
