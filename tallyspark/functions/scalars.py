@@ -22,9 +22,9 @@ def unix_lines(text: Column) -> Column:
 
 
 def slug(text: Column, n: int = 48) -> Column:
-    """Lower-case letters and digits, anything else as single dashes."""
-    dashed = F.regexp_replace(F.regexp_replace(F.lower(text), "[^a-z0-9]+", "-"), "^-|-$", "")
-    return F.regexp_replace(F.substring(dashed, 1, n), "-$", "")
+    """Lower-case letters and digits, each other character a dash, without dashes at the ends, then cut; `project` if nothing is left."""
+    dashed = F.regexp_replace(F.regexp_replace(F.lower(text), "(?s)[^a-z0-9]", "-"), "^-+|-+$", "")
+    return F.substring(F.coalesce(F.nullif(dashed, F.lit("")), F.lit("project")), 1, n)
 
 
 def component(identity: Column, name: Column) -> Column:

@@ -43,7 +43,7 @@ def line_search(outputs: DataFrame, query: str, context: int = 2) -> DataFrame:
     Windows are over one text's matching lines.
     """
     hit = F.filter(F.transform(F.col("lines"), lambda x, i: F.when(F.contains(F.lower(x), F.lit(query.lower())), i)), lambda i: i.isNotNull())
-    lines = outputs.where(F.contains(F.lower("content"), F.lit(query.lower()))).select("seq", F.split(F.regexp_replace("content", "\r?\n$", ""), "\r?\n").alias("lines"))
+    lines = outputs.where(F.contains(F.lower("content"), F.lit(query.lower()))).select("seq", F.split(F.regexp_replace("content", r"\r?\n\z", ""), "\r?\n").alias("lines"))
     at = lines.select("seq", F.size("lines").alias("n"), F.explode(hit).alias("at"))
     spans = at.select("seq", "at", F.greatest(F.col("at") - context, F.lit(0)).alias("a"), F.least(F.col("at") + context, F.col("n") - 1).alias("b"))
     by = Window.partitionBy("seq").orderBy("at")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -134,16 +137,26 @@ def corpus_rollup(rows: DataFrame, agent: str, version: str, measures: list[Colu
 def event_chunks(rows: DataFrame, session: str, order: str, size: str, cap: int) -> DataFrame:
     """(session, order, chunk): events in order, a new chunk where the next would not fit; one larger than cap stands alone.
 
-    Greedy, so one pass over each session; only sizes go through it.
+    Greedy, so one pass over each session; only sizes go through it, and a
+    session's rows stream through their task.
     """
-    item = F.struct(F.col(order).alias("at"), F.col(size).cast("long").alias("size"))
-    start = F.struct(F.lit(-1).alias("chunk"), F.lit(0).cast("long").alias("used"), F.array().cast(f"array<struct<at:{dict(rows.dtypes)[order]},chunk:int>>").alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        new = (acc["chunk"] < 0) | (acc["used"] + x["size"] > cap)
-        chunk = acc["chunk"] + new.cast("int")
-        return F.struct(chunk.alias("chunk"), (F.when(new, 0).otherwise(acc["used"]) + x["size"]).cast("long").alias("used"), F.concat(acc["out"], F.array(F.struct(x["at"].alias("at"), chunk.alias("chunk")))).alias("out"))
-
-    lists = rows.groupBy(session).agg(F.array_sort(F.collect_list(item)).alias("items"))
-    out = lists.select(session, F.explode(F.aggregate("items", start, step)["out"]).alias("x"))
-    return out.select(session, F.col("x.at").alias(order), F.col("x.chunk").cast("long").alias("chunk"))
+    kind = dict(rows.dtypes)
+
+    def chunks(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own, chunk, used = None, 0, 0
+        for f in frames:
+            numbers = []
+            for key, size in zip(f["key_"], f["size_"], strict=True):
+                if key != own:
+                    own, chunk, used = key, 0, size
+                elif used + size > cap:
+                    chunk, used = chunk + 1, size
+                else:
+                    used += size
+                numbers.append(chunk)
+            yield pd.DataFrame({session: f[session], order: f[order], "chunk": numbers})
+
+    # a null session is a session too
+    slim = rows.select(session, order, F.coalesce(F.col(size).cast("long"), F.lit(0)).alias("size_"), F.coalesce(F.col(session).cast("string"), F.lit("")).alias("key_"))
+    sorted_ = slim.repartition(session).sortWithinPartitions(session, order, "size_")
+    return sorted_.mapInPandas(chunks, f"{session} {kind[session]}, {order} {kind[order]}, chunk long")

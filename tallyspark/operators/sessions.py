@@ -122,20 +122,21 @@ def newest_snapshots(snapshots: DataFrame, key: str, order: str) -> DataFrame:
     return best
 
 
-def reconcile(local: DataFrame, remote: DataFrame) -> DataFrame:
-    """Local ledger rows against remote snapshots, by outcome.
+def reconcile(local: DataFrame, remote: DataFrame, endpoint: str, repair_missing: bool = False) -> DataFrame:
+    """Uploads of an endpoint against the remote listing, by outcome.
 
-    local: id, snapshot_id, uploaded_revision; remote: snapshot_id. A row that
-    has no snapshot but had a revision is one to repair.
+    local: endpoint, snapshot_id, remote_session_id; remote: snapshot_id,
+    session_id. In turn: no snapshot; repaired, where it is to be repaired and
+    the snapshot is gone remotely; already, where the remote session is known;
+    reconciled, where the listing tells it; unmatched.
     """
-    there = remote.select("snapshot_id").distinct().withColumn("remote", F.lit(True))
-    outcome = (
-        F.when(F.col("snapshot_id").isNull() & F.col("uploaded_revision").isNotNull(), "repaired")
-        .when(F.col("snapshot_id").isNull(), "no-snapshot")
-        .when(F.col("remote"), "already")
-        .otherwise("unmatched")
-    )
-    return local.join(there, "snapshot_id", "left").groupBy(outcome.alias("outcome")).agg(F.count("*").alias("n"))
+    listed = remote.groupBy("snapshot_id").agg(F.max("session_id").alias("listed_session"), F.lit(True).alias("listed"))
+    rows = local.where(F.col("endpoint") == endpoint).join(listed, "snapshot_id", "left")
+    outcome = F.when(F.col("snapshot_id").isNull(), "no-snapshot")
+    if repair_missing:
+        outcome = outcome.when(F.col("listed").isNull(), "repaired")
+    outcome = outcome.when(F.col("remote_session_id").isNotNull(), "already").when(F.col("listed"), "reconciled").otherwise("unmatched")
+    return rows.groupBy(outcome.alias("outcome")).agg(F.count("*").alias("n"))
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str], order: str) -> DataFrame:

@@ -232,14 +232,23 @@ def _(s: DataFrame, x: DataFrame) -> DataFrame:
     return sessions.backfill(s, x, "1-URGENT")
 
 
-@query(
-    "j08_reconcile",
-    "SELECT CASE WHEN snapshot_id IS NULL AND uploaded_revision IS NOT NULL THEN 'repaired' WHEN snapshot_id IS NULL THEN 'no-snapshot' WHEN snapshot_id IN (SELECT id FROM v_sessions) THEN 'already' ELSE 'unmatched' END AS outcome, count(*) AS n FROM v_ledger GROUP BY 1",
-    "ledger",
-    "sessions",
-)
-def _(x: DataFrame, s: DataFrame) -> DataFrame:
-    return sessions.reconcile(x, s.select(F.col("id").alias("snapshot_id")))
+_LISTED = "SELECT c_custkey AS snapshot_id, c_name AS session_id FROM customer WHERE c_custkey % 3 <> 0"
+
+
+def _reconciled(spark: SparkSession, sf_dir: str, repair: bool) -> DataFrame:
+    local = view(spark, sf_dir, "ledger").withColumn("remote_session_id", F.when(F.col("uploaded_revision") == 1, "known"))
+    remote = spark.read.parquet(f"{sf_dir}/customer.parquet").where("c_custkey % 3 <> 0").select(F.col("c_custkey").alias("snapshot_id"), F.col("c_name").alias("session_id"))
+    return sessions.reconcile(local, remote, "1-URGENT", repair)
+
+
+for _name, _repair in (("j08_reconcile", False), ("j08_reconcile_repair", True)):
+    QUERIES[_name] = lambda spark, sf_dir, repair=_repair: _reconciled(spark, sf_dir, repair)
+    # rows of the endpoint one after another, as they are told apart there
+    ORACLE[_name] = with_views(
+        f"SELECT CASE WHEN snapshot_id IS NULL THEN 'no-snapshot' {'WHEN snapshot_id NOT IN (SELECT snapshot_id FROM r) THEN ' + chr(39) + 'repaired' + chr(39) if _repair else ''}"
+        f" WHEN uploaded_revision = 1 THEN 'already' WHEN snapshot_id IN (SELECT snapshot_id FROM r) THEN 'reconciled' ELSE 'unmatched' END AS outcome, count(*) AS n FROM v_ledger, (SELECT 1) WHERE endpoint = '1-URGENT' GROUP BY 1",
+        "ledger",
+    ).replace("WITH ", f"WITH r AS ({_LISTED}), ", 1)
 
 
 @query("t08_newest_snapshots", "SELECT session_id, max(id) AS id, count(*) - 1 AS superseded FROM v_ledger GROUP BY 1", "ledger")
@@ -285,12 +294,27 @@ def _(r: DataFrame) -> DataFrame:
     return r.where("role = 'user'").groupBy("session_id").agg(F.min("record").alias("first_record"))
 
 
-@query("a13_parse_accounting", None, "records")
+@query(
+    "a13_parse_accounting",
+    "SELECT 'claude-code' AS source, CAST(session_id AS VARCHAR) AS session_id, count(*) AS records_seen, count(*) FILTER (WHERE role = 'user') AS user_events, count(*) FILTER (WHERE role = 'assistant') AS assistant_events FROM v_records GROUP BY 2",
+    "records",
+)
+def _(r: DataFrame) -> DataFrame:
+    out = records.parse_accounting(records.classified(_as_transcripts(r)), ["source", "session_id"])
+    return out.select("source", "session_id", "records_seen", "user_events", "assistant_events")
+
+
+@query("a13_parse_accounting_all", None, "records")
 def _(r: DataFrame) -> DataFrame:
     return records.parse_accounting(records.classified(_as_transcripts(r)), ["source", "session_id"])
 
 
-@query("w02_event_chunks", None, "records")
+@query(
+    "w02_event_chunks",
+    "SELECT session_id, record, chunk FROM (WITH RECURSIVE n AS (SELECT session_id, record, content_bytes + 1 AS size, row_number() OVER (PARTITION BY session_id ORDER BY record, content_bytes) AS k FROM v_records),"
+    " g AS (SELECT session_id, record, k, size AS used, CAST(0 AS BIGINT) AS chunk FROM n WHERE k = 1 UNION ALL SELECT n.session_id, n.record, n.k, CASE WHEN g.used + n.size > 4096 THEN n.size ELSE g.used + n.size END, CASE WHEN g.used + n.size > 4096 THEN g.chunk + 1 ELSE g.chunk END FROM g JOIN n ON n.session_id = g.session_id AND n.k = g.k + 1) SELECT * FROM g)",
+    "records",
+)
 def _(r: DataFrame) -> DataFrame:
     return records.event_chunks(r.select("session_id", "record", (F.col("content_bytes") + 1).alias("size")), "session_id", "record", "size", 4096)
 
@@ -325,7 +349,7 @@ def _(o: DataFrame) -> DataFrame:
 
 @query(
     "w04_line_search",
-    r"""SELECT seq, min(a) AS first_line, max(b) AS last_line, count(*) AS matches FROM (SELECT *, sum(new) OVER (PARTITION BY seq ORDER BY i) AS island FROM (SELECT *, CASE WHEN a <= max(b) OVER (PARTITION BY seq ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 1 THEN 0 ELSE 1 END AS new FROM (SELECT seq, i, greatest(i - 2, 0) AS a, least(i + 2, n - 1) AS b FROM (SELECT seq, unnest(lines) AS line, unnest(range(len(lines))) AS i, len(lines) AS n FROM (SELECT seq, string_split(regexp_replace(replace(content, chr(13) || chr(10), chr(10)), '\n$', ''), chr(10)) AS lines FROM v_outputs)) WHERE contains(lower(line), 'copyright')))) GROUP BY seq, island""",
+    r"""SELECT seq, min(a) AS first_line, max(b) AS last_line, count(*) AS matches FROM (SELECT *, sum(new) OVER (PARTITION BY seq ORDER BY i) AS island FROM (SELECT *, CASE WHEN a <= max(b) OVER (PARTITION BY seq ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 1 THEN 0 ELSE 1 END AS new FROM (SELECT seq, i, greatest(i - 2, 0) AS a, least(i + 2, n - 1) AS b FROM (SELECT seq, unnest(lines) AS line, unnest(range(len(lines))) AS i, len(lines) AS n FROM (SELECT seq, string_split(CASE WHEN right(t, 1) = chr(10) THEN left(t, length(t) - 1) ELSE t END, chr(10)) AS lines FROM (SELECT seq, replace(content, chr(13) || chr(10), chr(10)) AS t FROM v_outputs))) WHERE contains(lower(line), 'copyright')))) GROUP BY seq, island""",
     "outputs",
 )
 def _(o: DataFrame) -> DataFrame:
@@ -350,7 +374,7 @@ QUERIES["a28_key_frequencies"] = a28_key_frequencies
 ORACLE["a28_key_frequencies"] = "SELECT unnest(json_keys(props)) AS key, count(*) AS n FROM events GROUP BY 1"
 
 
-@query("scalar_functions", "SELECT id, 'x-' || current_revision AS short, regexp_replace(regexp_replace(lower(source_session_id), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g') AS slug, coalesce(nullif(project, ''), 'home') AS label FROM v_sessions", "sessions")
+@query("scalar_functions", "SELECT id, 'x-' || current_revision AS short, coalesce(nullif(left(trim(regexp_replace(lower(CASE WHEN id % 4 = 0 THEN '--' ELSE ' ' || source_session_id || ' (a, b)' END), '[^a-z0-9]', '-', 'g'), '-'), 48), ''), 'project') AS slug, coalesce(nullif(project, ''), 'home') AS label FROM v_sessions", "sessions")
 def _(s: DataFrame) -> DataFrame:
     label = scalars.project_label(F.col("project"), F.lit(""), F.lit("/usr/home"))
-    return s.select("id", scalars.shortened(F.concat(F.lit("x-"), F.col("current_revision").cast("string"))).alias("short"), scalars.slug(F.col("source_session_id")).alias("slug"), label.alias("label"))
+    return s.select("id", scalars.shortened(F.concat(F.lit("x-"), F.col("current_revision").cast("string"))).alias("short"), scalars.slug(F.when(F.col("id") % 4 == 0, "--").otherwise(F.concat(F.lit(" "), "source_session_id", F.lit(" (a, b)")))).alias("slug"), label.alias("label"))

@@ -15,6 +15,7 @@ DIALECT = {
     "MS(ts)": ("unix_millis(from_utc_timestamp(CAST(ts AS TIMESTAMP), current_timezone()))", "(epoch_us(ts) // 1000)"),
     "BYTES(text)": ("octet_length(text)", "strlen(text)"),
     "SHA(text)": ("sha2(text, 256)", "sha256(text)"),
+    " // ": (" div ", " // "),
 }
 
 #: view: (table, {column: expression})
@@ -51,6 +52,7 @@ VIEWS: dict[str, tuple[str, dict[str, str]]] = {
             "active": "c_custkey % 2 = 1",
             "placeholder": "c_custkey % 23 = 0",
             "markdown_hash": "c_mktsegment",
+            "markdown_relative_path": "CASE WHEN c_custkey % 6 <> 0 THEN c_name || '.md' END",
         },
     ),
     "ledger": (
@@ -68,6 +70,26 @@ VIEWS: dict[str, tuple[str, dict[str, str]]] = {
             "bytes": "o_orderkey % 4096",
         },
     ),
+    "diagnostics": (
+        "events",
+        {"id": "event_id", "session_id": "CASE WHEN event_id % 6 <> 0 THEN user_id END", "operation": "event_type", "category": "CASE WHEN event_id % 3 = 0 THEN 'source' ELSE 'delivery' END", "recorded_at_ms": "MS(ts) // 3600000 * 3600000"},
+    ),
+    "deliveries": (
+        "supplier",
+        {
+            "session_id": "s_suppkey",
+            "endpoint": "CASE WHEN s_suppkey % 5 = 0 THEN 'other' ELSE 'main' END",
+            "vault": "'notes'",
+            "state": "CASE s_suppkey % 6 WHEN 1 THEN 'pending' WHEN 2 THEN 'failed' WHEN 3 THEN 'dead-letter' WHEN 4 THEN 'blocked' ELSE 'delivered' END",
+            "delivered_revision": "CASE WHEN s_suppkey % 7 <> 0 THEN s_suppkey % 3 END",
+            "delivered_summary_hash": "CASE s_suppkey % 4 WHEN 0 THEN 'BUILDING' WHEN 1 THEN 'FURNITURE' WHEN 2 THEN 'MACHINERY' END",
+            "next_attempt_at_ms": "CASE WHEN s_suppkey % 8 <> 0 THEN 1706000000000 + s_suppkey * 1000 END",
+        },
+    ),
+    "archives": ("orders", {"source": "o_orderpriority", "session_id": "o_custkey", "revision": "o_orderkey % 3", "scan_order": "o_orderkey"}),
+    "checks": ("part", {"seq": "p_partkey", "code": "p_name", "status": "CASE p_partkey % 5 WHEN 0 THEN 'error' WHEN 1 THEN 'warning' WHEN 2 THEN 'ok' WHEN 3 THEN 'unknown' END", "exit_code": "p_partkey % 7", "report": "p_partkey % 10"}),
+    "files": ("lineitem", {"directory": "l_orderkey", "bytes": "l_partkey", "mtime_ms": "1704067200000 + (l_partkey * 7919 % 100000) * 1000"}),
+    "summaries": ("documents", {"id": "doc_id", "title": "substr(text, 1, 150 + doc_id % 100)", "goal": "text", "first_item": "lang", "n_items": "doc_id % 3"}),
     "records": (
         "conversations",
         {"session_id": "conv_id", "record": "turn", "role": "role", "content": "text", "content_bytes": "BYTES(text)"},

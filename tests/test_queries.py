@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from tallyspark.plans import catalog
+from tallyspark.plans import catalog, reports  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents conversations".split()
