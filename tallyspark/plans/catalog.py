@@ -349,11 +349,11 @@ def _(o: DataFrame) -> DataFrame:
 
 @query(
     "w04_line_search",
-    r"""SELECT seq, min(a) AS first_line, max(b) AS last_line, count(*) AS matches FROM (SELECT *, sum(new) OVER (PARTITION BY seq ORDER BY i) AS island FROM (SELECT *, CASE WHEN a <= max(b) OVER (PARTITION BY seq ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 1 THEN 0 ELSE 1 END AS new FROM (SELECT seq, i, greatest(i - 2, 0) AS a, least(i + 2, n - 1) AS b FROM (SELECT seq, unnest(lines) AS line, unnest(range(len(lines))) AS i, len(lines) AS n FROM (SELECT seq, string_split(CASE WHEN right(t, 1) = chr(10) THEN left(t, length(t) - 1) ELSE t END, chr(10)) AS lines FROM (SELECT seq, replace(content, chr(13) || chr(10), chr(10)) AS t FROM v_outputs))) WHERE contains(lower(line), 'copyright')))) GROUP BY seq, island""",
+    r"""SELECT seq, min(a) AS first_line, max(b) AS last_line, count(*) AS matches FROM (SELECT *, sum(new) OVER (PARTITION BY seq ORDER BY i) AS island FROM (SELECT *, CASE WHEN a <= max(b) OVER (PARTITION BY seq ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 1 THEN 0 ELSE 1 END AS new FROM (SELECT seq, i, greatest(i - 2, 0) AS a, least(i + 2, n - 1) AS b FROM (SELECT seq, unnest(lines) AS line, unnest(range(len(lines))) AS i, len(lines) AS n FROM (SELECT seq, string_split(CASE WHEN right(t, 1) = chr(10) THEN left(t, length(t) - 1) ELSE t END, chr(10)) AS lines FROM (SELECT seq, replace(content, chr(13) || chr(10), chr(10)) AS t FROM v_outputs))) WHERE contains(lower(line), 'license')))) GROUP BY seq, island""",
     "outputs",
 )
 def _(o: DataFrame) -> DataFrame:
-    return artifacts.line_search(o, "Copyright")
+    return artifacts.line_search(o, "License")
 
 
 def a26_manifest_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
