@@ -68,6 +68,9 @@ CLOSE, ESCAPE, BITS = 26, 31, 5
 _SYMBOL = np.full(256, ESCAPE, np.uint8)
 _SYMBOL[97:123] = np.arange(26)
 _SYMBOL[[0x2E, 0x2C, 0x2D, 0xC3]] = [27, 28, 29, 30]
+#: The bits of each symbol, and how many leading ones two symbols share by their exclusive or.
+_BITS = ((np.arange(1 << BITS)[:, None] >> (BITS - 1 - np.arange(BITS))) & 1).astype(bool)
+_LEAD = np.array([max(BITS - x.bit_length(), 0) for x in range(256)], np.int64)
 _NODE = np.random.Generator(np.random.PCG64(77)).integers(0, 2**63, 1 << BITS, np.uint64)
 #: Beginnings of fewer symbols are in the table, others counted in their piece; the second where a byte without symbol is among the first.
 SHORT, SHORT_ESCAPED = 4, 12
@@ -264,22 +267,22 @@ class Trie:
         self.total, self.start = counts.sum(axis=1), begin * BITS
         word = np.repeat(np.arange(n), size)
         place = np.arange(len(flat)) - begin[word]
-        self.bit = ((flat[:, None] >> (BITS - 1 - np.arange(BITS))) & 1).astype(bool).ravel()
+        self.bit = _BITS.take(flat, axis=0).ravel()
         # bits each word shares with the word before
         other = np.where((word > 0) & (place < size[word - 1]), flat[np.minimum(np.where(word > 0, begin[word - 1] + place, 0), len(flat) - 1)], 255)
-        lead = BITS - np.ceil(np.log2((flat ^ other).astype(np.float32) + 1)).astype(np.int64)
-        differs = np.where(flat != other, place * BITS + np.maximum(lead, 0), 1 << 40)
+        differs = np.where(flat != other, place * BITS + _LEAD[flat ^ other], 1 << 40)
         shared = np.where(np.arange(n) > 0, np.minimum.reduceat(differs, begin), -1)
         deepest = np.maximum(shared, np.append(shared[1:], -1))
-        depth = (place[:, None] * BITS + np.arange(BITS)).ravel()
-        new = np.flatnonzero(depth > np.repeat(shared[word], BITS))
-        self.node = np.empty(len(depth), np.int32)
+        beyond = np.minimum(shared[word] - place * BITS, BITS).astype(np.int32)
+        new = np.flatnonzero(np.arange(BITS, dtype=np.int32) > beyond[:, None])
+        self.node = np.empty(len(flat) * BITS, np.int32)
         self.node[new] = np.arange(len(new))
         # words first to last share the beginning, those from middle on go on with a one
         first = word[new // BITS]
         middle, last = first + ~self.bit[new], first + 1
+        act = np.arange(n)
         for q in range(int(deepest.max(initial=-1)) + 1):
-            act = np.flatnonzero(deepest >= q)
+            act = act[deepest[act] >= q]
             at = self.start[act] + q
             group = np.flatnonzero(shared[act] < q)
             length = np.diff(np.append(group, len(act)))
@@ -289,8 +292,10 @@ class Trie:
             self.node[at] = np.repeat(own, length)
         weights = np.column_stack([self.total > 0, counts])
         total = np.vstack([np.zeros((1, weights.shape[1]), np.int64), np.cumsum(weights, axis=0, dtype=np.int64)])
-        part = total[middle]
-        self.counts = np.hstack([part - total[first], total[last] - part]).astype(np.float32)
+        part, width = total.take(middle, axis=0), 1 + TOPICS
+        self.counts = np.empty((len(new), 2 * width), np.float32)
+        self.counts[:, :width] = part - total.take(first, axis=0)
+        self.counts[:, width:] = total.take(last, axis=0) - part
 
         symbol, level = np.divmod(new, BITS)
         within = _NODE[(1 << level) | (flat[symbol].astype(np.int64) >> (BITS - level))]
@@ -314,11 +319,12 @@ class Trie:
     def add_to(self, tables: np.ndarray) -> None:
         """Count contexts by distinct words, short beginnings also by topic."""
         slots, width = len(tables) // KINDS, 1 + TOPICS
+        kinds = [self.counts[:, b * width].copy() for b in (0, 1)]
+        some = [np.flatnonzero(n) for n in kinds]
         for table in range(len(ORDERS)):
+            where = self.slots(table, slots)
             for b in (0, 1):
-                n = self.counts[:, b * width]
-                some = np.flatnonzero(n)
-                np.add.at(tables, (2 * table * slots + b) + 2 * self.slots(table, slots)[some], n[some])
+                np.add.at(tables, (2 * table * slots + b) + 2 * where[some[b]], kinds[b][some[b]])
         at, n = self.slots(len(ORDERS), slots), self.counts[self.short]
         row, column = np.nonzero(n)
         np.add.at(tables, 2 * len(ORDERS) * slots + at[row] * (2 * width) + column, n[row, column])
@@ -361,9 +367,9 @@ class Predictors:
 
     def __init__(self, trie: Trie, tables: np.ndarray):
         slots = len(tables) // KINDS
-        self.contexts = [tables[2 * i * slots : 2 * (i + 1) * slots].reshape(slots, 2)[trie.slots(i, slots)].T.copy() for i in range(len(ORDERS))]
+        self.contexts = [tables[2 * i * slots : 2 * (i + 1) * slots].reshape(slots, 2).take(trie.slots(i, slots), axis=0).T.copy() for i in range(len(ORDERS))]
         begin = trie.counts.copy()
-        begin[trie.short] = tables[2 * len(ORDERS) * slots :].reshape(slots, -1)[trie.slots(len(ORDERS), slots)]
+        begin[trie.short] = tables[2 * len(ORDERS) * slots :].reshape(slots, -1).take(trie.slots(len(ORDERS), slots), axis=0)
         self.begin = np.ascontiguousarray(begin.T).reshape(2, 1 + TOPICS, -1)
         self.total = self.begin[:, 1:].sum(axis=1)
         self.five = 2 * np.minimum(_level(self.contexts[-1][0] + self.contexts[-1][1]) >> 1, 3)
@@ -373,12 +379,19 @@ class Predictors:
         return [*(_odds(*n, 0.1) for n in self.contexts), _odds(*self.begin[:, 0], 0.3), _odds(*self.total, 0.02)]
 
     def gate(self, n0: np.ndarray, n1: np.ndarray, five: np.ndarray) -> np.ndarray:
-        return 8 * np.minimum(_level(n0 + n1), LEVELS - 1) + five + (np.minimum(n0, n1) == 0)
+        return (8 * np.minimum(_level(n0 + n1), LEVELS - 1) + five + (np.minimum(n0, n1) == 0)).astype(np.intp)
 
-    def of_topic(self, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """(log odds by the topic's beginnings, gates)."""
+    def unseen(self) -> tuple[np.ndarray, np.ndarray]:
+        """(log odds, gates) of a topic that never saw the nodes' beginnings."""
+        none = np.zeros(len(self.five), np.float32)
+        return none, self.gate(none, none, self.five)
+
+    def of_topic(self, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(nodes whose beginnings the topic saw, log odds by these, gates)."""
         n0, n1 = self.begin[:, 1 + k]
-        return _odds(n0, n1, 0.02), self.gate(n0, n1, self.five)
+        some = np.flatnonzero(n0 + n1)
+        n0, n1 = n0[some], n1[some]
+        return some, _odds(n0, n1, 0.02), self.gate(n0, n1, self.five[some])
 
     def left_out(self, node: np.ndarray, bit: np.ndarray, topic: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
         """(log odds that the bit is right, gates) of decisions of the given nodes and topics as if one such occurrence were not counted."""
@@ -388,7 +401,7 @@ class Predictors:
         # a distinct word goes where its occurrence is the only one
         alone = (many == 1).astype(np.float32)
         kinds = self.begin[:, 0].ravel()
-        own = [self.begin[b, 1 + topic, node] for b in (bit, 1 - bit)]
+        own = [self.begin.ravel().take((b * (1 + TOPICS) + 1 + topic) * size + node) for b in (bit, 1 - bit)]
         own[0] = np.maximum(own[0] - 1, 0)
         x = [_odds(n.ravel()[wrong], np.maximum(n.ravel()[right] - alone, 0), 0.1) for n in self.contexts]
         x += [_odds(kinds[wrong], kinds[right] - alone, 0.3), _odds(self.total.ravel()[wrong], many - 1, 0.02), _odds(own[1], own[0], 0.02)]
@@ -408,9 +421,12 @@ def mixed(x: list[np.ndarray], gate: np.ndarray, weights: np.ndarray) -> np.ndar
 
 def train(trie: Trie, tables: np.ndarray, weights: np.ndarray, square: np.ndarray, seen: np.ndarray) -> None:
     """Refine weights online over the occurrences that pass a piece's nodes, mixed, some thousand decisions at a step."""
-    predictors, n = Predictors(trie, tables), trie.counts.reshape(-1, 2, 1 + TOPICS)[:, :, 1:]
-    node, bit, topic = np.nonzero(n)
-    total = n[node, bit, topic]
+    predictors, n = Predictors(trie, tables), trie.counts.ravel()
+    at = np.flatnonzero(n)
+    # the first of a bit's columns counts distinct words
+    at = at[at % (1 + TOPICS) > 0]
+    node, bit, topic = at // (2 * (1 + TOPICS)), at // (1 + TOPICS) % 2, at % (1 + TOPICS) - 1
+    total = n[at]
     # frequent ones come in several steps, so that each step is like the texts
     times = np.ceil(total / STEP_COUNT).astype(np.int64)
     turn = np.repeat(np.arange(len(total)), times)
@@ -448,13 +464,18 @@ def word_log10(trie: Trie, tables: np.ndarray, weights: np.ndarray) -> np.ndarra
     out = np.zeros((len(trie.start), TOPICS))
     predictors = Predictors(trie, tables)
     shared, at = predictors.shared(), trie.node * 2 + trie.bit
-    bits = np.empty((len(trie.counts), 2), np.float32)
+
+    def costs(odds: np.ndarray) -> np.ndarray:
+        zero = np.log1p(np.exp(odds))
+        return np.stack([zero, zero - odds], axis=1)
+
+    own, gate = predictors.unseen()
+    unseen = costs(mixed([*shared, own], gate, weights))
     for k in range(TOPICS):
-        own, gate = predictors.of_topic(k)
-        odds = mixed([*shared, own], gate, weights)
-        bits[:, 0] = np.log1p(np.exp(odds))
-        bits[:, 1] = bits[:, 0] - odds
-        out[:, k] = np.add.reduceat(bits.ravel()[at], trie.start, dtype=np.float64) / -np.log(10)
+        some, own, gate = predictors.of_topic(k)
+        bits = unseen.copy()
+        bits[some] = costs(mixed([*(x[some] for x in shared), own], gate, weights))
+        out[:, k] = np.add.reduceat(bits.ravel().take(at), trie.start, dtype=np.float64) / -np.log(10)
     return out
 
 
