@@ -90,6 +90,27 @@ VIEWS: dict[str, tuple[str, dict[str, str]]] = {
     "checks": ("part", {"seq": "p_partkey", "code": "p_name", "status": "CASE p_partkey % 5 WHEN 0 THEN 'error' WHEN 1 THEN 'warning' WHEN 2 THEN 'ok' WHEN 3 THEN 'unknown' END", "exit_code": "p_partkey % 7", "report": "p_partkey % 10"}),
     "files": ("lineitem", {"directory": "l_orderkey", "bytes": "l_partkey", "mtime_ms": "1704067200000 + (l_partkey * 7919 % 100000) * 1000"}),
     "summaries": ("documents", {"id": "doc_id", "title": "substr(text, 1, 150 + doc_id % 100)", "goal": "text", "first_item": "lang", "n_items": "doc_id % 3"}),
+    "cursors": (
+        "documents",
+        {
+            "id": "doc_id",
+            "content": "coalesce(text, '')",
+            "prefix": "CASE WHEN doc_id % 11 = 0 THEN coalesce(text, '') || 'more' WHEN doc_id % 7 = 0 THEN coalesce(text, '') WHEN doc_id % 3 = 0 THEN substr(coalesce(text, ''), 1, instr(coalesce(text, ''), chr(10))) ELSE substr(coalesce(text, ''), 1, doc_id % 400) END",
+            "tampered": "doc_id % 17 = 0",
+            "version": "CASE WHEN doc_id % 19 = 0 THEN 1 ELSE 2 END",
+            "has_cursor": "doc_id % 23 <> 0",
+        },
+    ),
+    "restored_snapshots": ("supplier", {"status": "CASE s_suppkey % 4 WHEN 0 THEN 'restored' WHEN 1 THEN 'refused' WHEN 2 THEN 'skipped' ELSE 'failed' END", "superseded": "s_suppkey % 3"}),
+    "restored_artifacts": (
+        "part",
+        {
+            "kind": "p_partkey % 8",
+            "result": "CASE p_partkey % 8 WHEN 0 THEN 'written' WHEN 1 THEN 'replaced' WHEN 2 THEN 'would-write' WHEN 3 THEN 'would-replace' WHEN 4 THEN 'present' WHEN 5 THEN 'refused-differs' WHEN 6 THEN 'skipped' ELSE 'failed' END",
+            "bytes": "p_partkey",
+            "finding": "CASE p_partkey % 3 WHEN 0 THEN true WHEN 1 THEN false END",
+        },
+    ),
     "records": (
         "conversations",
         {"session_id": "conv_id", "record": "turn", "role": "role", "content": "text", "content_bytes": "BYTES(text)"},
