@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: States of a session that want attention, and the tag of a placeholder summary (fixed values).
+#: States of a session that want attention (fixed values).
 UNHAPPY = ("failed", "interrupted")
-PLACEHOLDER_TAG = "munshi-placeholder-summary"
 #: Limits of a structured summary's fields (fixed values): most characters, single line or not.
 SUMMARY_LIMITS = {"title": (200, True), "goal": (4000, False)}
 ITEM_LIMIT, TAG_LIMIT, LIST_LIMIT = 4000, 100, 200
@@ -143,5 +142,6 @@ def summary_violations(summaries: DataFrame, key: str, lists: tuple[str, ...], r
     return summaries.select(key, F.inline(F.filter(F.array(*found), lambda x: x.isNotNull())))
 
 
-def is_placeholder(tags: Column) -> Column:
-    return F.coalesce(F.array_contains(tags, PLACEHOLDER_TAG), F.lit(False))
+def is_placeholder(tags: Column, tag: str) -> Column:
+    """Whether a summary carries the tag that its writer gives to placeholders; no tags, or null ones, are none."""
+    return F.coalesce(F.array_contains(tags, tag), F.lit(False))

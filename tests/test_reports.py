@@ -42,8 +42,8 @@ def test_summary_violations(spark):
 
 
 def test_placeholder_and_eligibility(spark):
-    tags = spark.createDataFrame([(["a", reports.PLACEHOLDER_TAG],), (["a"],), (None,)], "tags array<string>")
-    assert [r[0] for r in tags.select(reports.is_placeholder(F.col("tags"))).collect()] == [True, False, False]
+    tags = spark.createDataFrame([(["a", "stand-in"],), (["a"],), (None,)], "tags array<string>")
+    assert [r[0] for r in tags.select(reports.is_placeholder(F.col("tags"), "stand-in")).collect()] == [True, False, False]
     rows = [(None, None, None), ("synced", "h", None), ("synced", "x", None), ("failed", "h", 5), ("failed", "h", 50), ("dead-letter", "h", None), ("blocked", "h", None)]
     frame = spark.createDataFrame(rows, "state string, hash string, at long")
     of = lambda force: [r[0] for r in frame.select(reports.sync_eligibility(F.col("state"), F.col("hash"), F.col("at"), F.lit("h"), 10, force)).collect()]
