@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat
+from . import chat, collocations, lexical_search
 from .context_mixing import score_texts
 from .decision_list import quality_rules
 from .decontaminate import contaminated
@@ -17,6 +17,7 @@ from .language_id import identify_documents, identify_pages
 from .packing import packed
 from .spark_util import read_table
 from .suffix_dedup import removal_digest
+from .tiered_packing import tiered
 from .token_counts import section_tokens
 
 
@@ -85,6 +86,21 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each language's first 2000 phrases of all documents."""
+    return collocations.collocations(read_table(spark, sf_dir, "documents"), least=30, share=80, most=2000)
+
+
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each benchmark item's 10 best of all documents."""
+    return lexical_search.search(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"), k=10)
+
+
+def op13_tiered_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in full windows of 2048 tokens and lower powers of two."""
+    return tiered(read_table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), end_id=1)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_lm_scoring": op1_lm_scoring,
@@ -98,8 +114,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
         "op9_suffix_array_dedup": op9_suffix_array_dedup,
         "op10_decontamination": op10_decontamination,
+        "op11_collocations": op11_collocations,
+        "op12_ranked_search": op12_ranked_search,
+        "op13_tiered_packing": op13_tiered_packing,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_chat_formatting": chat.ORACLE}
+    return {"op3_chat_formatting": chat.ORACLE, "op11_collocations": collocations.ORACLE, "op12_ranked_search": lexical_search.ORACLE}

@@ -103,10 +103,10 @@ class Words:
     word_offsets: np.ndarray
 
 
-def words(chunk: Chunk, fold: bool = True) -> Words:
-    """Find and hash words; with fold, A-Z hash as a-z."""
+def words(chunk: Chunk, fold: bool = True, space: np.ndarray = SPACE) -> Words:
+    """Find and hash words, runs of bytes not marked in space; with fold, A-Z hash as a-z."""
     data, off = chunk.data, chunk.offsets
-    solid = ~SPACE[data]
+    solid = ~space[data]
     starts, ends = solid.copy(), solid.copy()
     starts[1:] &= ~solid[:-1]
     ends[:-1] &= ~solid[1:]
