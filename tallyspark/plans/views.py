@@ -111,6 +111,23 @@ VIEWS: dict[str, tuple[str, dict[str, str]]] = {
             "finding": "CASE p_partkey % 3 WHEN 0 THEN true WHEN 1 THEN false END",
         },
     ),
+    "session_events": (
+        "events",
+        {
+            "source": "'hook'",
+            "session_id": "CAST(user_id AS STRING)",
+            "kind": "CASE WHEN event_id % 16 < 1 THEN 'agent-stop' WHEN event_id % 16 < 3 THEN 'session-end' WHEN event_id % 16 < 8 THEN 'claim' WHEN event_id % 16 < 12 THEN 'failure' WHEN event_id % 16 < 14 THEN 'success' WHEN event_id % 48 < 15 THEN 'placeholder' WHEN event_id % 48 < 16 THEN 'deferral' WHEN event_id % 48 < 31 THEN 'accepted-loss' WHEN event_id % 48 < 32 THEN 'retry' WHEN event_id % 96 < 48 THEN 'other' ELSE 'retry' END",
+            "at_ms": "MS(ts)",
+            "key": "lpad(CAST(event_id AS STRING), 12, '0')",
+            "path": "CASE WHEN event_id % 5 > 0 THEN 'p' || CAST(event_id AS STRING) END",
+            "reason": "CASE event_id % 5 WHEN 0 THEN 'user_exit' WHEN 1 THEN 'crash' ELSE 'complete' END",
+            "attempt": "CASE WHEN event_id % 16 BETWEEN 3 AND 7 THEN CAST(event_id AS STRING) WHEN event_id % 37 = 0 THEN 'another' END",
+            "lease_ms": "360000 * (event_id % 700)",
+            "category": "CASE event_id % 11 WHEN 0 THEN 'source-missing' WHEN 1 THEN 'source-failed' ELSE 'summarizer-failed' END",
+            "retryable": "event_id % 13 <> 0",
+            "forced": "event_id % 9 = 0",
+        },
+    ),
     "records": (
         "conversations",
         {"session_id": "conv_id", "record": "turn", "role": "role", "content": "text", "content_bytes": "BYTES(text)"},
