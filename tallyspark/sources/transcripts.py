@@ -44,7 +44,8 @@ def read_lines(spark: SparkSession, path: str, source: str, max_bytes: int = MAX
     """(source, session_id, path, line, record, raw): lines split at \\n only; empty ones count as lines, not as records.
 
     A file is one row until its lines are exploded in the same task, so files
-    over max_bytes are left out by their listed length, before they are read.
+    over max_bytes are left out by their listed length, before they are read;
+    `oversized` has them. `files.read_stable` looks at more than the length.
     """
     files = spark.read.format("binaryFile").load(path).where(F.col("length") <= max_bytes)
     lines = F.transform(F.split(F.make_valid_utf8(F.col("content").cast("string")), "\n"), lambda x, i: F.struct((i + 1).cast("long").alias("line"), x.alias("raw")))
@@ -52,6 +53,12 @@ def read_lines(spark: SparkSession, path: str, source: str, max_bytes: int = MAX
     return rows.select(F.lit(source).alias("source"), session_id_of(F.col("path"), source).alias("session_id"), "path", "x.line", (F.col("record") + 1).cast("long").alias("record"), "x.raw")
 
 
+def oversized(spark: SparkSession, path: str, source: str, max_bytes: int = MAX_BYTES) -> DataFrame:
+    """(source, session_id, path, code, length) of the files that read_lines leaves out."""
+    files = spark.read.format("binaryFile").load(path).where(F.col("length") > max_bytes)
+    return files.select(F.lit(source).alias("source"), session_id_of(F.col("path"), source).alias("session_id"), "path", F.lit("source-limit").alias("code"), "length")
+
+
 class Field(NamedTuple):
     """A field of a tool event: where its value is and how it is read."""
 

@@ -15,17 +15,36 @@ from pyspark.sql.streaming import StreamingQuery
 
 from tallyspark.functions.scalars import dedupe_key
 
+from .tables import KeyedTable
+
 SCHEMA = "source string, session_id string, kind string, at_ms bigint, path string, reason string"
 MAX_EVENT_BYTES = 64 << 10
 #: How an end's reason is read.
 COMPLETION = {"complete": "complete", "user_exit": "interrupted"}
 
 
+def classified(lines: DataFrame) -> DataFrame:
+    """Lines (value) with the event x of each and, where there is none, a code: too-large, not-an-object or no-session."""
+    size, x = F.octet_length("value"), F.from_json("value", SCHEMA)
+    rows = lines.withColumn("x", F.when(size <= MAX_EVENT_BYTES, x))
+    unnamed = F.col("x.session_id").isNull() | F.col("x.at_ms").isNull()
+    plain = ~F.coalesce(F.trim("value").startswith("{") & F.trim("value").endswith("}"), F.lit(False))
+    return rows.withColumn("code", F.when(size > MAX_EVENT_BYTES, "too-large").when(plain, "not-an-object").when(unnamed, "no-session"))
+
+
 def read_hooks(spark: SparkSession, folder: str) -> DataFrame:
-    """A stream of the folder's JSON files, one event a line; lines over the limit or without a session are left out."""
-    lines = spark.readStream.option("maxFilesPerTrigger", 100).text(folder)
-    rows = lines.where(F.octet_length("value") <= MAX_EVENT_BYTES).select(F.from_json("value", SCHEMA).alias("x")).select("x.*")
-    return keyed(rows.where("session_id is not null and at_ms is not null"))
+    """A stream of the folder's events, one JSON object a line; other lines are those of `rejected_hooks`."""
+    return keyed(classified(_lines(spark, folder)).where("code is null").select("x.*"))
+
+
+def rejected_hooks(spark: SparkSession, folder: str) -> DataFrame:
+    """A stream of (path, code, length, hash) of the folder's lines that give no event; what they hold is not repeated."""
+    rows = classified(_lines(spark, folder)).where("code is not null")
+    return rows.select("path", "code", F.octet_length("value").cast("long").alias("length"), F.sha2("value", 256).alias("hash"))
+
+
+def _lines(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.readStream.option("maxFilesPerTrigger", 100).text(folder).select("value", F.col("_metadata.file_path").alias("path")).where("value <> ''")
 
 
 def keyed(events: DataFrame) -> DataFrame:
@@ -59,7 +78,10 @@ def lifecycle(events: DataFrame) -> DataFrame:
     return folded(keyed(events).dropDuplicates(["key"]))
 
 
-def lifecycle_stream(hooks: DataFrame, name: str, checkpoint: str, delay: str = "7 days") -> StreamingQuery:
-    """Runs over what is there and writes the sessions as a table of the given name in memory."""
+FOLDED = "source string, session_id string, events bigint, last_agent_stop_ms bigint, last_session_end_ms bigint, transcript_path string, end_reason string, lifecycle_state string"
+
+
+def lifecycle_stream(hooks: DataFrame, table: KeyedTable, checkpoint: str, delay: str = "7 days") -> StreamingQuery:
+    """Runs over what is there; sessions that changed go to a table of FOLDED rows keyed by source and session."""
     once = hooks.withWatermark("at", delay).dropDuplicatesWithinWatermark(["key"])
-    return folded(once).writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return folded(once).writeStream.outputMode("update").foreachBatch(table.merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

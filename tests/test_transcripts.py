@@ -9,6 +9,7 @@ from tallyspark.functions import scalars
 from tallyspark.operators import records as R
 from tallyspark.sources import transcripts as T
 from tallyspark.streaming import hooks
+from tallyspark.streaming.tables import KeyedTable
 
 
 def claude(kind, content, **more):
@@ -107,10 +108,14 @@ def test_stream_and_batch_agree(spark, tmp_path):
     events = [("copilot", "a", "agent-stop", 1000, "/p1", None), ("copilot", "a", "agent-stop", 900, "/p0", None), ("copilot", "a", "session-end", 1500, None, "complete"), ("copilot", "a", "session-end", 1500, None, "complete"), ("codex", "b", "agent-stop", 5, "/q", None), ("codex", "c", "session-end", 7, None, "user_exit")]
     names = ("source", "session_id", "kind", "at_ms", "path", "reason")
     (tmp_path / "in").mkdir()
-    (tmp_path / "in" / "x.json").write_text("\n".join([*(json.dumps(dict(zip(names, e, strict=True))) for e in events), "not json", "{}"]))
-    hooks.lifecycle_stream(hooks.read_hooks(spark, str(tmp_path / "in")), "sessions_seen", str(tmp_path / "check")).awaitTermination(120)
+    (tmp_path / "in" / "x.json").write_text("\n".join([*(json.dumps(dict(zip(names, e, strict=True))) for e in events), "not json", "{}", "", '{"session_id": "x", "at_ms": 1, "path": "' + "y" * 70_000 + '"}']))
+    table = KeyedTable(spark, str(tmp_path / "table"), ("source", "session_id"), hooks.FOLDED)
+    hooks.lifecycle_stream(hooks.read_hooks(spark, str(tmp_path / "in")), table, str(tmp_path / "check")).awaitTermination(120)
+    rejected = hooks.rejected_hooks(spark, str(tmp_path / "in")).writeStream.format("memory").queryName("rejected").trigger(availableNow=True).start()
+    rejected.awaitTermination(120)
+    assert sorted((r["code"], r["length"]) for r in spark.table("rejected").collect()) == [("no-session", 2), ("not-an-object", 8), ("too-large", 70_043)]
     batch = hooks.lifecycle(spark.createDataFrame(events, hooks.SCHEMA))
-    assert sorted(map(tuple, spark.table("sessions_seen").collect())) == sorted(map(tuple, batch.collect()))
+    assert sorted(map(tuple, table.read().collect())) == sorted(map(tuple, batch.collect()))
     a = batch.where("session_id = 'a'").first()
     assert (a["events"], a["transcript_path"], a["lifecycle_state"]) == (3, "/p1", "summary-pending")
     assert [r[0] for r in batch.where("session_id <> 'a'").orderBy("session_id").select("lifecycle_state").collect()] == ["observed", "interrupted"]
