@@ -126,7 +126,7 @@ def invalid_text(value: Column, most: int, single_line: bool) -> Column:
     return F.coalesce((F.char_length(text) == 0) | (F.char_length(text) > most) | text.rlike(r"[\p{Cc}&&[^\n\t]]") | breaks, F.lit(True))
 
 
-def _any_invalid(items: str, most: int) -> Column:
+def any_invalid(items: str, most: int) -> Column:
     return F.exists(items, lambda x: invalid_text(x, most, True))
 
 
@@ -135,7 +135,7 @@ def summary_violations(summaries: DataFrame, key: str, lists: tuple[str, ...], r
     found = [F.when(invalid_text(F.col(f), *SUMMARY_LIMITS[f]), F.struct(F.lit(f).alias("field"), F.lit("invalid-text").alias("code"))) for f in SUMMARY_LIMITS]
     for f in lists:
         most = TAG_LIMIT if f == "tags" else ITEM_LIMIT
-        bad = _any_invalid(f, most)
+        bad = any_invalid(f, most)
         found.append(F.when(F.size(f) > LIST_LIMIT, F.struct(F.lit(f).alias("field"), F.lit("too-many-items").alias("code"))).when(bad, F.struct(F.lit(f).alias("field"), F.lit("invalid-text").alias("code"))))
         if f in required:
             found.append(F.when(F.size(f) == 0, F.struct(F.lit(f).alias("field"), F.lit("missing-items").alias("code"))))

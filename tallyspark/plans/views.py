@@ -15,6 +15,7 @@ DIALECT = {
     "MS(ts)": ("unix_millis(from_utc_timestamp(CAST(ts AS TIMESTAMP), current_timezone()))", "(epoch_us(ts) // 1000)"),
     "BYTES(text)": ("octet_length(text)", "strlen(text)"),
     "SHA(text)": ("sha2(text, 256)", "sha256(text)"),
+    "SHA(o_orderkey)": ("sha2(CAST(o_orderkey AS STRING), 256)", "sha256(CAST(o_orderkey AS STRING))"),
     " // ": (" div ", " // "),
 }
 
@@ -86,6 +87,7 @@ VIEWS: dict[str, tuple[str, dict[str, str]]] = {
             "next_attempt_at_ms": "CASE WHEN s_suppkey % 8 <> 0 THEN 1706000000000 + s_suppkey * 1000 END",
         },
     ),
+    "records_kept": ("orders", {"id": "o_orderkey", "status": "o_orderstatus", "priority": "o_orderpriority", "day": "substr(CAST(o_orderdate AS STRING), 1, 10)", "hash": "SHA(o_orderkey)"}),
     "archives": ("orders", {"source": "o_orderpriority", "session_id": "o_custkey", "revision": "o_orderkey % 3", "scan_order": "o_orderkey"}),
     "checks": ("part", {"seq": "p_partkey", "code": "p_name", "status": "CASE p_partkey % 5 WHEN 0 THEN 'error' WHEN 1 THEN 'warning' WHEN 2 THEN 'ok' WHEN 3 THEN 'unknown' END", "exit_code": "p_partkey % 7", "report": "p_partkey % 10"}),
     "files": ("lineitem", {"directory": "l_orderkey", "bytes": "l_partkey", "mtime_ms": "1704067200000 + (l_partkey * 7919 % 100000) * 1000"}),
