@@ -113,6 +113,7 @@ VIEWS: dict[str, tuple[str, dict[str, str]]] = {
             "finding": "CASE p_partkey % 3 WHEN 0 THEN true WHEN 1 THEN false END",
         },
     ),
+    "tool_events": ("events", {"session_id": "user_id", "seq": "event_id", "call_id": "CASE WHEN event_id % 17 > 0 THEN 'c' || CAST(event_id * 7 % 23 % 5 AS STRING) END", "phase": "CASE WHEN event_type IN ('error', 'purchase') OR (event_type = 'view' AND event_id % 2 = 0) THEN 'result' ELSE 'call' END"}),
     "session_events": (
         "events",
         {

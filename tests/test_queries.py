@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from tallyspark.plans import archive, catalog, lifecycle, reading, reports  # noqa: F401
+from tallyspark.plans import archive, calls, catalog, lifecycle, reading, reports  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents conversations".split()
