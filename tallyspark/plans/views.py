@@ -113,6 +113,18 @@ VIEWS: dict[str, tuple[str, dict[str, str]]] = {
             "finding": "CASE p_partkey % 3 WHEN 0 THEN true WHEN 1 THEN false END",
         },
     ),
+    "tool_texts": (
+        "documents",
+        {
+            "session_id": "doc_id % 211",
+            "tool": "CASE doc_id % 6 WHEN 0 THEN 'Edit' WHEN 1 THEN 'Bash' WHEN 2 THEN 'NotebookEdit' WHEN 3 THEN 'Read' WHEN 4 THEN 'Write' END",
+            "path": "CASE WHEN doc_id % 6 = 0 OR doc_id % 6 = 3 THEN concat('/a/', source, '/', lang, '.py') WHEN doc_id % 6 = 4 THEN substr(text, 1, 30) END",
+            "notebook": "CASE WHEN doc_id % 6 = 2 THEN concat('nb/', lang, CAST(doc_id % 7 AS STRING)) END",
+            "command": "CASE WHEN doc_id % 6 = 1 THEN substr(text, 3, 40) END",
+            "result": "CASE WHEN doc_id % 2 = 1 THEN concat(CASE WHEN doc_id % 3 = 0 THEN 'error[E1]: ' ELSE 'ok' END, substr(text, 1, 90), chr(10), ' ', chr(10), CASE doc_id % 5 WHEN 0 THEN 'FAILED ' WHEN 1 THEN '  TypeError : ' WHEN 2 THEN 'a::HttpError: ' WHEN 3 THEN 'panicked at ' ELSE 'thiserror: ' END, substr(text, 20, 100), chr(10), 'no such file or directory', chr(10), 'FAIL') END",
+            "summary": "CASE WHEN doc_id % 4 > 0 THEN substr(text, 1, 400) END",
+        },
+    ),
     "tool_events": ("events", {"session_id": "user_id", "seq": "event_id", "call_id": "CASE WHEN event_id % 17 > 0 THEN 'c' || CAST(event_id * 7 % 23 % 5 AS STRING) END", "phase": "CASE WHEN event_type IN ('error', 'purchase') OR (event_type = 'view' AND event_id % 2 = 0) THEN 'result' ELSE 'call' END"}),
     "session_events": (
         "events",
