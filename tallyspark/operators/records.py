@@ -157,6 +157,6 @@ def event_chunks(rows: DataFrame, session: str, order: str, size: str, cap: int)
             yield pd.DataFrame({session: f[session], order: f[order], "chunk": numbers})
 
     # a null session is a session too
-    slim = rows.select(session, order, F.coalesce(F.col(size).cast("long"), F.lit(0)).alias("size_"), F.coalesce(F.col(session).cast("string"), F.lit("")).alias("key_"))
+    slim = rows.select(session, order, F.coalesce(F.col(size).cast("long"), F.lit(0)).alias("size_"), F.to_json(F.struct(session)).alias("key_"))
     sorted_ = slim.repartition(session).sortWithinPartitions(session, order, "size_")
     return sorted_.mapInPandas(chunks, f"{session} {kind[session]}, {order} {kind[order]}, chunk long")

@@ -113,6 +113,50 @@ VIEWS: dict[str, tuple[str, dict[str, str]]] = {
             "finding": "CASE p_partkey % 3 WHEN 0 THEN true WHEN 1 THEN false END",
         },
     ),
+    "planned": ("orders", {
+            "session_id": "CAST(o_orderkey AS STRING)",
+            "revision": "o_orderkey % 4 + 1",
+            "attempt": "'a'",
+            "record_count": "o_custkey",
+            "byte_offset": "o_custkey * 10",
+            "prefix_hash": "SHA(o_orderkey)",
+            "source_hash": "SHA(o_orderkey)",
+            "source_bytes": "o_custkey * 10",
+            "relative_path": "concat(o_orderpriority, '.md')",
+            "markdown_hash": "SHA(o_orderkey)",
+            "history": "o_orderkey % 2 = 0",
+            "completion_reason": "o_orderstatus",
+            "fallback_reason": "CASE WHEN o_orderkey % 3 = 0 THEN 'cursor-mismatch' END",
+        }),
+    "persisted": ("orders", {
+            "session_id": "CAST(o_orderkey AS STRING)",
+            "revision": "o_orderkey % 4 + 1",
+            "attempt": "CASE WHEN o_orderkey % 19 = 0 THEN 'b' ELSE 'a' END",
+            "record_count": "o_custkey",
+            "byte_offset": "o_custkey * 10 + CASE WHEN o_orderkey % 17 = 0 THEN 1 ELSE 0 END",
+            "prefix_hash": "SHA(o_orderkey)",
+            "source_hash": "SHA(o_orderkey)",
+            "source_bytes": "o_custkey * 10",
+            "relative_path": "concat(o_orderpriority, '.md')",
+            "markdown_hash": "CASE WHEN o_orderkey % 23 = 0 THEN NULL ELSE SHA(o_orderkey) END",
+            "history": "o_orderkey % 2 = 0",
+            "completion_reason": "o_orderstatus",
+            "fallback_reason": "CASE WHEN o_orderkey % 3 = 0 AND o_orderkey % 29 > 0 THEN 'cursor-mismatch' END",
+        }),
+    "deliveries_made": (
+        "events",
+        {
+            "session_id": "CAST(user_id AS STRING)",
+            "endpoint": "CASE WHEN event_id % 3 = 0 THEN 'other' ELSE 'main' END",
+            "kind": "CASE WHEN event_id % 12 < 7 THEN 'failure' WHEN event_id % 12 = 7 THEN 'success' WHEN event_id % 12 = 8 THEN 'blocked' WHEN event_id % 12 = 9 THEN 'queue' ELSE 'retry' END",
+            "at_ms": "MS(ts)",
+            "key": "lpad(CAST(event_id AS STRING), 12, '0')",
+            "revision": "event_id % 6",
+            "hash": "event_type",
+            "category": "CASE event_id % 4 WHEN 0 THEN 'timeout' WHEN 1 THEN 'refused' END",
+            "forced": "event_id % 5 = 0",
+        },
+    ),
     "tool_texts": (
         "documents",
         {

@@ -19,8 +19,9 @@ row anew, with `eligible` set.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import astuple, dataclass, fields
+from typing import Any
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -207,26 +208,27 @@ def _ordered(events) -> list:
 # ---- batch
 
 
-def _folds(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows by session, each session's in order -> its state; only one session's state is held."""
-    now, state, seen = None, None, None
+def folds(keys: tuple[str, ...], start: Callable[[], Any], row: Callable[[Any], tuple], columns: list[str]):
+    """Rows by key, each key's in order of (at_ms, key) -> one row a key: its columns and `row` of the state that has taken its events; only one key's state is held."""
 
-    def row() -> tuple:
-        return (*now, *astuple(state), state.due_at())
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, state, seen = None, None, None
+        for frame in frames:
+            out = []
+            for e in frame.astype(object).where(frame.notna(), None).itertuples(index=False):
+                own = tuple(getattr(e, k) for k in keys)
+                if own != now:
+                    if now is not None:
+                        out.append((*now, *row(state)))
+                    now, state, seen = own, start(), None
+                if (e.at_ms, e.key) != seen:
+                    state.take(e)
+                seen = (e.at_ms, e.key)
+            yield pd.DataFrame(out, columns=columns).astype(object)
+        if now is not None:
+            yield pd.DataFrame([(*now, *row(state))], columns=columns).astype(object)
 
-    for frame in frames:
-        out = []
-        for e in frame.astype(object).where(frame.notna(), None).itertuples(index=False):
-            if (e.source, e.session_id) != now:
-                if now is not None:
-                    out.append(row())
-                now, state, seen = (e.source, e.session_id), Session(), None
-            if (e.at_ms, e.key) != seen:
-                state.take(e)
-            seen = (e.at_ms, e.key)
-        yield pd.DataFrame(out, columns=_ROW_FIELDS).astype(object)
-    if now is not None:
-        yield pd.DataFrame([row()], columns=_ROW_FIELDS).astype(object)
+    return run
 
 
 def lifecycle(events: DataFrame) -> DataFrame:
@@ -237,7 +239,7 @@ def lifecycle(events: DataFrame) -> DataFrame:
     without session, kind or time are left out; no events give no rows.
     """
     rows = _usable(events).repartition("source", "session_id").sortWithinPartitions("source", "session_id", "at_ms", "key")
-    return rows.mapInPandas(_folds, ROWS)
+    return rows.mapInPandas(folds(("source", "session_id"), Session, lambda s: (*astuple(s), s.due_at()), _ROW_FIELDS), ROWS)
 
 
 def _usable(events: DataFrame) -> DataFrame:

@@ -32,6 +32,11 @@ def test_event_chunks_of_a_long_session(spark):
     assert [r["chunk"] for r in got.where("s is null").orderBy("at").collect()] == [0, 1, 2]
 
 
+def test_event_chunks_of_null_and_empty_sessions(spark):
+    rows = spark.createDataFrame([(None, 0, 5), ("", 0, 5), (None, 1, 4)], "s string, at long, size int")
+    assert {tuple(r) for r in records.event_chunks(rows, "s", "at", "size", 8).collect()} == {(None, 0, 0), ("", 0, 0), (None, 1, 1)}
+
+
 def test_summary_violations(spark):
     good = ("t", "g\nh", ["x"], ["a"])
     rows = [(0, *good), (1, " ", *good[1:]), (2, "a\nb", "x\n## y", [], ["z" * 101]), (3, "t\x07", None, ["a\nb"], ["x"] * 201)]
