@@ -16,9 +16,11 @@ pieces, so nothing runs across one. Then:
    positions where phrases may start and, beyond them, copies of the next ones,
    so that a shift never leaves it. A phrase is shifted, ANDed with the bits
    that stay and with the bitmap of each word that follows, and counted by
-   popcount; then the longer phrase goes on the same way, depth first.
-4. Popcounts are summed over shards. All parts of a frequent phrase are frequent,
-   so every count that a score needs is there, exact.
+   popcount; then the longer phrase goes on the same way. That is done for the
+   phrases of some first words together, down to the longest, before the next.
+4. Popcounts are summed over shards, by blocks of the phrases' hashes of 64 bits,
+   which tell phrases apart. All parts of a frequent phrase are frequent, so
+   every count that a score needs is there, exact.
 
 Scores are exact decimals. Null and empty texts have no words; a null language is
 `und`. Rows that repeat count again. Equal scores rank by count, then by the
@@ -50,7 +52,9 @@ PIECE_END[[*b".,;:!?", 0x0A, 0x0B, 0x0C, 0x0D]] = True
 BETWEEN = PIECE_END.copy()
 BETWEEN[[0x20, 0x09]] = True
 #: Positions of a shard (runs that start there).
-SHARD_WORDS = 1 << 21
+SHARD_WORDS = 1 << 20
+#: Bitmaps' words that are extended at a time; words of the corpus for each block of phrases that is summed.
+BATCH_BITMAPS, BLOCK_WORDS = 1 << 18, 1 << 21
 #: Bits of a bitmap's word where phrases may start; the others are copies of the next ones.
 WINDOW = 64 - (LONGEST - 1)
 #: Buckets that one group sums.
@@ -137,26 +141,34 @@ def _sharded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     X.release_memory()
 
 
-def _opened(row: dict) -> tuple[np.ndarray, list[str], np.ndarray]:
-    """(ids by position, words, the words' hashes) of a shard's row."""
+def _opened(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(ids by position, words' bytes with a line feed after each, the words' hashes) of a shard's row."""
     ids = np.frombuffer(pa.decompress(row["ids"], 4 * row["positions"], "zstd", asbytes=True), np.int32)
     raw = np.frombuffer(row["words"], np.uint8)
     w = X.words(X.Chunk(0, 1, raw, np.array([0, len(raw)])), fold=False)
-    return ids, row["words"].decode("utf-8", "replace").split("\n")[:-1], w.hash
+    return ids, raw, w.hash
+
+
+def _seed(lang: str) -> np.uint64:
+    raw = np.frombuffer(lang.encode() + b"\n", np.uint8)
+    return X.mix(np.array([np.sum(raw.astype(np.uint64) * X.powers(len(raw)), dtype=np.uint64)]))[0]
+
+
+def _longer(h: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """Hashes of runs with one word more."""
+    return X.mix(h * np.uint64(0x9E3779B97F4A7C15) + word)
 
 
 def _run_buckets(ids: np.ndarray, hashes: np.ndarray, lang: str, starts: int, buckets: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """For each number of words 1 to LONGEST: (positions where runs start, their buckets)."""
-    raw = np.frombuffer(lang.encode() + b"\n", np.uint8)
-    seed = X.mix(np.array([np.sum(raw.astype(np.uint64) * X.powers(len(raw)), dtype=np.uint64)]))[0]
     at = np.flatnonzero(ids[:starts] >= 0)
-    h = X.mix(hashes + seed)[ids[at]]
+    h = X.mix(hashes + _seed(lang))[ids[at]]
     yield at, h & np.uint64(buckets - 1)
     for k in range(1, LONGEST):
         on = at + k < len(ids)
         on[on] = ids[at[on] + k] >= 0
         at, h = at[on], h[on]
-        h = X.mix(h * np.uint64(0x9E3779B97F4A7C15) + hashes[ids[at + k]])
+        h = _longer(h, hashes[ids[at + k]])
         yield at, h & np.uint64(buckets - 1)
 
 
@@ -220,26 +232,26 @@ def _staying(least: int):
 class Bitmaps:
     """Compressed bitmaps of the words of a shard, and the bits where runs of 1 to LONGEST words that may be frequent end."""
 
-    def __init__(self, ids: np.ndarray, starts: int, may_end: list[np.ndarray]):
+    def __init__(self, ids: np.ndarray, may_end: list[np.ndarray]):
         """may_end[k]: ascending positions where runs of k + 1 words end that may be frequent."""
-        self.ids, self.starts = ids, starts
+        self.ids = ids
         self.n = -(-max(len(ids), 1) // WINDOW)
         self.ends = [self._dense(x, k) for k, x in enumerate(may_end)]
         at = np.flatnonzero(ids >= 0)
-        order = at[np.argsort(ids[at], kind="stable")]
         # each position in its window, and in the one before it where that has a copy
-        window, bit = order // WINDOW, order % WINDOW
+        window, bit = at // WINDOW, at % WINDOW
         copy = (bit < 64 - WINDOW) & (window > 0)
-        word = np.concatenate([ids[order], ids[order[copy]]])
-        index = np.concatenate([window, window[copy] - 1])
+        key = np.concatenate([ids[at], ids[at[copy]]]).astype(np.int64) * self.n + np.concatenate([window, window[copy] - 1])
         mask = np.left_shift(np.uint64(1), np.concatenate([bit, bit[copy] + WINDOW]).astype(np.uint64))
-        key = word.astype(np.int64) * self.n + index
         order = np.argsort(key, kind="stable")
-        key, mask = key[order], mask[order]
-        edges = X.runs(key)[:-1]
-        self.mask = np.bitwise_or.reduceat(mask, edges) if len(edges) else mask
-        self.index = key[edges] % self.n
-        self.word = key[edges] // self.n
+        edges = X.runs(key[order])
+        self.mask = np.bitwise_or.reduceat(mask[order], edges[:-1]) if len(order) else mask
+        self.word, self.window = np.divmod(key[order][edges[:-1]], self.n)
+        # of each position its word's bitmap in the window, and in the one that has the copy
+        of = np.empty(len(order), np.int64)
+        of[order] = np.repeat(np.arange(len(self.mask)), np.diff(edges))
+        self.here, self.before = np.zeros((2, len(ids)), np.uint64)
+        self.here[at], self.before[at[copy]] = self.mask[of[: len(at)]], self.mask[of[len(at) :]]
 
     def _dense(self, at: np.ndarray, k: int) -> np.ndarray:
         """Bits of runs' last words by the window that the runs start in."""
@@ -252,80 +264,121 @@ class Bitmaps:
             out[window[edges]] = np.bitwise_or.reduceat(np.left_shift(np.uint64(1), bit), edges)
         return out
 
-    def phrases(self) -> Iterator[tuple[tuple[int, ...], int]]:
-        """(words' numbers, count) of all phrases that may be frequent, depth first."""
-        edges = X.runs(self.word)
-        self.first = {int(self.word[a]): (a, b) for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)}
-        for word, (a, b) in self.first.items():
-            index, mask = self.index[a:b], self.mask[a:b] & self.ends[0][self.index[a:b]]
-            there = mask != 0
-            if there.any():
-                yield from self._extended((word,), index[there], mask[there])
-
-    def _extended(self, phrase: tuple[int, ...], index: np.ndarray, mask: np.ndarray) -> Iterator[tuple[tuple[int, ...], int]]:
-        yield phrase, int(np.bitwise_count(mask).sum())
-        k = len(phrase)
-        if k == LONGEST:
-            return
-        ahead = (mask << np.uint64(1)) & self.ends[k][index]
-        there = np.flatnonzero(ahead)
-        if not len(there):
-            return
-        index, ahead = index[there], ahead[there]
-        for word in self._words(index, ahead):
-            a, b = self.first[word]
-            if b - a < len(index):
-                at = np.searchsorted(index, self.index[a:b])
-                at[at == len(index)] = 0
-                same, of = index[at] == self.index[a:b], self.index[a:b]
-                bits, of = (ahead[at] & self.mask[a:b])[same], of[same]
-            else:
-                at = np.searchsorted(self.index[a:b], index) + a
-                at[at == b] = a
-                same = self.index[at] == index
-                bits, of = (self.mask[at] & ahead)[same], index[same]
-            there = bits != 0
-            yield from self._extended((*phrase, word), of[there], bits[there])
-
-    def _words(self, index: np.ndarray, mask: np.ndarray) -> list[int]:
-        """The words at the bits set."""
-        row, bit = np.nonzero(np.unpackbits(mask.view(np.uint8), bitorder="little").reshape(-1, 64)) if len(mask) > 1 else self._bits(int(mask[0]))
-        return np.unique(self.ids[index[row] * WINDOW + bit]).tolist()
-
-    @staticmethod
-    def _bits(mask: int) -> tuple[np.ndarray, np.ndarray]:
-        bits = []
-        while mask:
-            low = mask & -mask
-            bits.append(low.bit_length() - 1)
-            mask ^= low
-        return np.zeros(len(bits), np.int64), np.array(bits)
-
-
-PHRASE_SCHEMA = "lang string, phrase string, k int, f long"
-
-
-def _counted_phrases(buckets: int):
-    """A shard with its buckets that stay -> (lang, phrase, k, f)."""
+    def phrases(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(words' numbers, a row each phrase; counts) of all phrases that may be frequent: some first words at a time, each time down to the longest."""
+        mask = self.mask & self.ends[0][self.window]
+        there = np.flatnonzero(mask)
+        word, window, mask = self.word[there], self.window[there], mask[there]
+        edges = X.runs(word)
+        a = 0
+        while a < len(edges) - 1:
+            b = max(int(np.searchsorted(edges, edges[a] + BATCH_BITMAPS, side="right")) - 1, a + 1)
+            some = slice(edges[a], edges[b])
+            words = word[edges[a:b]][:, None]
+            node = np.repeat(np.arange(b - a), np.diff(edges[a : b + 1]))
+            yield words, np.add.reduceat(np.bitwise_count(mask[some]).astype(np.int64), edges[a:b] - edges[a])
+            level = node, window[some], mask[some]
+            for k in range(1, LONGEST):
+                parent, last, counts, level = self._extended(*level, k)
+                if not len(last):
+                    break
+                words = np.column_stack([words[parent], last])
+                yield words, counts
+            a = b
+
+    def _extended(self, node: np.ndarray, window: np.ndarray, mask: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, tuple]:
+        """(parents, last words, counts, bitmaps) of the phrases that go on from bitmaps of phrases of k words."""
+        ahead = (mask << np.uint64(1)) & self.ends[k][window]
+        parts: list[tuple] = []
+        while True:
+            there = np.flatnonzero(ahead)
+            node, window, ahead = node[there], window[there], ahead[there]
+            if not len(there):
+                break
+            # the word at each one's first bit: ANDed with its bitmap, which takes all its bits at once
+            bit = np.bitwise_count((ahead & (~ahead + np.uint64(1))) - np.uint64(1)).astype(np.int64)
+            at = window * WINDOW + bit
+            bitmap = np.where(bit < WINDOW, self.here[at], self.before[at])
+            parts.append((node, self.ids[at], window, ahead & bitmap))
+            ahead = ahead & ~bitmap
+        if not parts:
+            none = np.zeros(0, np.int64)
+            return none, none, none, ()
+        node, word, window, mask = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = np.argsort(node * (int(self.ids.max()) + 1) + word, kind="stable")
+        node, word, window, mask = node[order], word[order], window[order], mask[order]
+        new = np.ones(len(node), bool)
+        new[1:] = (node[1:] != node[:-1]) | (word[1:] != word[:-1])
+        first = np.flatnonzero(new)
+        counts = np.add.reduceat(np.bitwise_count(mask).astype(np.int64), first)
+        return node[first], word[first], counts, (np.cumsum(new) - 1, window, mask)
+
+
+COUNTED = "lang string, block long, hashes binary, counts binary, phrases binary"
+_COUNTED_TYPES = pa.schema([("lang", pa.string()), ("block", pa.int64()), ("hashes", pa.binary()), ("counts", pa.binary()), ("phrases", pa.binary())])
+
+
+def _counted_phrases(buckets: int, blocks: int):
+    """A shard with its buckets that stay -> COUNTED: phrases by blocks of their hashes, with popcounts and texts (by line feeds)."""
 
     def run(shard: pa.Table, staying: pa.Table) -> pa.Table:
-        out: dict[str, list] = {"lang": [], "phrase": [], "k": [], "f": []}
+        out: list[dict] = []
         if shard.num_rows and staying.num_rows:
             row = shard.to_pylist()[0]
-            ids, words, hashes = _opened(row)
+            ids, raw, hashes = _opened(row)
             stay = np.sort(np.concatenate([np.frombuffer(r["places"], "<u4").astype(np.uint64) + np.uint64(r["base"]) for r in staying.to_pylist()]))
             ends = []
             for k, (at, bucket) in enumerate(_run_buckets(ids, hashes, row["lang"], row["starts"], buckets)):
                 place = np.searchsorted(stay, bucket)
                 place[place == len(stay)] = 0
                 ends.append(at[stay[place] == bucket] + k)
-            for phrase, count in Bitmaps(ids, row["starts"], ends).phrases():
-                out["phrase"].append(" ".join([words[x] for x in phrase]))
-                out["k"].append(len(phrase))
-                out["f"].append(count)
-            out["lang"] = [row["lang"]] * len(out["f"])
+            begin = np.concatenate([[0], np.flatnonzero(raw == 0x0A) + 1])
+            size = np.diff(begin)
+            for words, counts in Bitmaps(ids, ends).phrases():
+                h = X.mix(hashes[words[:, 0]] + _seed(row["lang"]))
+                for k in range(1, words.shape[1]):
+                    h = _longer(h, hashes[words[:, k]])
+                order = np.argsort(h)
+                words, counts, h = words[order], counts[order], h[order]
+                edges = X.runs(h >> np.uint64(64 - blocks.bit_length() + 1)) if blocks > 1 else np.array([0, len(h)])
+                spans = size[words].sum(axis=1)
+                text = _gather(raw, begin[:-1][words].ravel(), size[words].ravel())
+                inner = np.ones(words.shape, bool)
+                inner[:, -1] = False
+                text[(np.cumsum(size[words].ravel()) - 1)[inner.ravel()]] = 0x20
+                till = np.concatenate([[0], np.cumsum(spans)])
+                for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                    out.append({"lang": row["lang"], "block": int(h[a]) * blocks >> 64, "hashes": h[a:b].astype("<u8").tobytes(), "counts": counts[a:b].astype("<u4").tobytes(), "phrases": text[till[a] : till[b]].tobytes()})
         X.release_memory()
-        return pa.table({"lang": pa.array(out["lang"], pa.string()), "phrase": pa.array(out["phrase"], pa.string()), "k": pa.array(out["k"], pa.int32()), "f": pa.array(out["f"], pa.int64())})
+        return pa.Table.from_pylist(out, _COUNTED_TYPES)
+
+    return run
+
+
+PHRASE_SCHEMA = "lang string, phrase string, k int, f long"
+
+
+def _summed(least: int):
+    """A block's rows of COUNTED -> (lang, phrase, k, f) of the phrases that are frequent in all shards together."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        hashes = [np.frombuffer(x, "<u8") for x in rows.column("hashes").to_pylist()]
+        known, inverse = np.unique(np.concatenate(hashes), return_inverse=True)
+        total = np.zeros(len(known), np.int64)
+        np.add.at(total, inverse, np.concatenate([np.frombuffer(x, "<u4") for x in rows.column("counts").to_pylist()]).astype(np.int64))
+        # each frequent phrase's text from the first row that has it
+        wanted, at, phrases, f = total >= least, 0, [], []
+        for own, text in zip(hashes, rows.column("phrases"), strict=True):
+            mine = inverse[at : at + len(own)]
+            at += len(own)
+            first = np.flatnonzero(wanted[mine])
+            if len(first):
+                texts = text.as_py().split(b"\n")
+                phrases += [texts[i].decode("utf-8", "replace") for i in first.tolist()]
+                f.append(total[mine[first]])
+                wanted[mine[first]] = False
+        lang = rows.column("lang")[0].as_py()
+        return pa.table({"lang": pa.array([lang] * len(phrases), pa.string()), "phrase": pa.array(phrases, pa.string()), "k": pa.array([x.count(" ") + 1 for x in phrases], pa.int32()), "f": pa.array(np.concatenate(f) if f else [], pa.int64())})
 
     return run
 
@@ -338,8 +391,9 @@ def phrase_counts(docs: DataFrame, lang: Column, text: Column, least: int = 30)
     buckets = max(BLOCK, 1 << (2 * runs - 1).bit_length() if runs else 0)
     counted = shards.mapInArrow(_counted_buckets(buckets, least), "block long, shard long, places binary, counts binary")
     staying = counted.groupBy("block").applyInPandas(_staying(least), "shard long, base long, places binary")
-    phrases = shards.groupBy("shard").cogroup(staying.groupBy("shard")).applyInArrow(_counted_phrases(buckets), PHRASE_SCHEMA)
-    return totals, written(phrases.groupBy("lang", "phrase", "k").agg(F.sum("f").alias("f")).where(F.col("f") >= least))
+    blocks = 1 << max(4, (runs // LONGEST // BLOCK_WORDS).bit_length())
+    phrases = shards.groupBy("shard").cogroup(staying.groupBy("shard")).applyInArrow(_counted_phrases(buckets, blocks), COUNTED)
+    return totals, written(phrases.groupBy("lang", "block").applyInArrow(_summed(least), PHRASE_SCHEMA))
 
 
 def collocations(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", least: int = 30, share: int = 80, most: int = 2000) -> DataFrame:
