@@ -34,33 +34,88 @@ from pyspark.sql import functions as F
 from . import textops as X
 from .spark_util import checkpointed
 
-#: Words whose ids a worker keeps from task to task; beyond it starts anew.
-CACHE_WORDS = 1 << 18
-#: Words encoded at a time; an encoding holds much more than its ids.
+#: Pieces of words whose ids a worker keeps from task to task; beyond it starts anew.
+CACHE_WORDS = 1 << 20
+#: Pieces encoded at a time; an encoding holds much more than its ids.
 BATCH_WORDS = 4096
+LETTER = np.zeros(256, bool)
+LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
+#: ASCII that letters can be parted from: all but the apostrophe, which may begin a token of letters, and `<`, which may begin a special token.
+APART = np.zeros(256, bool)
+APART[[x for x in range(0x21, 0x7F) if not LETTER[x] and x not in b"'<"]] = True
 
 
 class WordEncoder:
-    """Token ids of whole texts from ids of their white-space separated words, each encoded once.
+    """Token ids of whole texts from ids of pieces of their white-space separated words, each encoded once.
 
-    Holds for tokenizers that drop white space and never merge across it.
+    Holds for tokenizers that drop white space and never merge across it. Where
+    one also makes letters small and parts letters from other ASCII characters
+    (it is tried out), words are cut there and folded, so there are fewer
+    different ones. A word that may hold a special token is left as it is.
     """
 
     def __init__(self, path: str, end_id: int):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.end_id = Tokenizer.from_file(path), end_id
+        parts = ["ab", ".", "cde", "(", "x", "12", "yz", "-", "q", ";"]
+        whole, single = self._tokens("".join(parts).upper()), [x for p in parts for x in self._tokens(p)]
+        self.cuts = whole == single
+        # whether a token ends a run of letters, if the vocabulary tells
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        self.ends = np.zeros(0, bool)
+        if self.cuts and suffix:
+            vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+            self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+            self.ends[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
         self._reset()
 
+    def _tokens(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
     def _reset(self) -> None:
         # hashes in order, and each one's place in ids
         self.known, self.slots = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         self.ids, self.at = np.array([self.end_id], np.uint32), np.array([0, 1])
 
+    def _pieces(self, c: X.Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(bytes, starts, ends, hashes, whether letters only, offsets of texts) of the pieces of a chunk's words."""
+        w = X.words(c, fold=False)
+        if not self.cuts or not len(w.hash):
+            return c.data, w.start, w.end, w.hash, np.zeros(len(w.hash), bool), w.word_offsets
+        data = X.LOWER[c.data]
+        word = np.cumsum(np.bincount(w.start, minlength=len(data))) - 1
+        whole = np.zeros(len(w.hash), bool)
+        whole[word[np.flatnonzero(data == 0x3C)]] = True
+        raw = whole[word]
+        data[raw] = c.data[raw]
+        letter, apart = LETTER[data], APART[data]
+        # U+00C0 to U+00FF are letters of two bytes, but for two signs
+        pair = (data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] < 0xC0) & (data[1:] != 0x97) & (data[1:] != 0xB7)
+        letter[:-1] |= pair
+        letter[1:] |= pair
+        begins = np.zeros(len(data), bool)
+        begins[1:] = ((letter[:-1] & apart[1:]) | (apart[:-1] & letter[1:])) & ~raw[1:]
+        begins[w.start] = True
+        start = np.flatnonzero(begins)
+        end = np.minimum(np.append(start[1:], len(data)), w.end[word[start]])
+        outside = np.concatenate([[0], np.cumsum(~letter)])
+        return data, start, end, X.byte_hashes(data, start, end), outside[end] == outside[start], np.searchsorted(start, c.offsets)
+
+    def _encoded(self, texts: list[str], letters: bool) -> tuple[list[int], list[int]]:
+        """(ids one after another, how many of each text); runs of letters go as one text, parted where a token ends a run."""
+        if letters and len(self.ends):
+            ids = self._tokens(" ".join(texts))
+            last = np.flatnonzero(self.ends[ids])
+            if len(last) == len(texts) and last[-1] == len(ids) - 1:
+                return ids, np.diff(last, prepend=-1).tolist()
+        found = [x.ids for x in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        return list(chain.from_iterable(found)), list(map(len, found))
+
     def encode(self, c: X.Chunk) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after another, offsets of texts); every text ends with end_id."""
-        w = X.words(c, fold=False)
-        h, first, inverse = np.unique(w.hash, return_index=True, return_inverse=True)
+        data, start, end, hashes, letters, offsets = self._pieces(c)
+        h, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
         if len(self.known) > CACHE_WORDS:
             self._reset()
         place = np.searchsorted(self.known, h)
@@ -68,23 +123,29 @@ class WordEncoder:
         there[there] = self.known[place[there]] == h[there]
         new = np.flatnonzero(~there)
         if len(new):
-            raw = c.data.tobytes()
+            raw = data.tobytes()
             ids, sizes = [self.ids], []
-            for some in np.split(first[new], range(BATCH_WORDS, len(new), BATCH_WORDS)):
-                texts = [raw[a:b].decode("utf-8", "replace") for a, b in zip(w.start[some].tolist(), w.end[some].tolist(), strict=True)]
-                found = [x.ids for x in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
-                ids.append(np.fromiter(chain.from_iterable(found), np.uint32))
-                sizes += map(len, found)
+            new = new[np.argsort(~letters[first[new]], kind="stable")]
+            joined = int(letters[first[new]].sum())
+            for a in (*range(0, joined, BATCH_WORDS), *range(joined, len(new), BATCH_WORDS)):
+                some = first[new[a : min(a + BATCH_WORDS, joined if a < joined else len(new))]]
+                texts = [raw[i:j].decode("utf-8", "replace") for i, j in zip(start[some].tolist(), end[some].tolist(), strict=True)]
+                found, n = self._encoded(texts, a < joined)
+                ids.append(np.array(found, np.uint32))
+                sizes += n
+            slots = np.empty(len(h), np.int64)
+            slots[new] = len(self.at) - 1 + np.arange(len(new))
+            new = np.sort(new)
             self.known = np.insert(self.known, place[new], h[new])
-            self.slots = np.insert(self.slots, place[new], len(self.at) - 1 + np.arange(len(new)))
+            self.slots = np.insert(self.slots, place[new], slots[new])
             self.ids = np.concatenate(ids)
-            self.at = np.concatenate([self.at, self.at[-1] + np.cumsum(sizes)])
+            self.at = np.concatenate([self.at, self.at[-1] + np.cumsum(sizes, dtype=np.int64)])
         slot = self.slots[np.searchsorted(self.known, h)][inverse]
-        slot = np.insert(slot, w.word_offsets[1:], 0)
+        slot = np.insert(slot, offsets[1:], 0)
         size = self.at[slot + 1] - self.at[slot]
         total = np.concatenate([[0], np.cumsum(size)])
         ids = self.ids[np.repeat(self.at[slot] - total[:-1], size) + np.arange(total[-1])]
-        return ids, total[np.concatenate([[0], w.word_offsets[1:] + np.arange(1, c.n + 1)])]
+        return ids, total[np.concatenate([[0], offsets[1:] + np.arange(1, c.n + 1)])]
 
 
 @lru_cache(1)

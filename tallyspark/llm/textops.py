@@ -92,6 +92,18 @@ def chunks(column: pa.Array, limit: int = 1 << 18) -> Iterator[Chunk]:
     release_memory()
 
 
+def span_hashes(values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of spans of bytes that stand for the given values."""
+    total = np.zeros(len(values) + 1, np.uint64)
+    np.cumsum(values * powers(len(values)), out=total[1:])
+    return mix((total[end] - total[start]) * powers(len(values) + 1, True)[start] + (end - start).astype(np.uint64))
+
+
+def byte_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of spans of the bytes as they are."""
+    return span_hashes(_RAW[data], start, end)
+
+
 @dataclass
 class Words:
     """Words of a chunk: byte spans, the text each is in, its 64-bit hash; word_offsets: first word of each text."""
@@ -115,9 +127,7 @@ def words(chunk: Chunk, fold: bool = True, space: np.ndarray = SPACE) -> Words:
     edge = off[1:][off[1:] > 0] - 1
     ends[edge] = solid[edge]
     start, end = np.flatnonzero(starts), np.flatnonzero(ends) + 1
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((_FOLDED if fold else _RAW)[data] * powers(len(data)), out=total[1:])
-    h = mix((total[end] - total[start]) * powers(len(data) + 1, True)[start] + (end - start).astype(np.uint64))
+    h = span_hashes((_FOLDED if fold else _RAW)[data], start, end)
     word_offsets = np.searchsorted(start, off)
     return Words(start, end, np.repeat(np.arange(chunk.n), np.diff(word_offsets)), h, word_offsets)
 

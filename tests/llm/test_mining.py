@@ -249,6 +249,22 @@ def test_packer_over_blocks_cuts_few_and_balances():
     assert max(tokens.values()) - min(tokens.values()) <= 4096 and max(work.values()) < 2 * min(work.values())
 
 
+def test_words_cut_into_pieces_give_the_tokenizers_ids():
+    from tallyspark.llm import textops
+    from tallyspark.llm.packing import WordEncoder
+
+    encoder = WordEncoder(queries.tokenizer_path("word_bpe_49k.json"), 1)
+    assert encoder.cuts and len(encoder.ends)
+    rng = random.Random(6)
+    parts = ["a", "B", "'", "s", "<", "|", ">", "<|endoftext|>", "<|ENDOFTEXT|>", "1", ".", "!", "é", "É", "\u0301", "×", "÷", "日", "_", " ", "\n", "\u00a0", "'ll", "'S", "İ", "\u212a", "ß", "\u200b", "½", "\x00", "\x1c", "𝒳"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 25))) for _ in range(3000)] + [None, "", "x" * 5000, "it's <|endoftext|>x"]
+    got = []
+    for c in textops.chunks(pa.array(texts, pa.string()), 4096):
+        ids, at = encoder.encode(c)
+        got += [ids[at[i] : at[i + 1]].tolist() for i in range(c.n)]
+    assert got == encoded(texts, 1)
+
+
 def test_powers_and_single_pieces():
     assert tiered_packing.powers([]) == []
     assert [sum(p[2] for p in w) for w in tiered_packing.powers([(0, 0, 1000), (1, 0, 337)])] == [1024, 256, 32, 16, 8, 1]
