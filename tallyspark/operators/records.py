@@ -134,11 +134,12 @@ def corpus_rollup(rows: DataFrame, agent: str, version: str, measures: list[Colu
     return rows.groupingSets([[F.col(agent), F.col(version)], []], agent, version).agg((F.grouping_id() == 3).alias("is_total"), *measures)
 
 
-def event_chunks(rows: DataFrame, session: str, order: str, size: str, cap: int) -> DataFrame:
+def event_chunks(rows: DataFrame, session: str, order: str, size: str, cap: int | str) -> DataFrame:
     """(session, order, chunk): events in order, a new chunk where the next would not fit; one larger than cap stands alone.
 
-    Greedy, so one pass over each session; only sizes go through it, and a
-    session's rows stream through their task.
+    cap: bytes, or the column that has them for the row's session. Greedy, so one
+    pass over each session; only sizes go through it, and a session's rows stream
+    through their task.
     """
     kind = dict(rows.dtypes)
 
@@ -146,10 +147,10 @@ def event_chunks(rows: DataFrame, session: str, order: str, size: str, cap: int)
         own, chunk, used = None, 0, 0
         for f in frames:
             numbers = []
-            for key, size in zip(f["key_"], f["size_"], strict=True):
+            for key, size, most in zip(f["key_"], f["size_"], f["cap_"], strict=True):
                 if key != own:
                     own, chunk, used = key, 0, size
-                elif used + size > cap:
+                elif used + size > most:
                     chunk, used = chunk + 1, size
                 else:
                     used += size
@@ -157,6 +158,7 @@ def event_chunks(rows: DataFrame, session: str, order: str, size: str, cap: int)
             yield pd.DataFrame({session: f[session], order: f[order], "chunk": numbers})
 
     # a null session is a session too
-    slim = rows.select(session, order, F.coalesce(F.col(size).cast("long"), F.lit(0)).alias("size_"), F.to_json(F.struct(session)).alias("key_"))
+    most = F.lit(cap) if isinstance(cap, int) else F.col(cap)
+    slim = rows.select(session, order, F.coalesce(F.col(size).cast("long"), F.lit(0)).alias("size_"), most.cast("long").alias("cap_"), F.to_json(F.struct(session)).alias("key_"))
     sorted_ = slim.repartition(session).sortWithinPartitions(session, order, "size_")
     return sorted_.mapInPandas(chunks, f"{session} {kind[session]}, {order} {kind[order]}, chunk long")
