@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: States of a session that want attention (fixed values).
@@ -32,6 +32,39 @@ def recent_sessions(sessions: DataFrame, states: tuple[str, ...], limit: int = 1
     return wanted.orderBy(F.desc(F.coalesce("updated_at_ms", F.lit(0))), "id").limit(limit).select("id", "lifecycle_state", "updated_at_ms")
 
 
+#: A dashboard's lists: what runs, what was archived or failed last, the newest diagnostics.
+RUNNING = ("processing", "summary-pending")
+RUNNING_LIMIT, RECENT_LIMIT, DIAGNOSTICS_LIMIT = 20, 10, 5
+
+
+def dashboard_lists(sessions: DataFrame, attempts: DataFrame, diagnostics: DataFrame) -> DataFrame:
+    """(list, rank, session_id, source, project, detail, at_ms) of a dashboard's four lists, the newest first, without time last.
+
+    sessions have session_id, source, project, state, title and updated_at_ms;
+    attempts session_id, source, project, outcome, error_category and
+    finished_at_ms; diagnostics operation, category and recorded_at_ms; all have
+    id, by which equal times rank. Rows without session are left out of the
+    lists of sessions; an unnamed project is said to be unknown. Each list is a
+    top-k of its own: only so many rows of a task are shuffled.
+    """
+    project = F.coalesce(F.nullif("project", F.lit("")), F.lit("(unknown)"))
+    named = F.coalesce(F.col("session_id") != "", F.lit(False))
+
+    def top(rows: DataFrame, name: str, detail: str, time: str, limit: int, session: bool = True) -> DataFrame:
+        columns = [F.col("session_id"), F.col("source"), project.alias("project")] if session else [F.lit(None).cast("string").alias(c) for c in ("session_id", "source", "project")]
+        first = rows.select("id", *columns, F.col(detail).alias("detail"), F.col(time).alias("at_ms")).orderBy(F.desc_nulls_last("at_ms"), "id").limit(limit)
+        ranked = first.withColumn("rank", F.row_number().over(Window.orderBy(F.desc_nulls_last("at_ms"), "id")))
+        return ranked.select(F.lit(name).alias("list"), "rank", "session_id", "source", "project", "detail", "at_ms")
+
+    lists = [
+        top(sessions.where(named & F.col("state").isin(*RUNNING)), "processing", "state", "updated_at_ms", RUNNING_LIMIT),
+        top(sessions.where(named & (F.col("state") == "archived")), "archived", "title", "updated_at_ms", RECENT_LIMIT),
+        top(attempts.where(named & (F.col("outcome") == "failed")), "failures", "error_category", "finished_at_ms", RECENT_LIMIT),
+        top(diagnostics.withColumn("said", F.concat_ws("/", "operation", "category")), "diagnostics", "said", "recorded_at_ms", DIAGNOSTICS_LIMIT, session=False),
+    ]
+    return lists[0].unionByName(lists[1]).unionByName(lists[2]).unionByName(lists[3])
+
+
 def failing_checks(checks: DataFrame) -> DataFrame:
     """Checks that are not ok with their rank, errors first, then warnings, then anything else; in their own order otherwise."""
     rank = F.when(F.col("status") == "error", 0).when(F.col("status") == "warning", 1).otherwise(2)

@@ -16,6 +16,7 @@ DIALECT = {
     "BYTES(text)": ("octet_length(text)", "strlen(text)"),
     "SHA(text)": ("sha2(text, 256)", "sha256(text)"),
     "SHA(o_orderkey)": ("sha2(CAST(o_orderkey AS STRING), 256)", "sha256(CAST(o_orderkey AS STRING))"),
+    "SHA(l_partkey)": ("sha2(CAST(l_partkey AS STRING), 256)", "sha256(CAST(l_partkey AS STRING))"),
     " // ": (" div ", " // "),
 }
 
@@ -113,6 +114,18 @@ VIEWS: dict[str, tuple[str, dict[str, str]]] = {
             "finding": "CASE p_partkey % 3 WHEN 0 THEN true WHEN 1 THEN false END",
         },
     ),
+    "captured": ("documents", {"id": "doc_id", "lang": "lang", "source": "substr(text, 1, 40)"}),
+    "event_props": ("events", {"raw": "props"}),
+    "parts_kept": ("lineitem", {"id": "l_orderkey", "number": "l_linenumber", "flag": "l_returnflag", "bytes": "l_partkey", "hash": "SHA(l_partkey)"}),
+    "user_texts": (
+        "conversations",
+        {
+            "session_id": "conv_id",
+            "seq": "turn",
+            "kind": "role",
+            "content": "CASE WHEN conv_id % 5 = 0 THEN concat('say {\"instruction\":\"', CASE conv_id % 3 WHEN 0 THEN 'Summarize the whole session' WHEN 1 THEN 'Reduce these' ELSE 'Do as ' END, '\"} ', text) WHEN conv_id % 7 = 0 THEN concat('{\"instruction\":\"no\", \"instruction\":\"Reduce these', text) ELSE text END",
+        },
+    ),
     "planned": ("orders", {
             "session_id": "CAST(o_orderkey AS STRING)",
             "revision": "o_orderkey % 4 + 1",
