@@ -6,6 +6,9 @@ The posterior of a row's language multiplies four kinds of evidence:
   labelled texts (tempered, as neighbouring trigrams overlap). `und` stands for
   no known language: trigrams spread as in all languages' mean, flattened.
   Where a row is itself one of those texts, its own counts are left out;
+  Of a page the text is its blocks, decoded and with white space squeezed,
+  without what its markup declares to be a menu, footer or the like; a page of
+  nothing else is asked as a whole;
 - the declared markup language: right with probability `declared_right`;
 - the address suffix: P(suffix | language), counted over rows by the language
   their text alone suggests;
@@ -22,7 +25,9 @@ declared, suffix or host values are no evidence. Repeated rows come back each.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator, Sequence
+from html import unescape
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textops as X
+from .html_extract import blocks
 from .spark_util import checkpointed
 
 SLOTS = 1 << 16
@@ -195,10 +201,28 @@ def identify_documents(docs: DataFrame, labelled: DataFrame | None = None, **opt
     return identify(docs, trigram_counts(labelled, "text", "lang"), "doc_id", F.col("text"), declared=F.col("lang"), levels=[F.col("source")], learned_as=own, **options)
 
 
+_HIDDEN = re.compile(r"<(script|style)\b.*?(?:</\1\s*>|\Z)|<[^>]*>", re.S | re.I)
+
+
+def page_text(page: str | None) -> str:
+    """A page's blocks, or where it has none the whole text between its tags."""
+    text = " ".join(x for _, _, x in blocks(page or ""))
+    return text or " ".join(unescape(_HIDDEN.sub(" ", page or "")).split())
+
+
+def _page_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        texts = pa.array([page_text(x) for x in batch.column("html").to_pylist()], pa.string())
+        yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("host"), batch.column("declared"), texts], ["id", "host", "declared", "text"])
+
+
 def identify_pages(pages: DataFrame, labelled: DataFrame, **options) -> DataFrame:
     """pages rows: the html element's lang, the host's last label as suffix, the host under its last two labels."""
     host = F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)", 1))
-    host = F.when(host != "", host)
-    text = F.regexp_replace(F.regexp_replace("html", r"(?is)<(script|style)\b.*?</\1\s*>", " "), "<[^>]*>", " ")
     lang = F.regexp_extract("html", r"(?is)<html\b[^>]*\blang\s*=\s*[\"']?([A-Za-z]+)", 1)
-    return identify(pages, trigram_counts(labelled, "text", "lang"), "page_id", text, declared=F.when(lang != "", lang), suffix=F.substring_index(host, ".", -1), levels=[F.substring_index(host, ".", -2), host], **options)
+    read = pages.select(F.col("page_id").alias("id"), F.when(host != "", host).alias("host"), F.when(lang != "", lang).alias("declared"), "html")
+    kind = read.schema["id"].dataType.simpleString()
+    texts = read.mapInArrow(_page_texts, f"id {kind}, host string, declared string, text string")
+    host = F.col("host")
+    found = identify(texts, trigram_counts(labelled, "text", "lang"), "id", F.col("text"), declared=F.col("declared"), suffix=F.substring_index(host, ".", -1), levels=[F.substring_index(host, ".", -2), host], **options)
+    return found.withColumnRenamed("id", "page_id")

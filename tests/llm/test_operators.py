@@ -16,7 +16,7 @@ from tallyspark.llm.decision_list import quality_rules
 from tallyspark.llm.decontaminate import contaminated, smith_waterman
 from tallyspark.llm.html_extract import blocks, extract_main_text
 from tallyspark.llm.jaccard_join import jaccard_components
-from tallyspark.llm.language_id import identify_documents
+from tallyspark.llm.language_id import identify_documents, identify_pages
 from tallyspark.llm.queries import queries
 from tallyspark.llm.packing import packed, plan
 from tallyspark.llm.suffix_dedup import intervals, removal_digest
@@ -379,8 +379,7 @@ def test_language_of_whole_pages(spark, tmp_path):
         text = " ".join(rng.choices(words[k].split(), k=n)) if k in words else "7"
         pages.append((i, f"https://{host}/p/{i}" if host else None, f"<html{f' lang="{declared}-X"' if declared else ''}><script>the and not</script><p class=x>{text}</p></html>"))
         label = host.split(".") if host else None
-        # each tag is a space
-        rows.append((f"   {text}  ", declared, label[-1] if host else None, (".".join(label[-2:]), host) if host else (None, None)))
+        rows.append((text, declared, label[-1] if host else None, (".".join(label[-2:]), host) if host else (None, None)))
     pages.append((900, "https://one.es/", None))
     rows.append(("", None, "es", ("one.es", "one.es")))
     spark.createDataFrame(documents, "doc_id long, text string, lang string").withColumn("source", F.lit("s")).write.parquet(f"{tmp_path}/documents.parquet")
@@ -393,6 +392,17 @@ def test_language_of_whole_pages(spark, tmp_path):
     assert got[150][0] == "de" and got[231][0] == "de" and got[231][1] > got[232][1]
 
 
+def test_language_of_a_page_is_its_articles(spark):
+    """Tags by the dozen, references and menus in another language don't tell; a page of a menu only is asked as a whole."""
+    english, german = "the school between and over also not the and school", "und zwischen der schule auch nicht über der und schule"
+    documents = spark.createDataFrame([(i, x * 3, k) for i, (x, k) in enumerate([(english, "en"), (german, "de"), ("el y no también escuela entre sobre señor", "es"), ("le et pas aussi école entre dessus être", "fr")] * 4)], "doc_id long, text string, lang string")
+    menu = "".join(f"<nav><ul><li><a href=x>{w}</a></li></ul></nav>\n      " for w in english.split() * 3)
+    spread = "".join(f"<div>\n   <p>{w}&nbsp;&amp;</p>\n\n      </div>" for w in german.split())
+    pages = [(1, None, f"<html>{menu}<article>{spread}</article><footer>{english}</footer></html>"), (2, None, f"<html>{menu}</html>"), (3, None, f"<html><p>{german.replace('ü', '&uuml;')}</p></html>"), (4, None, "<p></p>"), (5, None, "<p>" + "ꙮꙮ₪₫ " * 400 + "</p>")]
+    got = {r["page_id"]: (r["lang"], r["kept"]) for r in identify_pages(spark.createDataFrame(pages, "page_id long, url string, html string"), documents).collect()}
+    assert got == {1: ("de", True), 2: ("en", True), 3: ("de", True), 4: (None, False), 5: ("und", False)}
+
+
 def test_language_without_a_rows_own_counts(spark):
     rng = random.Random(15)
     words = {"de": "der und nicht auch schule zwischen über", "en": "the and not also school between over", "es": "el y no también escuela entre sobre señor", "fr": "le et pas aussi école entre dessus être"}
