@@ -62,3 +62,13 @@ def manifest_hash(entries: DataFrame, key: str, path: str, digest: str, size: st
 def key_frequencies(lines: DataFrame, raw: str = "raw") -> DataFrame:
     """How many JSON objects have each top-level key."""
     return lines.select(F.explode(F.json_object_keys(raw)).alias("key")).groupBy("key").agg(F.count("*").alias("n"))
+
+
+def known_records(artifacts: DataFrame, records: DataFrame) -> DataFrame:
+    """Artifacts with the local record that has their content, null where none has: by the hash, with or without its prefix; of equal records the last by path.
+
+    Both sides are joined by the hash; neither is held by one task.
+    """
+    bare = lambda c: F.regexp_replace(F.col(c), "^sha256:", "")
+    index = records.groupBy(bare("markdown_hash").alias("hash_")).agg(F.max("relative_path").alias("local_path"))
+    return artifacts.withColumn("hash_", bare("original_sha256")).join(index, "hash_", "left").drop("hash_")

@@ -133,6 +133,14 @@ def prunable(files: DataFrame, now_ms: int, retention_ms: int, limit: int = PRUN
     return directory_measures(files).where(old).orderBy("directory").limit(limit)
 
 
+def prune_totals(files: DataFrame, now_ms: int, retention_ms: int, limit: int = PRUNE_LIMIT) -> DataFrame:
+    """One row of a pass: directories it prunes, those that remain (too new, not quiet or over the limit) and the bytes it frees."""
+    pruned = prunable(files, now_ms, retention_ms, limit).agg(F.count("*").alias("pruned"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("reclaimed_bytes"))
+    every = files.agg(F.count_distinct("directory").alias("directories"))
+    both = pruned.withColumn("one_", F.lit(1)).join(every.withColumn("one_", F.lit(1)), "one_")
+    return both.select("pruned", (F.col("directories") - F.col("pruned")).alias("remaining"), "reclaimed_bytes")
+
+
 def undiscovered(candidates: DataFrame, sessions: DataFrame, keys: list[str]) -> DataFrame:
     """Candidates that no session has yet."""
     return candidates.join(sessions.select(*keys).distinct(), keys, "left_anti")

@@ -93,9 +93,60 @@ def parked_causes(sessions: DataFrame) -> DataFrame:
     return parked.groupBy(F.coalesce("last_error_category", F.lit("none")).alias("category")).agg(F.count("*").alias("n"))
 
 
+#: What a parked session's error means for a check: size caps, identities, transcripts that are gone.
+SIZE_CAPS = ("source-oversized", "summary-input-limit")
+MISMATCH, MISSING = "source-id-mismatch", "source-missing"
+
+
+def parked_checks(sessions: DataFrame) -> DataFrame:
+    """(code, n) of the checks that parked sessions give, those without any left out.
+
+    size-cap-parked: a size cap holds them; id-mismatch-parked: their id is not
+    their transcript's; of those whose transcript is gone the ones of which
+    nothing was ever read, neither archived nor with a cursor, are
+    phantom-invocations-parked, the others source-missing-parked.
+    """
+    parked = sessions.where((F.col("lifecycle_state") == "failed") & (F.col("next_retry_at_ms") < 0))
+    error = F.col("last_error_category")
+    phantom = (F.coalesce("current_revision", F.lit(0)) == 0) & F.col("cursor_bytes").isNull()
+    code = (
+        F.when(error.isin(*SIZE_CAPS), "size-cap-parked")
+        .when(error == MISMATCH, "id-mismatch-parked")
+        .when(error == MISSING, F.when(phantom, "phantom-invocations-parked").otherwise("source-missing-parked"))
+    )
+    return parked.select(code.alias("code")).where("code is not null").groupBy("code").agg(F.count("*").alias("n"))
+
+
+def attention(sessions: DataFrame) -> DataFrame:
+    """(id, reason) of sessions that a sweep looks at, a row for each reason.
+
+    unresolved: work without a transcript's path; stuck-observed: inactive,
+    neither ended nor settled; parked-unarchived: parked with a path and nothing
+    archived; oversized-parked: parked on the source's size; settled-lost:
+    settled as lost, with a path that may come back.
+    """
+    state, path = F.col("lifecycle_state"), F.col("transcript_path").isNotNull()
+    parked = (state == "failed") & (F.col("next_retry_at_ms") < 0)
+    reasons = {
+        "unresolved": ~path & state.isin("summary-pending", "revision-pending", "interrupted", "failed"),
+        "stuck-observed": ~F.col("active") & (state == "observed") & F.col("last_session_end_ms").isNull() & F.col("transcript_lost_at_ms").isNull(),
+        "parked-unarchived": parked & (F.col("current_revision") == 0) & path,
+        "oversized-parked": parked & (F.col("last_error_category") == SIZE_CAPS[0]) & path,
+        "settled-lost": F.col("transcript_lost_at_ms").isNotNull() & path,
+    }
+    found = F.filter(F.array(*(F.when(c, F.lit(name)) for name, c in reasons.items())), lambda x: x.isNotNull())
+    return sessions.select("id", F.explode(found).alias("reason"))
+
+
 def ledger_status(ledger: DataFrame) -> DataFrame:
     """Rows and bytes of each state of a ledger."""
-    return ledger.groupBy("state").agg(F.count("*").alias("n"), F.try_sum("bytes").alias("bytes"), F.max("attempts").alias("most_attempts"))
+    return ledger.groupBy("state").agg(F.count("*").alias("n"), saturating_sum("bytes").alias("bytes"), F.max("attempts").alias("most_attempts"))
+
+
+def saturating_sum(column: str) -> Column:
+    """A sum of longs that stays at the largest or smallest long instead of going over; null of no values."""
+    most, total = (1 << 63) - 1, F.sum(F.col(column).cast("decimal(28,0)"))
+    return F.when(total.isNotNull(), F.greatest(F.least(total, F.lit(most)), F.lit(-most - 1))).cast("long")
 
 
 def due_uploads(ledger: DataFrame, sessions: DataFrame, endpoint: str, now_ms: int, limit: int = 32) -> DataFrame:
@@ -144,3 +195,19 @@ def upsert(old: DataFrame, new: DataFrame, keys: list[str], order: str) -> DataF
     both = old.withColumn("is_new", F.lit(0)).unionByName(new.withColumn("is_new", F.lit(1)))
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("is_new"), F.desc(order)))
     return both.withColumn("rank", rank).where("rank = 1").drop("rank", "is_new")
+
+
+def inserted(old: DataFrame, new: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """Old rows and the new ones whose key isn't there yet, of several the one with the smallest order; what is there stays as it is. Null keys equal each other."""
+    there = old.select(*(F.col(k).alias(f"{k}_") for k in keys)).distinct()
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"{k}_"))
+    first = new.groupBy(*keys).agg(F.min_by(F.struct(*new.columns), order).alias("row")).select("row.*")
+    return old.unionByName(first.join(there, same, "left_anti").select(old.columns))
+
+
+def delivered_sessions(deliveries: DataFrame, sessions: DataFrame, endpoint: str, vault: str) -> DataFrame:
+    """Deliveries of an endpoint and vault with their sessions, by source and the source's session id."""
+    names = sessions.select("id", F.col("source_kind").alias("source"), F.col("source_session_id").alias("name"), "current_revision")
+    return deliveries.where((F.col("endpoint") == endpoint) & (F.col("vault") == vault)).join(names, ["source", "name"])

@@ -51,6 +51,8 @@ VIEWS: dict[str, tuple[str, dict[str, str]]] = {
             "transcript_lost_at_ms": "CASE WHEN c_custkey % 17 = 0 THEN 1706000000000 END",
             "not_archive_worthy_at_ms": "CASE WHEN c_custkey % 19 = 0 THEN 1706000000000 END",
             "updated_at_ms": "1704067200000 + (c_custkey * 7919 % 100000) * 1000",
+            "transcript_path": "CASE WHEN c_custkey % 8 <> 3 THEN c_name END",
+            "cursor_bytes": "CASE WHEN c_custkey % 3 = 0 THEN c_custkey * 10 END",
             "active": "c_custkey % 2 = 1",
             "placeholder": "c_custkey % 23 = 0",
             "markdown_hash": "c_mktsegment",
@@ -89,6 +91,10 @@ VIEWS: dict[str, tuple[str, dict[str, str]]] = {
         },
     ),
     "records_kept": ("orders", {"id": "o_orderkey", "status": "o_orderstatus", "priority": "o_orderpriority", "day": "substr(CAST(o_orderdate AS STRING), 1, 10)", "hash": "SHA(o_orderkey)"}),
+    "named_deliveries": (
+        "customer",
+        {"source": "CASE c_custkey % 3 WHEN 0 THEN 'claude-code' WHEN 1 THEN 'codex' ELSE 'codex' END", "name": "c_name", "endpoint": "CASE WHEN c_custkey % 4 = 0 THEN 'other' ELSE 'main' END", "vault": "CASE WHEN c_custkey % 5 = 0 THEN 'drafts' ELSE 'notes' END", "attempts": "c_custkey % 6"},
+    ),
     "archives": ("orders", {"source": "o_orderpriority", "session_id": "o_custkey", "revision": "o_orderkey % 3", "scan_order": "o_orderkey"}),
     "checks": ("part", {"seq": "p_partkey", "code": "p_name", "status": "CASE p_partkey % 5 WHEN 0 THEN 'error' WHEN 1 THEN 'warning' WHEN 2 THEN 'ok' WHEN 3 THEN 'unknown' END", "exit_code": "p_partkey % 7", "report": "p_partkey % 10"}),
     "files": ("lineitem", {"directory": "l_orderkey", "bytes": "l_partkey", "mtime_ms": "1704067200000 + (l_partkey * 7919 % 100000) * 1000"}),

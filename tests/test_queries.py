@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from tallyspark.plans import archive, calls, capture, catalog, ledger, lifecycle, reading, reports, retention  # noqa: F401
+from tallyspark.plans import archive, attention, calls, capture, catalog, ledger, lifecycle, reading, reports, retention  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents conversations".split()

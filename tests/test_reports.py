@@ -54,3 +54,15 @@ def test_placeholder_and_eligibility(spark):
     of = lambda force: [r[0] for r in frame.select(reports.sync_eligibility(F.col("state"), F.col("hash"), F.col("at"), F.lit("h"), 10, force)).collect()]
     assert of(False) == ["sync", "unchanged", "sync", "sync", "deferred", "unchanged", "sync"]
     assert of(True) == ["sync", "unchanged", "sync", "sync", "sync", "sync", "sync"]
+
+
+def test_saturating_sums(spark):
+    most = (1 << 63) - 1
+    frame = spark.createDataFrame([("a", most, 1), ("a", 5, 2), ("b", -most, 1), ("b", -most, 1), ("c", None, 1), ("d", 3, 1)], "state string, bytes long, attempts long")
+    assert {(r["state"], r["bytes"]) for r in sessions.ledger_status(frame).collect()} == {("a", most), ("b", -most - 1), ("c", None), ("d", 3)}
+
+
+def test_inserted_keeps_what_is_there(spark):
+    rows = lambda *x: spark.createDataFrame(list(x), "k string, v long")
+    got = sessions.inserted(rows(("a", 1), (None, 2)), rows(("a", 9), ("b", 5), ("b", 4), (None, 7)), ["k"], "v")
+    assert {tuple(r) for r in got.collect()} == {("a", 1), (None, 2), ("b", 4)}
