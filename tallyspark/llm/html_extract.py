@@ -12,8 +12,10 @@ A node that shows the same few texts on most pages gets low importance, and its
 branch is removed from each page of the host. Menus, headers, footers,
 sidebars, notices, adverts, forms, scripts, styles and comments that their
 markup declares go on every page, also where a host has too few pages to tell.
-Inside, only `article` or `main` is kept where a page has one; there a class
-declares only as a whole name, so the heading in `article-header` stays.
+Only `article` or `main` is kept where a page has one with a share of its text;
+there fewer names declare, so the heading in `article-header` stays. A form as
+wide as the page is looked into: an article in it is kept, and where there is no
+other text its paragraphs.
 
 Rows of a host with the same blocks count as one page, so a copied page is not
 taken for a text that is spread over pages. Copies are found by host and a hash
@@ -49,13 +51,18 @@ _DROPPED = frozenset("head nav footer aside form button dialog menu title".split
 _DECLARED = frozenset(
     "ad ads advert advertisement adverts adbox sponsor sponsored promo promotion nav navbar navigation menu header masthead topbar footer sidebar aside cookie cookies consent gdpr notice notices banner alert popup modal overlay newsletter subscribe signup share sharing social comment comments disqus reply replies related recommended breadcrumb breadcrumbs pagination pager widget login search toolbar complementary contentinfo".split()
 )
+#: Words that with a declared one still declare, and those of an article's own header.
+_FURNITURE = frozenset("slot box block list lists link links post posts item items area section wrapper wrap container inner widget bar button buttons icon icons thread form group panel unit media count body author meta".split())
+_OWN = frozenset("post article entry story content".split())
+#: Characters of a paragraph in a form that make the form the page's text, if it has no other; share of the text that articles must have to be all of it.
+FORM_PARAGRAPH, ARTICLE_SHARE = 80, 0.25
 #: A start tag closes these, up to what holds it.
 _CLOSES = {x: ({x} if x in ("li", "option", "tr") else {"dt", "dd"} if x in ("dt", "dd") else {"td", "th"} if x in ("td", "th") else {"p"}) for x in "p div ul ol dl li dt dd table tr td th h1 h2 h3 h4 h5 h6 section article main header footer nav aside form blockquote pre figure hr option".split()}
 _HOLDS = frozenset("ul ol dl table article section main body div td blockquote select nav aside header footer".split())
 _SPACE = re.compile(r"\s+")
 _WORD = re.compile(r"[A-Za-z]+")
-#: What follows a name without changing it: digits.
-_PART = re.compile(r"[0-9]+(?=\s|$)")
+#: What follows a name without changing it.
+_DIGITS = re.compile(r"[0-9]+$")
 #: Removed nodes of all hosts that are broadcast at most (16 MB); beyond, hosts are salted into so many parts.
 BROADCAST_NODES, SALTS = 1_000_000, 32
 
@@ -64,11 +71,38 @@ def _key(*parts: str) -> int:
     return int.from_bytes(hashlib.blake2b("\0".join(parts).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
 
+def declared(name: str, inside: bool) -> bool:
+    """Whether a class, id or role says that its element isn't the article's: by its whole name, or by a part of one.
+
+    In the article other parts must be furniture (`ad-slot`), as they may be the
+    article's own words (`article-header`, `social-science`); outside only the
+    header of something of the article's, and `social` with other words, aren't.
+    """
+    name = _DIGITS.sub("", name)
+    if name in _DECLARED:
+        return True
+    parts = set(_WORD.findall(name))
+    hits = parts & _DECLARED
+    rest = parts - _DECLARED
+    if not hits:
+        return False
+    if inside:
+        return rest <= _FURNITURE and _WORD.findall(name)[0] in _DECLARED
+    return not (hits == {"header"} and rest & _OWN) and (hits != {"social"} or rest <= _FURNITURE)
+
+
+def article_only(found: list[tuple[str, bool, str]]) -> list[tuple[str, bool, str]]:
+    """Of a page's blocks those in an article, if they have a share of the text; else all, as a teaser isn't the page's text."""
+    own = sum(len(x[2]) for x in found if x[1])
+    return [x for x in found if x[1]] if own and own >= ARTICLE_SHARE * sum(len(x[2]) for x in found) else found
+
+
 def blocks(page: str) -> list[tuple[str, bool, str]]:
     """(style path, in the article, text) of the text blocks that markup doesn't declare to be something else, in order."""
     out: list[tuple[str, bool, str]] = []
-    # of each open element: tag, path, declared as dropped, inside an article
-    stack: list[tuple[str, str, bool, bool]] = [("", "", False, False)]
+    # of each open element: tag, path, declared as dropped (or only as a form), inside an article
+    stack: list[tuple[str, str, bool | str, bool]] = [("", "", False, False)]
+    in_form: list[tuple[str, bool, str]] = []
     text: list[str] = []
     where = stack[-1]
 
@@ -76,12 +110,12 @@ def blocks(page: str) -> list[tuple[str, bool, str]]:
         if text:
             block = _SPACE.sub(" ", "".join(text)).strip()
             text.clear()
-            if block and not where[2]:
-                out.append((where[1], where[3], block))
+            if block and where[2] is not True:
+                (in_form if where[2] else out).append((where[1], where[3], block))
 
     def add(raw: str) -> None:
         nonlocal where
-        if not raw or stack[-1][2]:
+        if not raw or stack[-1][2] is True:
             return
         if not text:
             where = next((x for x in reversed(stack) if x[0] not in _INLINE), stack[0])
@@ -113,15 +147,21 @@ def blocks(page: str) -> list[tuple[str, bool, str]]:
             continue
         _, path, dropped, inside = stack[-1]
         names = " ".join(x[1].strip("\"'") for x in _ATTRIBUTE.findall(m[4])).lower() if m[4] else ""
-        if not dropped and tag in _DROPPED or tag == "header" and not inside:
+        if tag == "form" and not dropped and not inside:
+            # an article may be in a form that is as wide as the page
+            dropped = "form"
+        elif dropped is not True and tag in _DROPPED or tag == "header" and not inside:
+            dropped = True
+        elif dropped is not True and names and tag not in ("html", "body", "main", "form") and any(declared(x, inside or tag == "article") for x in names.split()):
             dropped = True
-        elif not dropped and names and tag not in ("html", "body", "article", "main"):
-            # inside the article only a whole name declares: its parts may be the article's own words
-            dropped = not _DECLARED.isdisjoint(_PART.sub(" ", names).split() if inside else _WORD.findall(names))
+        elif dropped == "form" and tag in ("article", "main"):
+            dropped = False
         style = f"{tag}.{re.sub('[0-9]+', '', names)}" if names else tag
         stack.append((tag, f"{path}/{style}" if tag not in _INLINE else path, dropped, inside or tag in ("article", "main")))
     add(page[at:])
     flush()
+    if not out and any(path.endswith("/p") and len(text) >= FORM_PARAGRAPH for path, _, text in in_form):
+        return in_form
     return out
 
 
@@ -176,8 +216,7 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
             texts = []
             for page, low_nodes in zip(f["html"], f["low"], strict=True):
                 found = blocks(page)
-                if any(x[1] for x in found):
-                    found = [x for x in found if x[1]]
+                found = article_only(found)
                 if low_nodes is not None and len(low_nodes):
                     gone = set(low_nodes)
                     found = [x for x in found if not any(_key(x[0][:i]) in gone for i in [*(k for k, ch in enumerate(x[0]) if ch == "/" and k), len(x[0])])]

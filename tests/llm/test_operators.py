@@ -441,6 +441,23 @@ def test_html_keeps_article_parts_with_telling_names():
     assert [x[2] for x in blocks(page)] == ["Title", "One"]
 
 
+def test_html_of_odd_pages(spark):
+    long = "A sentence of the text that goes on for a while, so that nobody takes it for a label. " * 3
+    inside = lambda *x: "".join(f"<p>{y}</p>" for y in x)
+    cases = {
+        f"<form><nav>menu</nav><article>{inside(long)}<form>send</form></article><div class=footer>f</div></form>": long,
+        f"<form id=aspnet><div>{inside(long)}</div></form>": long,
+        "<form><p>Name</p><p>Mail</p></form>": "",
+        f"<article>{inside('Teaser')}</article><div>{inside(long, long)}</div>": f"Teaser {long} {long}",
+        f"<div class=social-science>{inside('One')}</div><div class=post-header><h1>Title</h1></div><div class='social-links'>x</div><div class='site-header'>y</div>": "One Title",
+        f"<article>{inside(long)}</article><article class=comment>{inside('first!')}</article><section class='comment-list'>c</section>": long,
+        f"<main>{inside(long)}<div class='ad-slot'>buy</div><div class='related-posts'>more</div><ul class='comment-list'><li>c</li></ul><div class='article-header'>kept</div></main>": f"{long} kept",
+    }
+    rows = [(i, None, page) for i, page in enumerate(cases)]
+    got = [r["text"] for r in extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).orderBy("page_id").collect()]
+    assert got == [" ".join(x.split()) for x in cases.values()]
+
+
 def test_html_broadcast_and_salted_join_agree(spark, monkeypatch):
     rows = [(i, f"http://h{i % 3}.org/{i}", f"<body><div><p>Read our other stories</p></div><section><p>text number {i * 7919}</p></section></body>") for i in range(60)]
     rows += [(60, None, "<p>x</p>"), (61, "http://h0.org/61", None), (None, "http://h0.org/0", rows[0][2])]
