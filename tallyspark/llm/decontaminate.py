@@ -12,7 +12,9 @@ scores `MATCH`, `MISMATCH` and `GAP`; the score over the best possible one must
 reach `min_score`. Edited and paraphrased copies keep most of it.
 
 Null or empty texts match nothing; an item with fewer words than n is one seed
-as a whole. Null ids are ignored on both sides. Repeated rows give one result.
+as a whole. Null ids are ignored on both sides. Repeated rows give one result;
+of several texts of one id any one is taken. Of equal scores the one with the larger
+end_word is given. No documents or no items give no rows.
 """
 
 from __future__ import annotations

@@ -26,7 +26,7 @@ BROADCAST_NODES of them, joined with salted hosts; html is not shuffled by host.
 
 A null page or one without text gives an empty text and 0 characters. A null or
 unreadable url is a host of its own kind, without tree. Repeated rows come back
-each.
+each. No pages give no rows.
 """
 
 from __future__ import annotations

@@ -24,7 +24,9 @@ so results don't depend on it.
 
 Nulls, empty texts: no shingles, linked with nothing, component is the own id.
 Texts of fewer than n words have their whole word sequence as the one shingle.
-Rows with a null id are returned, and link nothing. Repeated rows come back each.
+Rows with a null id are returned, and link nothing. Repeated rows come back each;
+of several texts of one id any one is taken. No documents give no rows; a very long
+text is one row like any other.
 """
 
 from __future__ import annotations

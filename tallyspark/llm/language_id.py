@@ -20,7 +20,8 @@ only its one row of counts is joined back. The model has 65,536 trigram slots a
 language, whatever the corpus.
 
 Null, empty and wordless texts have no language and are not kept. Null
-declared, suffix or host values are no evidence. Repeated rows come back each.
+declared, suffix or host values are no evidence. Repeated rows come back each. Of
+equally probable languages the first by name is given. No rows give no rows.
 """
 
 from __future__ import annotations

@@ -28,6 +28,7 @@ min_length to about 135 bytes, whose union it is; the bytes covered are exact.
 
 Nulls and empty texts have no repeats. Rows with a null id are neither matched
 nor cut. Ids are taken as unique: rows that repeat an id count as one document.
+No documents give no rows; a very long text is a chunk of its own, held by one task.
 """
 
 from __future__ import annotations

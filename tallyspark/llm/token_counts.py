@@ -13,7 +13,8 @@ up to and with an empty one (`paragraphs`). Counts of a document's sections sum
 to its tokens under every rule.
 
 A null or empty text is one empty section without tokens. Null ids and repeated
-rows come back as they are.
+rows come back as they are. No documents give no rows; a very long text is encoded
+as a whole.
 """
 
 from __future__ import annotations

@@ -500,3 +500,28 @@ def test_token_sections(docs, rows):
     tokens, crossing = attribute(np.array([2, 4, 3]), np.array([3, 9]), "split")
     assert tokens.tolist() == [1.25, 1.75] and crossing.tolist() == [1, 0]
     assert attribute(np.array([2, 4, 3]), np.array([3, 9]), "majority")[0].tolist() == [1, 2]
+
+
+def test_no_rows_give_no_rows_and_clashing_names_do_not_matter(spark, docs):
+    """Each operator over an empty table, and over one whose further columns are named like those used inside."""
+    none = docs.where("false")
+    items = spark.createDataFrame([(1, "the of and tion stream house")], "item_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(20)], "doc_id long, quality int, toxic int")
+    path, byte_path = queries_tokenizer("word_bpe_49k.json"), queries_tokenizer("byte_bpe_50k.tiktoken")
+    named = none.withColumns({x: F.lit("x") for x in ("lang", "source", "label", "own", "declared", "suffix", "level0")})
+    for got in (
+        jaccard_components(none),
+        removal_digest(none),
+        packed(none, path),
+        contaminated(none, items),
+        contaminated(docs.select("doc_id", "text", "id", F.lit(1).alias("seed"), F.lit("y").alias("item")), items.where("false")),
+        section_tokens(none, byte_path, tokenizers.PATTERN),
+        identify_documents(named),
+        identify_pages(spark.createDataFrame([], "page_id long, url string, html string, host string, declared string"), docs.withColumn("lang", F.lit("en"))),
+        quality_rules(none, labels),
+    ):
+        assert got.count() == 0
+
+
+def queries_tokenizer(name):
+    return tokenizers.path(name)
