@@ -304,6 +304,22 @@ def _(r: DataFrame) -> DataFrame:
     return out.select("source", "session_id", "records_seen", "user_events", "assistant_events")
 
 
+_SPOKEN = f"count(*) FILTER (WHERE role = '{{}}' AND NOT {_BLANK})"
+
+
+@query(
+    "a13_parse_accounting_flat",
+    f"SELECT CAST(session_id AS VARCHAR) AS session_id, count(*) AS records_seen, {_SPOKEN.format('user')} AS user_events, {_SPOKEN.format('assistant')} AS assistant_events, CAST(0 AS BIGINT) AS tool_events,"
+    f" count(*) FILTER (WHERE role IN ('user', 'assistant') AND {_BLANK}) AS empty_records, count(*) FILTER (WHERE role = 'system') AS ignored_records, CAST(0 AS BIGINT) AS unknown_records, CAST(0 AS BIGINT) AS error_records,"
+    " CAST(1 AS DOUBLE) AS typed_share, CASE WHEN count(*) FILTER (WHERE role = 'system') > 0 THEN 'system=' || count(*) FILTER (WHERE role = 'system') ELSE '' END AS ignored_kinds, '' AS unknown_kinds FROM v_records GROUP BY 1",
+    "records",
+)
+def _(r: DataFrame) -> DataFrame:
+    out = records.parse_accounting(records.classified(_as_transcripts(r)), ["source", "session_id"]).drop("source")
+    said = lambda c: F.coalesce(F.array_join(F.transform(F.map_entries(c), lambda x: F.concat(x["key"], F.lit("="), x["value"].cast("string"))), " "), F.lit(""))
+    return out.withColumns({c: said(c) for c in ("ignored_kinds", "unknown_kinds")})
+
+
 @query("a13_parse_accounting_all", None, "records")
 def _(r: DataFrame) -> DataFrame:
     return records.parse_accounting(records.classified(_as_transcripts(r)), ["source", "session_id"])
