@@ -31,6 +31,24 @@ def normalized_hash(text: Column) -> Column:
     return F.when(bare.rlike("^[0-9a-f]{64}$"), bare)
 
 
+def prefixed(digest: Column) -> Column:
+    """A digest with its algorithm before it, once."""
+    return F.when(digest.startswith("sha256:"), digest).otherwise(F.concat(F.lit("sha256:"), digest))
+
+
+def packed_hash(text: Column) -> Column:
+    """The text as bytes, for shuffles: `sha256:` and 64 lower-case hex digits as the digest's 32 bytes; any other text after 33 zero bytes, so that none is taken for a digest."""
+    # what isn't hexadecimal gives null; a regular expression doubles the time
+    digest = F.when(text.startswith("sha256:") & (F.octet_length(text) == 71) & (F.lower(text) == text), F.unhex(F.substring(text, 8, 64)))
+    return F.coalesce(digest, F.concat(F.lit("\0" * 33), text).cast("binary"))
+
+
+def unpacked_hash(packed: Column) -> Column:
+    """The text that `packed_hash` packed."""
+    digest = F.concat(F.lit("sha256:"), F.lower(F.hex(packed)))
+    return F.when(F.octet_length(packed) == 32, digest).otherwise(F.substring(packed, 34, 2**31 - 1).cast("string"))
+
+
 def redeemed(tickets: DataFrame, outputs: DataFrame) -> DataFrame:
     """Outputs that match the tickets' hashes; a hash may match several."""
     wanted = tickets.select(normalized_hash(F.col("sha256")).alias("sha256")).where("sha256 is not null").distinct()

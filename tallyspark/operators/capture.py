@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StructField, StructType
 
+from .artifacts import packed_hash, prefixed, unpacked_hash
+
 #: What a manifest says of a capture and of an artifact, in order.
 CAPTURE = ("captured_at", "source_cursor", "source_state_hash", "source_metadata", "project", "repository", "branch", "source_agent_version", "artifact_set_version")
 ARTIFACT = ("logical_path", "media_type", "original_size_bytes", "original_sha256", "stored_size_bytes", "stored_sha256", "compression")
@@ -98,11 +100,6 @@ def discriminators(lines: DataFrame, keys: tuple[str, ...], raw: str = "raw") ->
     return lines.select(raw).mapInArrow(run, "key string, label string").groupBy("key", "label").agg(F.count("*").alias("n"))
 
 
-def prefixed(digest: Column) -> Column:
-    """A digest with its algorithm before it, once."""
-    return F.when(digest.startswith("sha256:"), digest).otherwise(F.concat(F.lit("sha256:"), digest))
-
-
 def manifests(snapshots: DataFrame, artifacts: DataFrame, key: str, writer: str, schema_version: int = 1, order: str = "position") -> DataFrame:
     """(key, manifest): JSON of each snapshot with its artifacts in order; what is null is said.
 
@@ -111,16 +108,27 @@ def manifests(snapshots: DataFrame, artifacts: DataFrame, key: str, writer: str,
     ARTIFACT's and an order. A snapshot without artifacts has an empty list; one
     snapshot's artifacts are gathered, as they are one document. Equal places are
     ordered by the artifacts' fields.
+
+    Artifacts are dealt by the key before they are gathered: lists can't be made
+    shorter where the rows are read, only sorted and spilled. Hashes are packed
+    while they are shuffled, a stored one that is the original's as no bytes.
     """
-    digest = {"original_sha256", "stored_sha256"}
-    entry = F.struct(*((prefixed(F.col(c)) if c in digest else F.col(c)).alias(c) for c in ARTIFACT))
-    lists = artifacts.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("at"), entry.alias("entry")))).alias("sorted"))
-    joined = snapshots.join(lists, key, "left")
+    original, stored, same = F.col("original_sha256"), F.col("stored_sha256"), F.lit(b"")
+    whole = artifacts.withColumns({"original_sha256": prefixed(original), "stored_sha256": prefixed(stored)})
+    rows = whole.withColumns({"original_sha256": packed_hash(original), "stored_sha256": F.when(stored == original, same).otherwise(packed_hash(stored))}).select(key, F.col(order).alias("at"), *ARTIFACT)
+    lists = rows.repartition(key).groupBy(key).agg(F.collect_list(F.struct("at", *ARTIFACT)).alias("gathered"))
+
+    def entry(x: Column) -> Column:
+        hashes = {"original_sha256": x["original_sha256"], "stored_sha256": F.when(x["stored_sha256"] == same, x["original_sha256"]).otherwise(x["stored_sha256"])}
+        return F.struct(*((unpacked_hash(hashes[c]) if c in hashes else x[c]).alias(c) for c in ARTIFACT))
+
+    entries = F.array_sort(F.transform("gathered", lambda x: F.struct(x["at"].alias("at"), entry(x).alias("entry"))))
+    joined = snapshots.withColumn("source_state_hash", packed_hash(F.col("source_state_hash"))).join(lists, key, "left").withColumn("source_state_hash", unpacked_hash(F.col("source_state_hash")))
     body = F.struct(
         F.lit(schema_version).alias("schema_version"),
         F.struct("source_agent", "source_session_id").alias("session"),
         F.struct(*CAPTURE, f"{writer}_version").alias("capture"),
-        F.transform(F.coalesce("sorted", F.array().cast(lists.schema["sorted"].dataType)), lambda x: x["entry"]).alias("artifacts"),
+        F.transform(F.when(F.col("gathered").isNull(), F.array()).otherwise(entries), lambda x: x["entry"]).alias("artifacts"),
     )
     return joined.select(key, F.to_json(body, {"ignoreNullFields": "false"}).alias("manifest"))
 
