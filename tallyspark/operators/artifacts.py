@@ -85,8 +85,11 @@ def key_frequencies(lines: DataFrame, raw: str = "raw") -> DataFrame:
 def known_records(artifacts: DataFrame, records: DataFrame) -> DataFrame:
     """Artifacts with the local record that has their content, null where none has: by the hash, with or without its prefix; of equal records the last by path.
 
-    Both sides are joined by the hash; neither is held by one task.
+    Both sides are joined by the hash, packed, as it is most of what is shuffled; neither is held by one task.
     """
-    bare = lambda c: F.regexp_replace(F.col(c), "^sha256:", "")
-    index = records.groupBy(bare("markdown_hash").alias("hash_")).agg(F.max("relative_path").alias("local_path"))
-    return artifacts.withColumn("hash_", bare("original_sha256")).join(index, "hash_", "left").drop("hash_")
+
+    def hashed(rows: DataFrame, c: str) -> DataFrame:
+        return rows.withColumn("hash_", prefixed(F.col(c))).withColumn("hash_", packed_hash(F.col("hash_")))
+
+    index = hashed(records, "markdown_hash").groupBy("hash_").agg(F.max("relative_path").alias("local_path"))
+    return hashed(artifacts, "original_sha256").join(index, "hash_", "left").drop("hash_")

@@ -72,3 +72,23 @@ def test_manifests_shuffle_digests_once_and_as_bytes(spark, no_broadcast):
     with shuffled(spark, "manifests") as found:
         capture.manifests(snapshots, rows, "id", "writer").write.format("noop").mode("overwrite").save()
     assert found[1] == 2 * n and found[0] < 120 * n
+
+
+def test_known_records_of_odd_hashes(spark, no_broadcast):
+    hashes = [t for h in HEX + ODD for t in {h, prefixed(h)}]
+    records = [(h, f"r/{i}") for i, h in enumerate(hashes[::2] + hashes[::3])]
+    found = artifacts.known_records(spark.createDataFrame([(i, h) for i, h in enumerate(hashes)], "id int, original_sha256 string"), spark.createDataFrame(records, "markdown_hash string, relative_path string")).collect()
+    known = {}
+    for h, path in records:
+        known[prefixed(h)] = max(known.get(prefixed(h), ""), path)
+    known.pop(None)
+    assert {r["id"]: r["local_path"] for r in found} == {i: known.get(prefixed(h)) for i, h in enumerate(hashes)} and len(found) == len(hashes)
+    assert all(r["original_sha256"] == hashes[r["id"]] for r in found) and any(r["local_path"] for r in found) and not all(r["local_path"] for r in found)
+
+
+def test_known_records_shuffle_digests_as_bytes(spark, no_broadcast):
+    n = 20_000
+    rows = spark.range(n, numPartitions=4).select("id", F.sha2(F.col("id").cast("string"), 256).alias("h"))
+    with shuffled(spark, "known") as found:
+        artifacts.known_records(rows.withColumnRenamed("h", "original_sha256"), rows.select(F.concat(F.lit("sha256:"), "h").alias("markdown_hash"), F.lit("r").alias("relative_path"))).select("id", "local_path").write.format("noop").mode("overwrite").save()
+    assert found[1] == 2 * n and found[0] < 100 * n
